@@ -9,6 +9,22 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import read_table
 from graphloom.llm.decontaminate import decontaminate
+from graphloom.llm.licenses import scan_licenses
+from graphloom.llm.mixing import mix_sources
+
+
+def op1_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("places", lambda p: p["base"])
+    found = found.withColumn("_base", base)
+    starts = F.transform("_base", lambda p: p["start"])
+    labels = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda p: p["label"]))), ",")
+    score = F.coalesce(F.array_max(F.transform("places", lambda p: p["coverage"])), F.lit(0.0))
+    return found.select("doc_id", "n_words", F.size("_base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), labels("_base").alias("base_labels"), labels("places").alias("labels"), score.alias("score"))
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +54,8 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing_sources": op1_mixing_sources,
+    "op4_license_scan": op4_license_scan,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 
