@@ -69,7 +69,8 @@ SHORT = 5
 
 def text_words(text: Column) -> Column:
     """Words of a text, A-Z lower-cased. U+212A, the one other code point that lower() would turn into a letter of a-z, is set aside first."""
-    return F.regexp_extract_all(F.lower(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("K"), F.lit("ÿ"))), F.lit(WORD), F.lit(0))
+    low = F.lower(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("\u212a"), F.lit("ÿ")))
+    return F.array_remove(F.split(low, BETWEEN), "")
 
 
 def document_frequencies(docs: DataFrame, text_col: str, vocabulary: list[str]) -> dict[str, int]:
