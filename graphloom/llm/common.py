@@ -69,12 +69,12 @@ def column_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def doc_slices(offsets: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs of documents of about `size` bytes; each document whole."""
+def doc_slices(offsets: np.ndarray, size: int = SLICE_BYTES, most: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Runs of documents of about `size` bytes and at most `most` documents; each document whole."""
     n, at = len(offsets) - 1, 0
     while at < n:
         to = int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1
-        to = min(n, max(at + 1, to))
+        to = min(n, at + most, max(at + 1, to))
         yield at, to
         at = to
 
@@ -177,3 +177,18 @@ def as_long(x: np.ndarray) -> np.ndarray:
 
 def arrow_rows(schema: pa.Schema, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if not isinstance(cols[f.name], pa.Array) else cols[f.name].cast(f.type) for f in schema], schema=schema)
+
+
+def per_doc(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of values over each document's range."""
+    c = np.zeros(len(values) + 1, np.int64)
+    np.cumsum(values, out=c[1:])
+    return c[offsets[1:]] - c[offsets[:-1]]
+
+
+def text_batches(batch: pa.RecordBatch, column: int, most: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from, to, bytes, offsets) of a batch's texts, in slices of whole documents."""
+    text = batch.column(column)
+    raw, off = column_bytes(text)
+    for a, b in doc_slices(off, most=most):
+        yield a, b, raw[off[a] : off[b]], off[a : b + 1] - off[a]

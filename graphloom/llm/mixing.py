@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize
+from graphloom.llm.common import materialize, shuffle_width
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 # Multipliers of the permutations, primes, so that one that doesn't divide the number of blocks has no factor in common with it.
@@ -80,7 +80,8 @@ def permuted(i: Column, n: Column, *key: Column) -> Column:
 
 def block_uses(counts: DataFrame, max_repeat: int, seed: int) -> DataFrame:
     """(rank, block, uses) for the blocks that some slot takes."""
-    slots = counts.filter("count > 0").repartition(F.col("rank"), F.col("shard"))
+    # A few bytes a shard become many slots: neither may the rows be gathered in few tasks for their size, nor the slots be broadcast for it.
+    slots = counts.filter("count > 0").repartition(shuffle_width(counts.sparkSession), "rank", "shard")
     slots = slots.withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)))
     slots = slots.filter(F.col("slot") < F.col("blocks") * max_repeat)
     turn = F.floor(F.col("slot") / F.col("blocks")).cast("long")
@@ -112,7 +113,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first, last = F.floor(F.col("start") / block).cast("long"), F.floor((F.col("start") + F.col("size") - 1) / block).cast("long")
     parts = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
     inside = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
-    parts = parts.withColumn("words", inside).join(uses, ["rank", "block"], "left")
+    parts = parts.withColumn("words", inside).join(uses.hint("merge"), ["rank", "block"], "left")
     # Ranges of words are disjoint: rank and start name one document that has words.
     taken = parts.groupBy("rank", "start").agg(F.first("id").alias("id"), F.first("source").alias("source"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).alias("taken"))
     empty = sized.filter("size = 0").join(about, F.col("source").eqNullSafe(F.col("_s"))).withColumn("taken", F.lit(0).cast("long"))
