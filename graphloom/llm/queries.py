@@ -7,16 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import read_table
+from graphloom.llm.common import crc_mod, read_table
 from graphloom.llm.decontaminate import decontaminate
+from graphloom.llm.langid import fit_languages, identify_languages
 from graphloom.llm.licenses import scan_licenses
 from graphloom.llm.mixing import mix_sources
+from graphloom.llm.mtree import top_inner_products
+from graphloom.llm.quality import classify_quality, fit_quality
+from graphloom.llm.warc import archive_pages
 
 
 def op1_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    model = fit_languages(docs.filter(~held_out), "text", F.col("lang"), F.col("doc_id"))
+    return identify_languages(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = fit_quality(docs, read_table(spark, sf_dir, "labels"))
+    found = classify_quality(docs.select("doc_id", "text", "source", "lang"), model, F.col("source"), F.concat_ws("/", "source", "lang"))
+    return found.select("doc_id", "evidence", "host_posterior", "path_posterior", "score", "keep")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("places", lambda p: p["base"])
@@ -27,6 +45,24 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.size("_base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), labels("_base").alias("base_labels"), labels("places").alias("labels"), score.alias("score"))
 
 
+def op6_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archive_pages(read_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP6_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS k FROM pages
+), bits AS (
+  SELECT *, array_to_string(list_transform(string_split(d, ''), lambda c: lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), '') AS b FROM p
+)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + 16 * CAST(b[5 * i + 1] AS INT) + 8 * CAST(b[5 * i + 2] AS INT) + 4 * CAST(b[5 * i + 3] AS INT) + 2 * CAST(b[5 * i + 4] AS INT) + CAST(b[5 * i + 5] AS INT) AS INT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = k THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> k THEN k END AS refers_to
+FROM bits
+"""
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
@@ -34,6 +70,21 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", n_items.alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort("items")).cast("binary"), 256).alias("items_sha256"), (n_items >= 2).alias("contaminated"))
 
 
+def op9_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = top_inner_products(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+OP9_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -55,10 +106,16 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing_sources": op1_mixing_sources,
+    "op2_language_id": op2_language_id,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_license_scan": op4_license_scan,
+    "op6_warc_archives": op6_warc_archives,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_top_inner_products": op9_top_inner_products,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_warc_archives": OP6_SQL,
     "op8_benchmark_decontamination": OP8_SQL,
+    "op9_top_inner_products": OP9_SQL,
 }
