@@ -6,8 +6,6 @@ documents lie end to end, and words are found and hashed with numpy over all of
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.plans.tables import materialize, shared_dir
+
 SLICE_BYTES = 2 << 20
 """Text bytes that one vectorised step works on; a longer document is one step of its own."""
 
@@ -23,22 +23,6 @@ ROOT_ODD = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"/tmp/checkpoints/graphloom-{os.getpid()}"
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df once as Parquet in the shared folder and reads it back: the lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -192,3 +176,6 @@ def text_batches(batch: pa.RecordBatch, column: int, most: int = 1 << 30) -> Ite
     raw, off = column_bytes(text)
     for a, b in doc_slices(off, most=most):
         yield a, b, raw[off[a] : off[b]], off[a : b + 1] - off[a]
+
+
+__all__ = ["Words", "arrow_rows", "as_long", "column_bytes", "crc_mod", "doc_slices", "materialize", "mix64", "per_doc", "read_table", "shared_dir", "shingle_hashes", "shuffle_width", "text_batches"]

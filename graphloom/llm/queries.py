@@ -13,6 +13,7 @@ from graphloom.llm.langid import fit_languages, identify_languages
 from graphloom.llm.licenses import scan_licenses
 from graphloom.llm.mixing import mix_sources
 from graphloom.llm.mtree import top_inner_products
+from graphloom.llm.ngram_join import join_components
 from graphloom.llm.quality import classify_quality, fit_quality
 from graphloom.llm.warc import archive_pages
 
@@ -45,6 +46,25 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.size("_base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), labels("_base").alias("base_labels"), labels("places").alias("labels"), score.alias("score"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 4) - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 0) + 2)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1
+), c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (SELECT doc_id AS a, doc_id AS c FROM d UNION SELECT e.b AS a, r.c FROM r JOIN e ON e.a = r.a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, (SELECT min(c) FROM r WHERE r.a = d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id)
+"""
+
+
 def op6_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = archive_pages(read_table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -109,12 +129,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_license_scan": op4_license_scan,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_warc_archives": op6_warc_archives,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_top_inner_products": op9_top_inner_products,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_ngram_jaccard_join": OP5_SQL,
     "op6_warc_archives": OP6_SQL,
     "op8_benchmark_decontamination": OP8_SQL,
     "op9_top_inner_products": OP9_SQL,
