@@ -14,7 +14,9 @@ from graphloom.llm.licenses import scan_licenses
 from graphloom.llm.mixing import mix_sources
 from graphloom.llm.mtree import top_inner_products
 from graphloom.llm.ngram_join import join_components
+from graphloom.llm.pii import KINDS, find_personal_data, fit_spans
 from graphloom.llm.quality import classify_quality, fit_quality
+from graphloom.llm.toxicity import fit_toxicity, score_toxicity
 from graphloom.llm.warc import archive_pages
 
 
@@ -83,6 +85,13 @@ FROM bits
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_mod(F.col("doc_id"), 3) == 1
+    net = fit_toxicity(docs, read_table(spark, sf_dir, "labels"), ~held_out)
+    return score_toxicity(docs, net).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
@@ -124,6 +133,16 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_personal_data(docs, fit_spans(docs))
+    base = F.filter("pii", lambda s: s["base"])
+    counted = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    n = [counted(k) for k in KINDS]
+    digest = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.withColumn("_base", base).select("doc_id", *n, F.sha2(digest("_base").cast("binary"), 256).alias("base_sha256"), digest("pii").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing_sources": op1_mixing_sources,
     "op2_language_id": op2_language_id,
@@ -131,8 +150,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": op4_license_scan,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_warc_archives": op6_warc_archives,
+    "op7_toxicity": op7_toxicity,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_top_inner_products": op9_top_inner_products,
+    "op10_personal_data": op10_personal_data,
 }
 
 ORACLE_SQL: dict[str, str] = {
