@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.plans.ship import ship
 from graphloom.plans.tables import materialize, shared_dir
 
 SLICE_BYTES = 2 << 20
@@ -24,6 +25,7 @@ MASK = (1 << 64) - 1
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
