@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.functions.text import contained_score, plain_answer
 
@@ -68,7 +69,7 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(scores)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([max(partial_ratio(x or "", y or ""), token_set_ratio(x or "", y or "")) for x, y in zip(a, b, strict=True)], dtype="float64")
 
@@ -152,7 +153,7 @@ def rouge_l(answer: str, gold: str) -> float:
     return 2.0 * k / (len(a) + len(g)) if k else 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rouge_l_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([rouge_l(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 

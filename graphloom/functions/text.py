@@ -96,7 +96,7 @@ def word_count(x: Column | str) -> Column:
 def has_word(text: Column | str, name: Column | str) -> Column:
     """name stands in text as whole words, whatever the case. Cheap containment is tried before the pattern."""
     t, n = F.upper(_c(text)), F.upper(_c(name))
-    return F.contains(t, n) & t.rlike(F.concat(F.lit("\\b\\Q"), F.replace(n, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E\\b")))
+    return F.contains(t, n) & F.regexp_like(t, F.concat(F.lit("\\b\\Q"), F.replace(n, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E\\b")))
 
 
 def acronym_form(x: Column | str) -> Column:

@@ -229,7 +229,7 @@ def maximal_cliques(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         for x, y in zip(pdf["x"], pdf["y"], strict=True):
             near.setdefault(x, set()).add(y)
             near.setdefault(y, set()).add(x)
-        return pd.DataFrame({"clique": [sorted(c) for c in cliques_of(near)]})
+        return pd.DataFrame({"clique": [[str(x) for x in sorted(c)] for c in cliques_of(near)]})
 
     return placed.groupBy("component").applyInPandas(run, "clique array<string>")
 
