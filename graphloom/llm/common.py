@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from graphloom.plans.ship import ship
 from graphloom.plans.tables import materialize, shared_dir
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 """Text bytes that one vectorised step works on; a longer document is one step of its own."""
 
 ROOT_ODD = 0x9E3779B97F4A7C15
@@ -86,7 +86,7 @@ def _byte_values() -> np.ndarray:
     return v
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     r = np.uint64(ROOT_ODD)
     inv = np.uint64(pow(ROOT_ODD, -1, 1 << 64))
@@ -136,7 +136,7 @@ class Words:
     def _hash(self, raw: np.ndarray) -> np.ndarray:
         if not len(self.start):
             return np.zeros(0, np.uint64)
-        size = 1 << max(21, int(len(raw)).bit_length())
+        size = 1 << max(20, int(len(raw)).bit_length())
         up, down = _powers(size)
         with np.errstate(over="ignore"):
             c = np.zeros(len(raw) + 1, np.uint64)

@@ -83,7 +83,8 @@ def document_frequencies(docs: DataFrame, text_col: str, vocabulary: list[str])
 def _postings(templates: tuple[Template, ...], df: dict[str, int]) -> list[list[tuple[str, int]]]:
     out = []
     for t in templates:
-        rare = sorted(range(len(t.words)), key=lambda i: (df.get(t.words[i], 0), i))
+        # Words that no file has come last: no file can be looked up by them.
+        rare = sorted(range(len(t.words)), key=lambda i: (df.get(t.words[i], 0) or 1 << 62, i))
         out.append(sorted((t.words[i], i) for i in rare[: RARE_WORDS if len(t.words) > SHORT else 1]))
     return out
 

@@ -50,6 +50,8 @@ BITMAP_BITS = 27
 MOST_FREQUENT = 1 << 18
 """Shingles whose frequency is known to all tasks; 12 bytes each."""
 FREQUENT = 16
+MOST_CLUSTERS = 100_000
+"""Clusters whose centres are broadcast at most, 24 bytes each."""
 NODE_BITMAP_BITS = 21
 FLUSH = 1 << 20
 UNSIGNED = np.uint64
@@ -202,8 +204,10 @@ def shingle_order(docs: DataFrame, rule: Rule, total: int) -> Order:
     found = materialize(frequencies(docs, rule, lead), "shingle-frequencies")
     bits = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
     size = (1 << (BITMAP_BITS - lead)) // 8
-    for r in found.select("bucket", "bits").collect():
-        bits[r["bucket"] * size : (r["bucket"] + 1) * size] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    parts = found.select("bucket", "bits").toArrow()
+    for b, own in zip(parts.column("bucket").to_pylist(), parts.column("bits"), strict=True):
+        bits[b * size : (b + 1) * size] = np.frombuffer(own.as_buffer(), np.uint8)
+    del parts
     each = found.select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).select("x.tokens", "x.counts")
     steps = sorted((r["k"], r["count"]) for r in each.groupBy(F.floor(F.log2("counts")).alias("k")).count().collect())
     least, kept = None, 0
@@ -211,9 +215,12 @@ def shingle_order(docs: DataFrame, rule: Rule, total: int) -> Order:
         if kept + n > MOST_FREQUENT:
             break
         least, kept = k, kept + n
-    rows = [] if least is None else each.filter(F.floor(F.log2("counts")) >= least).collect()
-    rows = sorted((r["tokens"], r["counts"]) for r in rows)
-    return Order(bits, lead, np.array([t for t, _ in rows], np.int64), np.array([c for _, c in rows], np.int64))
+    if least is None:
+        return Order(bits, lead, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    rows = each.filter(F.floor(F.log2("counts")) >= least).toArrow()
+    tokens, counts = (rows.column(c).to_numpy() for c in ("tokens", "counts"))
+    order = np.argsort(tokens)
+    return Order(bits, lead, tokens[order], counts[order])
 
 
 def short_lists(docs: DataFrame, rule: Rule, order: Order) -> DataFrame:
@@ -368,7 +375,9 @@ def cluster_links(asks: DataFrame, members: DataFrame, sets: DataFrame, rule: Ru
     """Links (a, b) of the nodes of asks (cluster, node) with those of members (cluster, node), in blocks of about BLOCK sets."""
     size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("k")).select("cluster", (F.floor((F.col("k") - 1) / BLOCK) + 1).cast("int").alias("blocks"))
     asked = asks.groupBy("cluster").agg(F.count(F.lit(1)).alias("k")).select("cluster", (F.floor((F.col("k") - 1) / BLOCK) + 1).cast("int").alias("ask_blocks"))
-    both = size.join(asked, "cluster")
+    both = materialize(size.join(asked, "cluster"), "cluster-blocks")
+    if both.count() <= MOST_CLUSTERS:
+        both = F.broadcast(both)
 
     def packed(rows: DataFrame, blocks: str, name: str) -> DataFrame:
         dealt = rows.join(both, "cluster").select("cluster", F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int").alias(f"{name}_block"), "node", "blocks", "ask_blocks")
@@ -407,14 +416,18 @@ def find_links(docs: DataFrame, total: int, rule: Rule) -> DataFrame:
         about = many.select("node", "n", "rare").distinct()
         cluster = materialize(cluster.join(about.hint("merge"), "node"), "clusters")
         centres = cluster.groupBy("cluster").agg(F.min(F.struct("rare", "node")).alias("c")).select("cluster", F.col("c.node").alias("centre"))
-        star = cluster.join(centres.hint("merge"), "cluster").filter(F.col("node") != F.col("centre")).select(F.col("node").alias("a"), F.col("centre").alias("b"))
+        # A few bytes a cluster, and a cluster has more than SMALL nodes: sent to all tasks while they are few.
+        centres = materialize(centres, "centres")
+        few_clusters = centres.count() <= MOST_CLUSTERS
+        sent = F.broadcast if few_clusters else lambda d: d.hint("merge")
+        star = cluster.join(sent(centres), "cluster").filter(F.col("node") != F.col("centre")).select(F.col("node").alias("a"), F.col("centre").alias("b"))
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(cluster.select("node")).distinct()
         sets = materialize(node_sets(docs, rule, nodes), "sets")
         links = materialize(check_pairs(pairs, sets, rule).unionByName(check_pairs(star, sets, rule)), "links")
         parts = connected_components(links, "a", "b")
         placed = cluster.join(parts, "node", "left").select("cluster", "node", F.coalesce("component", "node").alias("part"))
-        centre_part = placed.join(centres.hint("merge"), "cluster").filter(F.col("node") == F.col("centre")).select("cluster", F.col("part").alias("main"))
-        left = placed.join(centre_part.hint("merge"), "cluster").filter(F.col("part") != F.col("main")).select("cluster", "node")
+        centre_part = placed.join(sent(centres), "cluster").filter(F.col("node") == F.col("centre")).select("cluster", F.col("part").alias("main"))
+        left = placed.join(sent(centre_part), "cluster").filter(F.col("part") != F.col("main")).select("cluster", "node")
         more = cluster_links(left, cluster.select("cluster", "node"), sets, rule)
         return materialize(links.unionByName(more.filter("a <> b")), "links")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
