@@ -307,3 +307,8 @@ query("udf8_udf9_questions")(lambda t: models.answered(t("conversations").filter
 query("udf5_udf6_udf10_summaries", None)(lambda t: models.answered(t("conversations").select("conv_id", "turn", F.col("text").alias("asked")), F.col("asked"), lambda: models.stand_in_summary).select("conv_id", "turn", F.col("text").alias("summary"), "tokens"))
 query("udf4_udf11_grader")(lambda t: models.answered(answers(t), models.prompt("grade", gold=F.col("question"), text=F.col("answer")), lambda: models.stand_in_grade, valid=lambda s: s in ("0", "1")).select("qid", text.binary_grade("text").alias("score"), "attempts"))
 query("udf12_vec1_embedder")(lambda t: t("benchmark").select("item_id", models.stand_in_embedding(F.concat(F.lit("Entity: "), "text")).alias("embedding")))
+query("jn9_orphan_relations", "SELECT DISTINCT 'r' || p_partkey AS r_id, 'n' || n_nationkey AS node_id FROM part JOIN nation ON regexp_matches(upper(p_name || ' ' || 'NATION_' || (p_partkey % 30)), '(^|[^A-Z0-9_])' || upper(n_name) || '($|[^A-Z0-9_])')")(lambda t: graph.orphan_relations(t("part").select(F.lit("u").alias("unit"), F.concat(F.lit("r"), "p_partkey").alias("r_id"), F.concat("p_name", F.lit(" NATION_"), F.col("p_partkey") % 30).alias("text")), t("part").select(F.concat(F.lit("x"), "p_partkey").alias("r_id")), t("nation").select(F.lit("v").alias("unit"), F.concat(F.lit("n"), "n_nationkey").alias("node_id"), F.col("n_name").alias("alias"))))
+query("vec14_token_truncation", "SELECT vec_id, CASE WHEN label < 5 THEN 'CLS,a,SEP' ELSE 'CLS,b,SEP' END AS kept FROM embeddings")(lambda t: t("embeddings").select("vec_id", F.array_join(text.truncated_tokens(F.array(F.lit("CLS"), F.when(F.col("label") < 5, "a").otherwise("b"), F.lit("c"), F.lit("d"), F.lit("SEP")), F.array(F.lit("CLS"), F.lit("SEP")), 3), ",").alias("kept")))
+query("val11_val15_val16_typed_rows", "SELECT count(*) AS n, count(*) FILTER (label IS NULL) AS untyped FROM embeddings")(lambda t: files.round_trip(t("embeddings").select("vec_id", "label"), "json").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label").isNull()).alias("untyped")))
+query("udf14_judged_statements")(lambda t: models.answered(answers(t).select(F.col("qid").alias("id"), F.explode(F.filter(F.split("answer", "(?<=[.!?])\\s+"), lambda s: F.length(s) > 0)).alias("statement"), "question"), models.prompt("grade", gold=F.col("question"), text=F.col("statement")), lambda: models.stand_in_grade).select("id", "statement", text.binary_grade("text").alias("verdict")).groupBy("id").agg(F.avg("verdict").alias("faithfulness")))
+query("grf4_communities_as_nodes", "SELECT 'H' || lpad(CAST(r_regionkey AS VARCHAR), 6, '0') AS node_id, 'H' AS node_type FROM region UNION ALL SELECT 'H' || lpad(CAST(r_regionkey AS VARCHAR), 6, '0') || ':O000', 'O' FROM region")(lambda t: (lambda h: h.select("node_id", F.lit("H").alias("node_type")).unionByName(h.select(text.part_id("node_id", "O", F.lit(0)).alias("node_id"), F.lit("O").alias("node_type"))))(t("region").select(text.serial_id("H", "r_regionkey").alias("node_id"))))
