@@ -3,16 +3,13 @@ from __future__ import annotations
 import random
 
 import pytest
+from made_texts import words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 # Columns that operators make or use inside, of other types.
 CLASH = ["n_words", "hits", "items", "n_hit", "places", "pii", "score", "keep", "evidence", "size", "target", "taken", "lang_pred", "ambiguous", "node", "id", "h"]
 
 
-def words(rng, n, letters="abcdefghij"):
-    return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def odd_docs(spark):
     """Nulls in every column, empty and very long texts, ties, repeated rows, letters beyond ASCII and columns with clashing names."""

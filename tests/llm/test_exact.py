@@ -8,7 +8,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import words
+from made_texts import words
 from pyspark.sql import functions as F
 
 import corpus_pipeline
