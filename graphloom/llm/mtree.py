@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize
+from graphloom.llm.common import materialize, shuffle_width
 
 PAGE = 128
 """Most entries of a leaf page; an inner page has as many children."""
@@ -163,7 +163,8 @@ def top_inner_products(vectors: DataFrame, id_col: str, vector_col: str, is_quer
 
     built = materialize(_packed(rows.select("id", "vector"), trees_n, trees).withColumnRenamed("blob", "tree"), "mtree")
     asks = _packed(rows.filter("q").select("id", "vector"), blocks_n, blocks).select(F.col("length"), F.col("blob"), F.explode(F.sequence(F.lit(0), F.lit(trees_n - 1))).alias("part"))
-    met = asks.join(built, ["part", "length"]).select("tree", "blob")
+    # A search is work, not bytes: AQE would put many into one task by their size.
+    met = asks.join(built, ["part", "length"]).select("tree", "blob").repartition(shuffle_width(vectors.sparkSession))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
