@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import crc_mod, read_table
 from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.langid import fit_languages, identify_languages
-from graphloom.llm.licenses import scan_licenses
+from graphloom.llm.licenses import RARE_WORDS, SHORT, TEMPLATES, scan_licenses
 from graphloom.llm.mixing import mix_sources
 from graphloom.llm.mtree import top_inner_products
 from graphloom.llm.ngram_join import join_components
@@ -48,6 +48,39 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.size("_base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), labels("_base").alias("base_labels"), labels("places").alias("labels"), score.alias("score"))
 
 
+def _template_rows() -> str:
+    listed = lambda w: "[" + ", ".join(f"'{x}'" for x in w) + "]"
+    return ", ".join(f"({i}, '{t.label}', {str(t.base).upper()}, {listed(t.words)}, {listed(t.key_words)}, {t.key_at})" for i, t in enumerate(TEMPLATES))
+
+
+OP4_SQL = rf"""
+WITH t(template, label, base, words, key, key_at) AS (VALUES {_template_rows()}
+), d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), u AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM d
+), f AS (SELECT word, count(DISTINCT doc_id) AS n FROM u GROUP BY 1
+), tw AS (SELECT template, len(words) AS size, unnest(words) AS word, unnest(range(len(words))) AS o FROM t
+), r AS (
+  SELECT template, word, o FROM tw LEFT JOIN f USING (word)
+  QUALIFY row_number() OVER (PARTITION BY template ORDER BY coalesce(n, 1000000000000), o) <= CASE WHEN size > {SHORT} THEN {RARE_WORDS} ELSE 1 END
+), c AS (
+  SELECT d.doc_id, d.w, t.*, p - key_at AS s FROM u JOIN t ON u.word = t.key[1] AND p >= key_at JOIN d ON d.doc_id = u.doc_id
+  WHERE d.w[p + 1:p + len(key)] = key
+), j AS (SELECT c.doc_id, c.template, c.s, count(*) AS rare, count(*) FILTER (c.w[c.s + r.o + 1] = r.word) AS joint FROM c JOIN r USING (template) GROUP BY 1, 2, 3
+), found AS (
+  SELECT DISTINCT c.doc_id, template, label, base, s, len(list_filter(range(len(words)), lambda i: coalesce(w[s + i + 1] = words[i + 1], false))) / len(words) AS coverage
+  FROM c JOIN j USING (template, s) WHERE j.doc_id = c.doc_id AND joint >= (rare + 1) // 2
+), a AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score
+  FROM found GROUP BY 1
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN a USING (doc_id)
+"""
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -157,6 +190,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_license_scan": OP4_SQL,
     "op5_ngram_jaccard_join": OP5_SQL,
     "op6_warc_archives": OP6_SQL,
     "op8_benchmark_decontamination": OP8_SQL,
