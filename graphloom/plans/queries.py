@@ -7,6 +7,7 @@ conversation are questions and answers; labels are grades.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -312,3 +313,13 @@ query("vec14_token_truncation", "SELECT vec_id, CASE WHEN label < 5 THEN 'CLS,a,
 query("val11_val15_val16_typed_rows", "SELECT count(*) AS n, count(*) FILTER (label IS NULL) AS untyped FROM embeddings")(lambda t: files.round_trip(t("embeddings").select("vec_id", "label"), "json").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label").isNull()).alias("untyped")))
 query("udf14_judged_statements")(lambda t: models.answered(answers(t).select(F.col("qid").alias("id"), F.explode(F.filter(F.split("answer", "(?<=[.!?])\\s+"), lambda s: F.length(s) > 0)).alias("statement"), "question"), models.prompt("grade", gold=F.col("question"), text=F.col("statement")), lambda: models.stand_in_grade).select("id", "statement", text.binary_grade("text").alias("verdict")).groupBy("id").agg(F.avg("verdict").alias("faithfulness")))
 query("grf4_communities_as_nodes", "SELECT 'H' || lpad(CAST(r_regionkey AS VARCHAR), 6, '0') AS node_id, 'H' AS node_type FROM region UNION ALL SELECT 'H' || lpad(CAST(r_regionkey AS VARCHAR), 6, '0') || ':O000', 'O' FROM region")(lambda t: (lambda h: h.select("node_id", F.lit("H").alias("node_type")).unionByName(h.select(text.part_id("node_id", "O", F.lit(0)).alias("node_id"), F.lit("O").alias("node_type"))))(t("region").select(text.serial_id("H", "r_regionkey").alias("node_id"))))
+query("src4_src5_src6_image_paths", "SELECT page_id, ['jpg', 'txt', 'webp'][page_id % 3 + 1] AS ext FROM pages WHERE page_id % 3 <> 1")(lambda t: t("pages").select("page_id", F.concat(F.lit("/images/0"), F.col("page_id") % 3 + 1, F.lit("/"), "page_id", F.lit("."), F.get(F.array(F.lit("JPG"), F.lit("txt"), F.lit("webp")), (F.col("page_id") % 3).cast("int"))).alias("path")).filter(text.is_image("path")).select("page_id", text.extension("path").alias("ext")))
+
+
+@query("ckp6_stage_cache", "SELECT label, count(*) AS n FROM embeddings GROUP BY 1")
+def _stage_cache(t):
+    spark = t("embeddings").sparkSession
+    path = f"{files.shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    made = lambda: t("embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    files.cached_stage(spark, path, made)
+    return files.cached_stage(spark, path, lambda: made().limit(0))
