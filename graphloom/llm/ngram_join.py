@@ -200,7 +200,7 @@ class Order:
 
 def shingle_order(docs: DataFrame, rule: Rule, total: int) -> Order:
     """total: shingles of all sets; it sets how many leading bits deal them out."""
-    lead = int(min(20, max(6, np.ceil(np.log2(max(1, total) / (1 << 21))))))
+    lead = int(min(20, max(6, np.ceil(np.log2(max(1, total) / (1 << 19))))))
     found = materialize(frequencies(docs, rule, lead), "shingle-frequencies")
     bits = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
     size = (1 << (BITMAP_BITS - lead)) // 8
