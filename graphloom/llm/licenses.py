@@ -62,6 +62,7 @@ TEMPLATES = (
     Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 )
 
+PLACES = "array<struct<template:int,label:string,base:boolean,start:bigint,n_words:bigint,coverage:double>>"
 RARE_WORDS = 4
 """Postings kept for a template of over SHORT words; a shorter one keeps its rarest word."""
 SHORT = 5
@@ -83,6 +84,9 @@ def document_frequencies(docs: DataFrame, text_col: str, vocabulary: list[str])
 def _postings(templates: tuple[Template, ...], df: dict[str, int]) -> list[list[tuple[str, int]]]:
     out = []
     for t in templates:
+        if not all(df.get(w) for w in t.key_words):  # no file can have the key phrase
+            out.append([])
+            continue
         # Words that no file has come last: no file can be looked up by them.
         rare = sorted(range(len(t.words)), key=lambda i: (df.get(t.words[i], 0) or 1 << 62, i))
         out.append(sorted((t.words[i], i) for i in rare[: RARE_WORDS if len(t.words) > SHORT else 1]))
@@ -98,6 +102,8 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", templates: tuple[Temp
     df = document_frequencies(docs, text_col, sorted({w for t in templates for w in t.words}))
     postings = _postings(templates, df)
     rare = sorted({w for p in postings for w, _ in p})
+    if not rare:
+        return docs.drop("n_words", "places").withColumns({"n_words": F.size(text_words(F.col(text_col))).cast("long"), "places": F.array().cast(PLACES)})
     index = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(t).alias("t"), F.lit(o).alias("o")) for t, p in enumerate(postings) for w, o in p])
     about = F.array(
         *[
@@ -107,7 +113,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", templates: tuple[Temp
                 _strings(t.words).alias("words"),
                 _strings(t.key_words).alias("key"),
                 F.lit(t.key_at).alias("key_at"),
-                F.array(*[F.struct(F.lit(w).alias("w"), F.lit(o).alias("o")) for w, o in p]).alias("rare"),
+                F.array(*[F.struct(F.lit(w).alias("w"), F.lit(o).alias("o")) for w, o in p]).cast("array<struct<w:string,o:int>>").alias("rare"),
                 F.lit((len(p) + 1) // 2).alias("need"),
             )
             for t, p in zip(templates, postings, strict=True)
