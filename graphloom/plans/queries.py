@@ -49,10 +49,10 @@ units AS (SELECT doc_id, idx, {STRIP.format('l')} AS u FROM lines WHERE {STRIP.f
 mentions AS (SELECT doc_id, idx, unnest(regexp_extract_all(u, '[A-Z][a-z]+')) AS e, unnest(range(len(regexp_extract_all(u, '[A-Z][a-z]+')))) AS pos FROM units)
 """
 MUTUAL = """
-s AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
-k AS (SELECT src, dst, sim, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) <= 16),
-m AS (SELECT a.src, a.dst, a.sim FROM k a JOIN k b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst AND a.sim > 0.3),
-edges AS (SELECT src, dst, sim AS w FROM m UNION ALL SELECT dst, src, sim FROM m)
+s AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS raw, round(raw, 9) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+k AS (SELECT src, dst, sim, raw, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) <= 16),
+m AS (SELECT a.src, a.dst, a.sim, a.raw FROM k a JOIN k b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst AND a.sim > 0.3),
+edges AS (SELECT src, dst, raw AS w FROM m UNION ALL SELECT dst, src, raw FROM m)
 """
 TREE = """
 tree AS (SELECT 'N' || n_nationkey AS a, 'R' || n_regionkey AS b, 2.0 AS w FROM nation
@@ -82,7 +82,7 @@ def neighbours(t) -> DataFrame:
 
 
 def mutual_graph(t) -> DataFrame:
-    pairs = vectors.mutual_edges(neighbours(t), 0.3).withColumn("w", F.round("sim", 9))
+    pairs = vectors.mutual_edges(neighbours(t), 0.3).withColumn("w", F.col("sim"))
     return materialize(graph.both_ways(pairs, "src", "dst", F.col("w")), "mutual")
 
 
@@ -103,7 +103,7 @@ def answers(t) -> DataFrame:
 
 
 def r6(c: Column | str) -> Column:
-    return F.round(F.round(c, 9), 6)
+    return F.round(c, 6)
 
 
 # --- flagship ---------------------------------------------------------------------------------------------------
@@ -122,7 +122,7 @@ SELECT qid, node AS node_id, label FROM f JOIN embeddings ON vec_id = node""",
 )
 def _flagship(t):
     near = neighbours(t)
-    pairs = vectors.mutual_edges(near, 0.3).withColumn("w", F.round("sim", 9))
+    pairs = vectors.mutual_edges(near, 0.3).withColumn("w", F.col("sim"))
     edges = materialize(graph.both_ways(pairs, "src", "dst", F.col("w")), "mutual")
     entry = near.filter("src % 50 = 0 AND rank <= 8").select(F.col("src").alias("qid"), F.col("dst").alias("node_id"))
     found = graph.mass_cut(graph.shallow_ppr(edges, entry)).select("qid", "node_id").unionByName(entry).distinct()
@@ -219,7 +219,7 @@ query("top3_paired_sort", "SELECT l_orderkey AS qid, l_linenumber AS pos, l_disc
 query("top4_natural_order", f"WITH {UNITS} SELECT doc_id || ':T' || idx AS id, row_number() OVER (PARTITION BY doc_id ORDER BY doc_id, idx) AS n FROM units")(lambda t: units(t).select("doc_id", F.concat("doc_id", F.lit(":T"), "idx").alias("id")).select("id", F.row_number().over(Window.partitionBy("doc_id").orderBy(text.natural_key("id"))).cast("long").alias("n")))
 query("top5_mass_cut", "SELECT o_custkey AS qid, o_orderkey AS node_id FROM (SELECT *, coalesce(sum(p) OVER (PARTITION BY o_custkey ORDER BY p DESC, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(p) OVER (PARTITION BY o_custkey) AS a, max(p) OVER (PARTITION BY o_custkey) AS t FROM (SELECT *, round(o_totalprice, 2) AS p FROM orders)) WHERE round(b, 6) < round(0.25 * a, 6) OR p = t")(lambda t: graph.mass_cut(t("orders").select(F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("node_id"), F.round("o_totalprice", 2).alias("pi"))).select("qid", "node_id"))
 query("top6_top7_prefix", f"WITH {MUTUAL} SELECT src AS qid, array_to_string(list(dst ORDER BY rank), ',') AS knn FROM k WHERE rank <= 8 GROUP BY 1")(lambda t: neighbours(t).groupBy(F.col("src").alias("qid")).agg(F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rank", "dst"))), lambda x: x["dst"]), 1, 8), ",").alias("knn")))
-query("top8_nearest_other", f"WITH {MUTUAL} SELECT src, dst, round(sim, 6) AS sim FROM k WHERE rank = 1")(lambda t: neighbours(t).filter("rank = 1").select("src", "dst", r6("sim").alias("sim")))
+query("top8_nearest_other", f"WITH {MUTUAL} SELECT src, dst, round(raw, 6) AS sim FROM k WHERE rank = 1")(lambda t: neighbours(t).filter("rank = 1").select("src", "dst", r6("sim").alias("sim")))
 query("top9_merged_contexts", "WITH x AS (SELECT l_orderkey AS qid, CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END AS sub, l_linenumber AS pos, l_suppkey AS node, l_discount AS score FROM lineitem WHERE l_discount >= 0.05), b AS (SELECT *, row_number() OVER (PARTITION BY qid, node ORDER BY score DESC, sub, pos) AS n FROM x) SELECT qid, node AS node_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, sub, pos, node) AS INTEGER) AS rank FROM b WHERE n = 1")(lambda t: (lambda x: retrieval.merged_contexts(x.filter("pos % 2 = 0"), x.filter("pos % 2 = 1").withColumn("sub", F.lit(1)), 0.05))(t("lineitem").select(F.col("l_orderkey").alias("qid"), F.col("l_linenumber").alias("pos"), F.col("l_suppkey").alias("node_id"), F.col("l_discount").alias("score"))))
 query("top10_truncated", "SELECT doc_id, left(text, 3000) AS text FROM documents")(lambda t: t("documents").select("doc_id", F.substring("text", 1, 3000).alias("text")))
 query("top11_rerank_one_question", f"WITH {MUTUAL} SELECT src AS qid, dst AS node_id FROM k WHERE src = 0")(lambda t: retrieval.ranked(neighbours(t).filter("src = 0").select(F.col("src").alias("qid"), F.col("dst").alias("node_id"), F.col("rank").alias("pos"), F.col("sim").alias("score"))).select("qid", "node_id"))
@@ -254,10 +254,10 @@ query("txt24_video_inputs", "SELECT page_id, 'video' AS type FROM pages")(lambda
 # --- vectors ----------------------------------------------------------------------------------------------------
 
 query("vec2_unit_norm", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 5) AS norm FROM embeddings")(lambda t: t("embeddings").select("vec_id", F.round(vectors.norm(F.col("embedding")), 5).alias("norm")))
-query("vec3_vec4_neighbours", f"WITH {MUTUAL} SELECT src, dst, round(sim, 6) AS sim, CAST(rank AS INTEGER) AS rank FROM k")(lambda t: neighbours(t).withColumn("sim", r6("sim")))
-query("vec5_many_vectors_a_node", f"WITH {MUTUAL} SELECT src AS qid, dst % 100 AS node, round(max(sim), 6) AS sim FROM k GROUP BY 1, 2")(lambda t: neighbours(t).groupBy(F.col("src").alias("qid"), (F.col("dst") % 100).alias("node")).agg(r6(F.max("sim")).alias("sim")))
+query("vec3_vec4_neighbours", f"WITH {MUTUAL} SELECT src, dst, round(raw, 6) AS sim, CAST(rank AS INTEGER) AS rank FROM k")(lambda t: neighbours(t).withColumn("sim", r6("sim")))
+query("vec5_many_vectors_a_node", f"WITH {MUTUAL} SELECT src AS qid, dst % 100 AS node, round(max(raw), 6) AS sim FROM k GROUP BY 1, 2")(lambda t: neighbours(t).groupBy(F.col("src").alias("qid"), (F.col("dst") % 100).alias("node")).agg(r6(F.max("sim")).alias("sim")))
 query("vec6_similar_or_acronym", f"WITH {MUTUAL} SELECT src AS a, dst AS b FROM k WHERE sim >= 0.45")(lambda t: neighbours(t).filter((F.round("sim", 9) >= 0.45) | text.is_acronym(F.concat(F.lit("x"), "src"), F.concat(F.lit("y"), "dst"))).select(F.col("src").alias("a"), F.col("dst").alias("b")))
-query("vec7_mutual_neighbours", f"WITH {MUTUAL} SELECT src, dst, round(sim, 6) AS sim FROM m")(lambda t: vectors.mutual_edges(neighbours(t), 0.3).withColumn("sim", r6("sim")))
+query("vec7_mutual_neighbours", f"WITH {MUTUAL} SELECT src, dst, round(raw, 6) AS sim FROM m")(lambda t: vectors.mutual_edges(neighbours(t), 0.3).withColumn("sim", r6("sim")))
 query("vec8_spherical_kmeans")(lambda t: vectors.spherical_kmeans(t("embeddings"), "vec_id")[0])
 query("vec9_nearest_centres", "WITH c AS (SELECT vec_id AS cluster, embedding AS v FROM embeddings WHERE vec_id < 10), s AS (SELECT e.vec_id, cluster, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 9) AS sim FROM embeddings e, c) SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, cluster) AS INTEGER) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, cluster) <= 3")(lambda t: vectors.nearest_centres(t("embeddings"), [(r["vec_id"], r["embedding"]) for r in t("embeddings").filter("vec_id < 10").collect()], 3, "vec_id"))
 query("vec10_split_by_id", "SELECT p_partkey, regexp_matches('H' || p_partkey, '^H[0-9]+$') AS high FROM part")(lambda t: t("part").select("p_partkey", F.concat(F.lit("H"), "p_partkey").rlike("^H[0-9]+$").alias("high")))
