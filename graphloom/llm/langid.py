@@ -132,7 +132,9 @@ def train(texts: list[str], labels: list[str]) -> LanguageModel:
 def fit_languages(docs: DataFrame, text_col: str, lang: Column, key: Column, a_language: int = 300) -> LanguageModel:
     rows = docs.select(F.col(text_col).cast("string").alias("text"), lang.alias("lang"), key.alias("key")).filter("text is not null")
     sample, _ = class_sample(rows, F.col("key"), F.col("lang"), a_language)
-    got = sorted((r["key"] or "", r["text"], r["_label"]) for r in sample.select(F.col("key").cast("string").alias("key"), "text", "_label").collect())
+    # One row a key, however often it is repeated: the sample stays bounded.
+    sample = sample.groupBy(F.col("key").cast("string").alias("key")).agg(F.min(F.struct("text", "_label")).alias("r")).select("key", "r.*")
+    got = sorted((r["key"] or "", r["text"], r["_label"]) for r in sample.collect())
     return train([t for _, t, _ in got], [c for _, _, c in got])
 
 

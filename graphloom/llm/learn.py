@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 MOST_CLASSES = 256
 """Classes that a model is fitted for: the most frequent ones."""
+MOST_ROWS = 8000
+"""Rows of a sample over all classes, about."""
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -15,11 +17,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def class_sample(rows: DataFrame, key: Column, label: Column, a_class: int) -> tuple[DataFrame, dict]:
-    """A sample by a hash of the key, about a_class rows of each class or all if there are fewer; (rows with _label, {label: rows in all})."""
+    """A sample by a hash of the key, about a_class rows of each class (fewer where MOST_ROWS is met) or all if there are fewer; (rows with _label, {label: rows in all})."""
     rows = rows.withColumn("_label", label).filter(F.col("_label").isNotNull())
     counts = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().orderBy(F.col("count").desc(), "_label").limit(MOST_CLASSES).collect()}
     if not counts:
         return rows.filter(F.lit(False)), counts
+    a_class = min(a_class, MOST_ROWS // len(counts))
     place = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
     take = F.lit(False)
     for c, n in counts.items():
@@ -27,6 +30,12 @@ def class_sample(rows: DataFrame, key: Column, label: Column, a_class: int) -> t
     return rows.filter(take), counts
 
 
+def texts_of(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """(id, _label, text) of the sampled ids among (id, text): one row an id, however often it is repeated, so that the sample stays bounded."""
+    found = docs.join(F.broadcast(sample.select("id", "_label")), "id")
+    return found.groupBy("id", "_label").agg(F.min("text").alias("text"))
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1e-4, steps: int = 150, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
     """Weights (features, outputs) and biases of independent logistic regressions; y in 0 to 1, (rows, outputs). Adam on all rows at once."""
     n, d = x.shape

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.common import Words, materialize, per_doc, text_batches
-from graphloom.llm.learn import class_sample, fit_logistic
+from graphloom.llm.learn import class_sample, fit_logistic, texts_of
 
 MOST_SITES = 50_000
 """Sites that are broadcast at most."""
@@ -113,7 +113,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     if not good or not bad:
         return QualityModel(np.zeros((1, 1)), 0.0, np.zeros(1), np.ones(1), prior, False)
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = sorted((r["id"], r["text"], r["_label"]) for r in own.join(F.broadcast(some.select("id", "_label")), "id").collect())
+    rows = sorted((r["id"], r["text"], r["_label"]) for r in texts_of(own, some).collect())
     if len({y for _, _, y in rows}) < 2:
         return QualityModel(np.zeros((1, 1)), 0.0, np.zeros(1), np.ones(1), prior, False)
     batch = pa.RecordBatch.from_arrays([pa.array([t for _, t, _ in rows], pa.large_string())], ["text"])

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.common import Words, text_batches
-from graphloom.llm.learn import class_sample, fit_logistic, sigmoid
+from graphloom.llm.learn import class_sample, fit_logistic, texts_of, sigmoid
 
 WINDOW = 32
 STRIDE = 24
@@ -299,7 +299,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: st
     bad, good = counts.get(1, 0), counts.get(0, 0)
     share = bad / (bad + good) if bad + good else 0.0
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = sorted((r["id"], r["text"], r["_label"]) for r in own.join(F.broadcast(some.select("id", "_label")), "id").collect()) if counts else []
+    rows = sorted((r["id"], r["text"], r["_label"]) for r in texts_of(own, some).collect()) if counts else []
     return train([t for _, t, _ in rows], [c for _, _, c in rows], share)
 
 
