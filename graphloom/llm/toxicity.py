@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.common import Words, text_batches
-from graphloom.llm.learn import class_sample, fit_logistic, texts_of, sigmoid
+from graphloom.llm.learn import class_sample, fit_logistic, sigmoid, texts_of
 
 WINDOW = 32
 STRIDE = 24
