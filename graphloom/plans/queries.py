@@ -55,8 +55,8 @@ m AS (SELECT a.src, a.dst, a.sim, a.raw FROM k a JOIN k b ON a.src = b.dst AND a
 edges AS (SELECT src, dst, raw AS w FROM m UNION ALL SELECT dst, src, raw FROM m)
 """
 TREE = """
-tree AS (SELECT 'N' || n_nationkey AS a, 'R' || n_regionkey AS b, 2.0 AS w FROM nation
-  UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey, 1.0 FROM supplier UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey, 4.0 FROM customer),
+tree AS (SELECT 'N' || n_nationkey AS a, 'R' || n_regionkey AS b, CAST(2 AS DOUBLE) AS w FROM nation
+  UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey, 1 FROM supplier UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey, 4 FROM customer),
 edges AS (SELECT a AS src, b AS dst, w FROM tree UNION ALL SELECT b, a, w FROM tree)
 """
 ANSWERS = """
@@ -193,7 +193,7 @@ query("jn21_jn22_stage_join", f"WITH {ANSWERS} SELECT qid, length(question) AS q
 
 # --- aggregates -------------------------------------------------------------------------------------------------
 
-query("agg1_txt26_word_counts", "SELECT count(*) AS n, sum(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))) AS words FROM documents")(lambda t: t("documents").agg(F.count(F.lit(1)).alias("n"), F.sum(text.word_count("text")).alias("words")))
+query("agg1_txt26_word_counts", "SELECT count(*) AS n, CAST(sum(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))) AS BIGINT) AS words FROM documents")(lambda t: t("documents").agg(F.count(F.lit(1)).alias("n"), F.sum(text.word_count("text")).alias("words")))
 query("agg3_type_counts", "SELECT label, count(*) AS n FROM embeddings GROUP BY 1")(lambda t: t("embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n")))
 query("agg4_agg5_degree_stats", f"WITH {TREE}, d AS (SELECT src, sum(w) AS d FROM edges GROUP BY 1) SELECT min(d) AS min_degree, max(d) AS max_degree, round(avg(d), 6) AS avg_degree, CAST(0 AS BIGINT) AS isolated, (SELECT min(w) FROM edges) AS min_weight, (SELECT max(w) FROM edges) AS max_weight FROM d")(lambda t: (lambda e: graph.degree_stats(e.select(F.col("src").alias("node_id")).distinct(), e))(key_tree(t)))
 query("agg7_group_sizes", f"WITH {UNITS}, g AS (SELECT left(upper(e), 2) AS g, count(DISTINCT upper(e)) AS n FROM mentions GROUP BY 1) SELECT max(n) AS most, round(avg(n), 6) AS mean FROM g")(lambda t: mentions(t).groupBy(F.left(F.upper("e"), F.lit(2)).alias("g")).agg(F.countDistinct(F.upper("e")).alias("n")).agg(F.max("n").alias("most"), r6(F.avg("n")).alias("mean")))
@@ -202,8 +202,8 @@ query("agg9_default_k", f"WITH {TREE}, v AS (SELECT count(DISTINCT src) AS v, su
 query("agg10_important_nodes", f"WITH {TREE} SELECT src AS node_id, sum(w) AS degree FROM edges WHERE src LIKE 'N%' GROUP BY 1 HAVING sum(w) >= 100")(lambda t: (lambda e: graph.important(e.select(F.col("src").alias("node_id"), F.left("src", F.lit(1)).alias("node_type")).distinct(), e, 100))(key_tree(t)))
 query("agg11_inverted_index", f"WITH {UNITS}, x AS (SELECT DISTINCT upper(e) AS entity, 'T' || doc_id AS n FROM mentions) SELECT entity, array_to_string(list_sort(list(n)), ',') AS nodes FROM x GROUP BY 1")(lambda t: graph.inverted_index(mentions(t).groupBy(F.concat(F.lit("T"), "doc_id").alias("node_id")).agg(F.collect_set(F.upper("e")).alias("names")).withColumn("node_type", F.lit("N"))).withColumn("nodes", F.array_join("nodes", ",")))
 query("agg13_recall_means", "SELECT round(avg(quality), 6) AS recall, round(avg(toxic), 6) AS tokens, count(*) AS n FROM labels WHERE quality IS NOT NULL")(lambda t: evaluate.recall_means(t("labels").select(F.col("quality").alias("context_recall"), F.col("toxic").alias("tokens"))))
-query("agg14_accuracy", "SELECT sum(quality) AS correct, count(*) AS n, round(avg(quality), 6) AS accuracy FROM labels WHERE quality IN (0, 1)")(lambda t: evaluate.accuracy(t("labels").withColumnRenamed("quality", "score")))
-query("agg15_agg23_token_sums", "SELECT conv_id, sum(length(text)) AS tokens FROM conversations GROUP BY 1")(lambda t: t("conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("tokens")))
+query("agg14_accuracy", "SELECT CAST(sum(quality) AS BIGINT) AS correct, count(*) AS n, round(avg(quality), 6) AS accuracy FROM labels WHERE quality IN (0, 1)")(lambda t: evaluate.accuracy(t("labels").withColumnRenamed("quality", "score")))
+query("agg15_agg23_token_sums", "SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS tokens FROM conversations GROUP BY 1")(lambda t: t("conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("tokens")))
 query("agg16_variant_comparison", "SELECT 'base' AS variant, count(DISTINCT doc_id) AS solved FROM labels WHERE quality = 1 UNION ALL SELECT 'graph', count(DISTINCT doc_id) FROM labels WHERE quality = 1 OR toxic = 1")(lambda t: (lambda x, y: evaluate.solved({"base": [x], "graph": [x, y]}))(t("labels").filter("quality = 1").select(F.col("doc_id").alias("qid")), t("labels").filter("toxic = 1").select(F.col("doc_id").alias("qid"))))
 query("agg17_unsolved_report", f"WITH {ANSWERS} SELECT qid, answer AS gold, question AS contexts FROM qa WHERE length(answer) % 2 = 0 AND NOT regexp_matches(answer, '^-?[0-9]+([.][0-9]+)?$')")(lambda t: (lambda a: evaluate.unsolved_report(a.select("qid", F.col("answer").alias("gold")), a.filter(F.length("answer") % 2 == 1), a.select("qid", F.lit(1).alias("rank"), F.col("question").alias("content"))))(answers(t)))
 query("agg18_met1_met2_answer_accuracy", "SELECT l_orderkey, l_linenumber, round((0.75 * f + 0.25 * l_discount), 6) AS accuracy FROM (SELECT *, 2 * p * r / (p + r + 1e-10) AS f FROM (SELECT *, l_quantity / (l_quantity + l_linenumber + 1e-10) AS p, l_quantity / (l_quantity + l_suppkey + 1e-10) AS r FROM lineitem))")(lambda t: t("lineitem").select("l_orderkey", "l_linenumber", r6(evaluate.answer_accuracy(F.col("l_quantity"), F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_discount"))).alias("accuracy")))
@@ -241,7 +241,7 @@ query("txt9_txt25_lists", "SELECT vec_id, 'A' || label || ',B' AS names FROM emb
 query("txt10_lenient_json", "SELECT event_id, json_extract_string(props, '$') IS NOT NULL AS ok FROM events")(lambda t: t("events").select("event_id", text.lenient_json(F.concat(F.lit("Here it is: "), "props", F.lit(" done"))).isNotNull().alias("ok")))
 query("txt11_plain_answers", "SELECT p_partkey, array_to_string(list_filter(string_split_regex(regexp_replace(replace(lower(p_name), '-', ' '), '[^a-z0-9\\s]', '', 'g'), '\\s+'), lambda w: w <> '' AND w NOT IN ('and', 'or', 'the', 'of')), ' ') AS plain FROM part")(lambda t: t("part").select("p_partkey", text.plain_answer("p_name").alias("plain")))
 query("txt12_txt14_met7_fuzzy")(lambda t: answers(t).select("qid", compare.fuzzy_score(F.left("answer", F.lit(200)), F.left("question", F.lit(60))).alias("score")).withColumn("ok", F.col("score") >= 95))
-query("txt13_number_scores", "SELECT o_orderkey, CASE WHEN o_totalprice BETWEEN 50000 AND 150000 THEN 100.0 ELSE 0.0 END AS score FROM (SELECT o_orderkey, CAST(o_totalprice AS BIGINT) AS o_totalprice FROM orders)")(lambda t: t("orders").select("o_orderkey", text.number_score(F.concat(F.lit("it is "), F.round("o_totalprice").cast("long").cast("string"), F.lit(" or so")), F.lit(-1.0), F.lit(50000.0), F.lit(150000.0)).alias("score")))
+query("txt13_number_scores", "SELECT o_orderkey, CASE WHEN o_totalprice BETWEEN 50000 AND 150000 THEN CAST(100 AS DOUBLE) ELSE 0 END AS score FROM (SELECT o_orderkey, CAST(o_totalprice AS BIGINT) AS o_totalprice FROM orders)")(lambda t: t("orders").select("o_orderkey", text.number_score(F.concat(F.lit("it is "), F.round("o_totalprice").cast("long").cast("string"), F.lit(" or so")), F.lit(-1.0), F.lit(50000.0), F.lit(150000.0)).alias("score")))
 query("txt15_met8_rouge")(lambda t: answers(t).select("qid", r6(compare.rouge_l_udf("answer", "question")).alias("rouge")))
 query("txt16_prompts", f"WITH {ANSWERS} SELECT qid, 'List the entities the question asks about as a JSON list.' || chr(10) || question AS prompt FROM qa")(lambda t: answers(t).select("qid", models.prompt("entities", text=F.col("question")).alias("prompt")))
 query("txt17_txt22_messages", f"WITH {ANSWERS} SELECT qid, CASE WHEN length(question) > 0 THEN question ELSE 'NULL' END AS last FROM qa")(lambda t: answers(t).select("qid", F.element_at(text.embedding_message(F.lit("Represent the input"), "question", F.lit(None).cast("string"), F.lit(None).cast("string")), -1)["text"].alias("last")))
