@@ -16,7 +16,8 @@ tree are shuffled on.
 
 Defined results: a vector that is null, empty or has a null or non-finite component takes no part, neither does one
 without id; vectors of different length are not compared; an empty table gives no rows; rows that share the query's id
-are its own row; equal scores go to the smaller id.
+are its own row; equal scores go to the smaller id. A row is a row: an id that stands in n rows can hold n ranks, and a query id
+that stands in several rows has the best k hits of all of them, as in the query's SQL.
 """
 
 from __future__ import annotations
@@ -173,6 +174,6 @@ def top_inner_products(vectors: DataFrame, id_col: str, vector_col: str, is_quer
                 found = [(int(i), j, s) for i, q in zip(ids, x, strict=True) for s, j in tree.nearest(q, int(i), k)]
                 yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(3)], ["query_id", "id", "score"])
 
-    best = met.mapInArrow(search, "query_id long, id long, score long").distinct()
+    best = met.mapInArrow(search, "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +109,16 @@ def test_stages(spark, odd_docs, no_docs, tables):
             assert out.columns == docs.columns, name
             assert out.count() <= docs.count()
         assert corpus_pipeline.STAGES[-1][1](spark, docs, tables).count() == docs.count()
+
+
+def test_repeated_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0])] + [(1, [0.9, 0.1])] * 7 + [(i, [0.8 - i / 100, 0.2]) for i in range(2, 9)] + [(9, [0.7, 0.7])] * 2
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, [math.floor(256 * a) for a in x]) for i, x in rows]
+    want = []
+    for q in (0, 50):
+        s = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), j) for i, x in whole if i == q for j, y in whole if j != q)
+        want += [(q, n, j, -p) for n, (p, j) in enumerate(s[:5], 1)]
+    for tree_rows in (8192, 4):
+        got = top_inner_products(v, "vec_id", "embedding", F.col("vec_id") % 50 == 0, tree_rows=tree_rows)
+        assert [tuple(r) for r in got.orderBy("query_id", "rank").collect()] == want
