@@ -163,15 +163,15 @@ def mass_cut(scores: DataFrame, share: float = 0.25) -> DataFrame:
     return rows.filter((F.round("_before", 9) < F.round(share * F.col("_all"), 9)) | (r == F.col("_top"))).drop("_before", "_all", "_top")
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 8) -> DataFrame:
-    """(source, node_id, dist, path): paths of least sum of 1 / weight from each source, of at most `rounds` steps; ties to the smaller path.
+def shortest_paths(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+    """(source, node_id, dist, path): paths of least sum of 1 / weight from each source; ties to the smaller path.
 
-    All sources relax together; the frontier is what got nearer in the last round.
+    All sources relax together until the frontier, what got nearer in the last round, is empty; a round is a step of the longest path, and beyond most_rounds it fails.
     """
     steps = materialize(edges.select("src", "dst", (1 / F.col("w")).alias("cost")), "steps")
     best = sources.select("source", F.col("source").alias("node_id"), F.lit(0.0).alias("dist"), F.array(F.col("source").cast("string")).alias("path"))
     front = best
-    for _ in range(rounds):
+    for _ in range(most_rounds):
         grown = front.join(steps, F.col("node_id") == F.col("src")).filter(~F.array_contains("path", F.col("dst").cast("string")))
         grown = grown.select("source", F.col("dst").alias("node_id"), F.round(F.col("dist") + F.col("cost"), 9).alias("dist"), F.concat("path", F.array(F.col("dst").cast("string"))).alias("path"))
         merged = grown.unionByName(best).groupBy("source", "node_id").agg(F.min(F.struct("dist", "path")).alias("b")).select("source", "node_id", "b.dist", "b.path")
@@ -180,8 +180,8 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 8) -> Dat
         front = materialize(front, "front")
         best = merged
         if not front.limit(1).count():
-            break
-    return best
+            return best
+    raise RuntimeError(f"paths not settled in {most_rounds} rounds")
 
 
 def reasoning_nodes(paths: DataFrame, entries: DataFrame, nodes: DataFrame, only_new: bool = True) -> DataFrame:

@@ -292,7 +292,7 @@ r1 AS (SELECT qid, dst AS node, sum(0.5 * r * p) AS r FROM r0 JOIN mv ON src = n
 SELECT qid, node AS node_id, round(CAST(sum(x) AS DOUBLE), 6) AS pi FROM (SELECT qid, node, r * 0.5 AS x FROM r0 UNION ALL SELECT qid, node, r * 0.5 FROM r1 UNION ALL SELECT qid, node, r * 0.5 FROM r2 UNION ALL SELECT qid, node, r FROM r3) WHERE qid <> node GROUP BY 1, 2""",
 )(lambda t: graph.shallow_ppr(key_tree(t), t("region").select(F.concat(F.lit("R"), "r_regionkey").alias("qid")).withColumn("node_id", F.col("qid"))).withColumn("pi", r6("pi")))
 query("grf13_grf14_grf15_shortest_paths", f"WITH RECURSIVE {TREE}, p AS (SELECT 'R' || r_regionkey AS source, 'R' || r_regionkey AS node, 0.0::DOUBLE AS dist, ['R' || r_regionkey] AS path FROM region UNION ALL SELECT p.source, e.dst, p.dist + 1 / e.w, list_append(p.path, e.dst) FROM p JOIN edges e ON e.src = p.node WHERE NOT list_contains(p.path, e.dst)) SELECT source, node AS node_id, round(dist, 6) AS dist, array_to_string(path, '>') AS path FROM p")(lambda t: graph.shortest_paths(key_tree(t), t("region").select(F.concat(F.lit("R"), "r_regionkey").alias("source"))).select("source", "node_id", r6("dist").alias("dist"), F.array_join("path", ">").alias("path")))
-query("grf16_reasoning_nodes", "SELECT 'q' || a.n_regionkey AS qid, 'R' || a.n_regionkey AS node_id FROM nation a GROUP BY a.n_regionkey HAVING count(*) >= 2")(lambda t: (lambda e, q: graph.reasoning_nodes(graph.shortest_paths(e, q.select(F.col("node_id").alias("source")).distinct(), 3), q, q.select("node_id", F.lit("N").alias("node_type"))))(key_tree(t), t("nation").select(F.concat(F.lit("q"), "n_regionkey").alias("qid"), F.concat(F.lit("N"), "n_nationkey").alias("node_id"))))
+query("grf16_reasoning_nodes", "SELECT 'q' || a.n_regionkey AS qid, 'R' || a.n_regionkey AS node_id FROM nation a GROUP BY a.n_regionkey HAVING count(*) >= 2")(lambda t: (lambda e, q: graph.reasoning_nodes(graph.shortest_paths(e, q.select(F.col("node_id").alias("source")).distinct()), q, q.select("node_id", F.lit("N").alias("node_type"))))(key_tree(t), t("nation").select(F.concat(F.lit("q"), "n_regionkey").alias("qid"), F.concat(F.lit("N"), "n_nationkey").alias("node_id"))))
 query("grf19_sub_question_lists", f"WITH {MUTUAL} SELECT src // 10 AS qid, src % 10 AS sub, array_to_string(list(dst ORDER BY rank), ',') AS nodes FROM k WHERE rank <= 4 GROUP BY 1, 2")(lambda t: neighbours(t).filter("rank <= 4").groupBy(F.floor(F.col("src") / 10).alias("qid"), (F.col("src") % 10).alias("sub")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "dst"))), lambda x: x["dst"]), ",").alias("nodes")))
 query("set6_merged_groups")(lambda t: t("embeddings").sparkSession.createDataFrame([(g,) for g in graph.merged_lists([["A", "B"], ["B", "C"], ["D"]])], "names array<string>"))
 

@@ -59,6 +59,19 @@ def test_shortest_paths(spark):
     assert p["c"] == (2.0, ["a", "b", "c"])
 
 
+def test_shortest_paths_of_many_steps(spark):
+    chain = [(f"n{i:02d}", f"n{i + 1:02d}", 4.0) for i in range(12)]
+    e = graph.both_ways(spark.createDataFrame([*chain, ("n00", "n12", 0.25)], "a string, b string, w double"), w=F.col("w"))
+    start = spark.createDataFrame([("n00",)], "source string")
+    p = {r["node_id"]: (r["dist"], r["path"]) for r in graph.shortest_paths(e.filter("w > 1"), start).collect()}
+    assert p == {f"n{i:02d}": (0.25 * i, [f"n{j:02d}" for j in range(i + 1)]) for i in range(13)}
+    # The detour of twelve heavy edges costs 3, the one light edge 4.
+    p = {r["node_id"]: (r["dist"], r["path"]) for r in graph.shortest_paths(e, start).collect()}
+    assert p["n12"] == (3.0, [f"n{j:02d}" for j in range(13)])
+    with pytest.raises(RuntimeError):
+        graph.shortest_paths(e, start, most_rounds=5)
+
+
 def test_entity_nodes_in_order_of_appearance(spark):
     m = spark.createDataFrame([("03", "b"), ("01", " C "), ("02", "A"), ("04", "c")], "place string, name string")
     g = spark.createDataFrame([("A", "A"), ("B", "A")], "name string, grp string")
