@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import materialize, read_table, shared_dir
@@ -20,7 +20,7 @@ from graphloom.llm.quality import classify_quality, fit_quality
 RULE = Rule(width=5, percent=80)
 """Near-duplicates: shingles of five words, similarity of 0.8 or more."""
 MOST_SENT = 1_000_000
-"""Ids that are broadcast at most, 8 bytes each."""
+"""Keys of rows that are broadcast at most, 8 bytes each."""
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,14 +30,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked texts, that of the smallest id; of rows that share an id and a component, all stay."""
-    found = join_components(docs.select("doc_id", "text"), rule=RULE)
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    # A list of ids this short is sent to the texts; a longer one meets them in a join.
-    gone = materialize(gone, "gone")
-    if gone.count() <= MOST_SENT:
-        gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component of linked texts, that of the smallest id, null ids last; rows that share an id are told apart by their text.
+
+    Texts without words are linked with nothing: their rows all stay, repeated or not.
+    """
+    key = F.xxhash64("doc_id", F.col("text").cast("string"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", key.alias("key"))
+    found = join_components(docs.select(row.alias("row"), "text"), "row", rule=RULE)
+    rows = found.filter("n_shingles > 0").groupBy(F.col("row.key").alias("_key"), (F.col("component_id") != F.col("row")).alias("gone")).agg(F.count(F.lit(1)).alias("n"))
+    marked = materialize(rows.filter("gone OR n > 1").select("_key", "gone"), "marked")
+    # A list of keys this short is sent to the texts; a longer one meets them in a join.
+    few = marked.count() <= MOST_SENT
+    sent = lambda keys: F.broadcast(keys.select("_key")) if few else keys.select("_key")
+    kept = docs.join(sent(marked.filter("gone")), key == F.col("_key"), "left_anti")
+    twice = marked.filter("NOT gone")
+    if not twice.limit(1).count():
+        return kept.select(*docs.columns)
+    # Of rows of one id and one text, the first by the hash of all columns.
+    repeats = kept.join(sent(twice), key == F.col("_key"), "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*docs.columns)))).filter("_n = 1")
+    return kept.join(sent(twice), key == F.col("_key"), "left_anti").select(*docs.columns).unionByName(repeats.select(*docs.columns))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

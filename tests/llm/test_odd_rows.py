@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
+from conftest import SCHEMA
+from made_texts import words
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -122,3 +125,17 @@ def test_repeated_vectors(spark):
     for tree_rows in (8192, 4):
         got = top_inner_products(v, "vec_id", "embedding", F.col("vec_id") % 50 == 0, tree_rows=tree_rows)
         assert [tuple(r) for r in got.orderBy("query_id", "rank").collect()] == want
+
+
+def test_near_duplicates_are_told_apart_by_row(spark):
+    rng = random.Random(9)
+    a, b, c, d = (words(rng, 40) for _ in range(4))
+    rows = [(1, a), (2, b), (2, a), (2, a.upper()), (3, c), (3, c), (3, c.upper()), (None, d), (None, d), (None, d + " x"), (None, b), (4, None), (4, None), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", k) for k, (i, t) in enumerate(rows)], SCHEMA).repartition(4)
+    for most in (corpus_pipeline.MOST_SENT, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(corpus_pipeline, "MOST_SENT", most)
+            got = [(r["doc_id"], (r["text"] or "").lower()) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+        assert sorted(x for x in got if x[1] and x[1] not in (d, d + " x")) == sorted([(1, a), (2, b), (3, c)], key=lambda x: x[0])
+        assert [i for i, t in got if t in (d, d + " x")] == [None]
+        assert sorted(repr(i) for i, t in got if not t) == ["4", "4", "None", "None"]
