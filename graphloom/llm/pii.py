@@ -1,15 +1,16 @@
 """Personal data with a skip-chain conditional random field.
 
 Patterns give the base spans: e-mail addresses, IP addresses, card numbers (Luhn) and phone numbers. They stay whatever the
-model says. What the patterns can't see is the same value written another way further on: a phone number without its
+model says. What the patterns can't see is a value written another way: a phone number without its
 country code, a card number with odd separators, an address spelled with "at". The model labels candidates: the base spans and all other
 digit groups and address-like tokens of the text. A candidate's own potential comes from a logistic regression over its shape; neighbours in
 reading order share transition potentials (the chain); candidates of the same or a similar value, however far apart, share agreement potentials (the skip
-edges, between consecutive occurrences, so that a value repeated n times has n - 1 of them). Loopy sum-product message passing
+edges). Similar are numbers of up to 15 digits of which one ends with the other, trunk zeros dropped, by SUFFIX digits at least. A candidate has
+skip edges to the last similar one of each length before it and to the base spans next to it on both sides, so that they grow with the candidates. Loopy sum-product message passing
 runs ROUNDS rounds with damping; base spans are clamped. A candidate whose marginal for a kind reaches `sure` becomes a span of the method.
 
-Potentials are learned from the patterns' own decisions on a sample of about `most_docs` documents (the bound; whole texts). Messages can only
-add a span where skip edges reach a base span, so a document without such a candidate is finished after its patterns.
+Potentials are learned from the patterns' own decisions on a sample of about `most_docs` documents (the bound; whole texts) and one made-up
+unlabelled example of each shape, as the counts begin at one. The marginals alone decide, in documents without base spans too.
 
 Everything stays within the row; whole texts; offsets are code points.
 
@@ -43,6 +44,23 @@ SIGN = re.compile(r"[0-9@]")
 DIGITS = re.compile(r"\(?[0-9](?:[\x20().-]{0,3}[0-9])+")
 SPELLED = re.compile(r"([A-Za-z0-9][A-Za-z0-9._%+-]{0,63})[\x20]?[\[(]?[\x20]?(?:@|\bat\b)[\x20]?[\])]?[\x20]?([A-Za-z0-9-]{1,63}(?:(?:\.|[\x20]?[\[(]?dot[\])]?[\x20]?)[A-Za-z0-9-]{1,63}){1,8})", re.IGNORECASE)
 FULL = re.compile(r"[0-9]")
+# Whatever SPELLED finds has this in it, which is much cheaper to look for.
+SPELLED_CORE = re.compile(r"(?:@|\bat\b)[\x20]?[\])]?[\x20]?[A-Za-z0-9-]{1,63}(?:\.|[\x20]?[\[(]?dot[\])]?[\x20]?)[A-Za-z0-9-]", re.IGNORECASE)
+HANDLE = re.compile(r"\s@\S")
+MOST_AGAINST = 3.0
+"""Log odds by which a shape speaks against a kind, at most; half of the least agreement potential."""
+SUFFIX = 7
+"""Digits that similar numbers share at least."""
+PLAIN = ("1234567", "123-4567", "1234567890", "(123) 456-7890", "1.555.123.4567", "12345678901234", "1234 5678 9012 345", "12345678901234567890", "a at b.c", "a @b.c")
+"""An unlabelled example of each shape."""
+
+
+def _small(part: str) -> bool:
+    return len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or "0") <= 255
+
+
+def _is_ip(s: str) -> bool:
+    return IP.fullmatch(s) is not None and all(map(_small, s.split(".")))
 
 
 def luhn(digits: str) -> bool:
@@ -74,8 +92,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(s, 0, e) for s, e in _emails(text)] if "@" in text else []
     if not FULL.search(text):
         return out
-    small = lambda p: len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255
-    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(map(small, m[0].split(".")))]
+    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(map(_small, m[0].split(".")))]
     for m in CARD.finditer(text):
         d = m[0].replace(" ", "").replace("-", "")
         if 14 <= len(d) <= 19 and luhn(d):
@@ -97,8 +114,8 @@ class Candidate:
 def _shape(s: str) -> tuple[float, ...]:
     n = sum(c in "0123456789" for c in s)
     return (
-        float("@" in s), float(n == 0), float(1 <= n <= 6), float(7 <= n <= 9), float(10 <= n <= 13), float(14 <= n <= 19), float(n > 19),
-        float(s.startswith("+")), float(s.count(".") == 3 and n <= 12), float("(" in s), float(any(c in " -." for c in s)), float(14 <= n <= 19 and luhn("".join(c for c in s if c in "0123456789"))),
+        float("@" in s and not HANDLE.search(s)), float(n == 0), float(1 <= n <= 6), float(7 <= n <= 9), float(10 <= n <= 13), float(14 <= n <= 19), float(n > 19),
+        float(s.startswith("+")), float(_is_ip(s)), float("(" in s), float(any(c in " -." for c in s)), float(14 <= n <= 19 and luhn("".join(c for c in s if c in "0123456789"))),
     )
 
 
@@ -106,9 +123,36 @@ def _key(s: str) -> str:
     if any(c.isalpha() for c in s):
         s = re.sub(r"[\s\[\]()]*(?:@|\bat\b)[\s\[\]()]*", "@", s.casefold(), count=1)
         return re.sub(r"[\s\[\]()]*\bdot\b[\s\[\]()]*", ".", s)
-    d = "".join(c for c in s if c in "0123456789")
-    # Similar numbers: with or without a country code of up to three digits.
-    return d[-10:] if 10 <= len(d) <= 13 and s.count(".") != 3 else d
+    return "".join(c for c in s.replace("(0)", "") if c in "0123456789")
+
+
+def _number(c: Candidate) -> str:
+    """The number without trunk zeros if it may be a phone number's, else nothing."""
+    d = c.key.lstrip("0") if c.kind in (-1, KINDS.index("phone")) and c.key.isdigit() else ""
+    return d if SUFFIX <= len(d) <= 15 else ""
+
+
+def skip_edges(nodes: list[Candidate]) -> list[tuple[int, int]]:
+    """Pairs of the same or a similar value."""
+    found: set[tuple[int, int]] = set()
+    for step in (1, -1):
+        # By value, and by each suffix, the last one met; on the way back base spans alone.
+        last: dict[tuple, int] = {}
+        for i in range(len(nodes))[::step]:
+            c, base = nodes[i], nodes[i].kind >= 0
+            d = _number(c)
+            asked = [("same", c.key), ("ends", d)] + [("is", d[-n:]) for n in range(SUFFIX, len(d))]
+            for what, value in asked:
+                for kind in (True, False) if step == 1 else (True,):
+                    if value and (j := last.get((what, value, kind))) is not None:
+                        found.add((min(i, j), max(i, j)))
+            if step == 1 or base:
+                last["same", c.key, base] = i
+                if d:
+                    last["is", d, base] = i
+                    for n in range(SUFFIX, len(d) + 1):
+                        last["ends", d[-n:], base] = i
+    return sorted(found)
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[Candidate]:
@@ -120,8 +164,9 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[Candidate]:
         else:
             taken.append((s, e))
     out = [Candidate(s, e, k, _key(text[s:e]), _shape(text[s:e])) for s, k, e in base]
+    rules = [rule for rule, sign in ((DIGITS, FULL), (SPELLED, SPELLED_CORE)) if sign.search(text)]
     for gap_end, resume in [*taken, (len(text), len(text))]:
-        for rule in (DIGITS, SPELLED):
+        for rule in rules:
             for m in rule.finditer(text, last, gap_end):
                 if rule is SPELLED or sum(c in "0123456789" for c in m[0]) >= 7:
                     s, e = m.span()
@@ -142,17 +187,15 @@ class SkipChain:
     def marginals(self, nodes: list[Candidate]) -> np.ndarray:
         n, k = len(nodes), len(KINDS) + 1
         unary = np.array([c.shape for c in nodes]) @ self.own + self.bias
+        # The patterns call whatever they can't see none: one agreeing base span outweighs that.
+        unary = np.maximum(unary, unary[:, :1] - MOST_AGAINST)
         for i, c in enumerate(nodes):
             if c.kind >= 0:
                 unary[i] = -50.0
                 unary[i, c.kind + 1] = 50.0
         edges = [(i, i + 1, self.chain) for i in range(n - 1)]
-        last: dict[str, int] = {}
         skip = np.eye(k) * self.agree
-        for i, c in enumerate(nodes):
-            if c.key in last:
-                edges.append((last[c.key], i, skip))
-            last[c.key] = i
+        edges += [(i, j, skip) for i, j in skip_edges(nodes)]
         if not edges:
             p = np.exp(unary - unary.max(1, keepdims=True))
             return p / p.sum(1, keepdims=True)
@@ -181,41 +224,38 @@ def train(texts: list[str]) -> SkipChain:
     chain, same = np.ones((k, k)), np.ones(2)
     for text in texts:
         nodes = candidates(text, base_spans(text))
-        last: dict[str, int] = {}
         for i, c in enumerate(nodes):
             shapes.append(c.shape)
             labels.append(c.kind + 1)
             if i:
                 chain[nodes[i - 1].kind + 1, c.kind + 1] += 1
-            if c.key in last:
-                same[int(nodes[last[c.key]].kind == c.kind)] += 1
-            last[c.key] = i
+        for i, j in skip_edges(nodes):
+            same[int(nodes[i].kind == nodes[j].kind)] += 1
     width = len(_shape("0"))
     own, bias = np.zeros((width, k)), np.zeros(k)
     if shapes:
+        shapes += [_shape(s) for s in PLAIN]
+        labels += [0] * len(PLAIN)
         y = np.eye(k)[labels].astype(np.float32)
         own, bias = fit_logistic(np.array(shapes, np.float32), y, l2=1e-3, steps=300, rate=0.1)
     share = chain / chain.sum()
     pmi = np.log(share / np.outer(share.sum(1), share.sum(0)))
     # Same values agree far more often than not; the odds are kept within the weight of a few shapes.
-    agree = float(np.clip(np.log(same[1] / same[0]), 4.0, 8.0))
+    agree = float(np.clip(np.log(same[1] / same[0]), 2 * MOST_AGAINST, 8.0))
     return SkipChain(own.astype(float), bias.astype(float), 0.5 * np.clip(pmi, -1, 1), agree)
 
 
 def find_spans(text: str, model: SkipChain, sure: float = 0.8) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, spans of the method)."""
     base = base_spans(text)
-    if not base:
-        return [], []
     nodes = candidates(text, base)
-    known = {c.key for c in nodes if c.kind >= 0}
-    if not any(c.kind < 0 and c.key in known for c in nodes):
+    if all(c.kind >= 0 for c in nodes):
         return base, []
     p = model.marginals(nodes)
     more = []
     for c, q in zip(nodes, p, strict=True):
         best = int(q[1:].argmax())
-        if c.kind < 0 and c.key in known and q[1 + best] >= sure:
+        if c.kind < 0 and q[1 + best] >= sure:
             more.append((c.start, best, c.end))
     return base, more
 

@@ -347,6 +347,23 @@ def test_repeats_are_found_and_base_stays():
     assert "<EMAIL>" in red
 
 
+def test_similar_numbers_and_texts_without_base():
+    texts = [f"call +1 (555) 123-45{i:02d} or mail a{i}@b.com and 4111 1111 1111 1111 from 10.0.0.{i} at 1234567 8" for i in range(40)]
+    model = pii.train(texts)
+    for one, other in (
+        ("+33 6 12 34 56 78", "06 12 34 56 78"), ("+33 (0)6 12 34 56 78", "06 12 34 56 78"), ("+34 612 345 678", "612 345 678"), ("+123 45 678 901 234", "45 678 901 234"),
+        ("+12 345 678 901 234 5", "345 678 901 234 5"), ("+1 555 123 4567", "1.555.123.4567"), ("+1 555 123 4567", "123-4567"),
+    ):
+        for t in (f"{one} or {other}; {other}, not 98 76 54 32 10", f"{other}, {other} is {one}, not 98 76 54 32 10"):
+            more = pii.find_spans(t, model)[1]
+            assert [(t[s:e].strip(), k) for s, k, e in more] == [(other, 3)] * 2, t
+    found = lambda t: [(t[s:e], pii.KINDS[k]) for s, k, e in pii.find_spans(t, model)[1]]
+    assert found("pay with 4111.1111.1111.1111 now") == [("4111.1111.1111.1111", "card")]
+    assert found("ask jo1 [@] mail.example.com now") == [("jo1 [@] mail.example.com", "email")]
+    for t in ("thanks @john.doe", "look at example.com, look at example.com", "version 1.555.123.4567", "4111 1111 1111 1111 is not 1111 1111", "5551234567 and 2121234567", "1234567 1234567 1234567"):
+        assert found(t) == [], t
+
+
 # --- pipeline ---------------------------------------------------------------------------------------------------
 
 
