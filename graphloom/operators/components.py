@@ -2,7 +2,8 @@
 
 Edges are rewired until every node points at the smallest node of its component. Each step is a grouped minimum
 (combined before the shuffle) and an equi-join, which Spark may split where a node is hot; the edges are
-written to the shared folder after every round. No neighbourhood is ever gathered.
+written to the shared folder after every step, and the last step's table is deleted. No neighbourhood is ever gathered.
+The edges are settled when they are stars: every node that points does so once, at a node that points nowhere.
 """
 
 from __future__ import annotations
@@ -10,37 +11,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.plans.tables import materialize
+from graphloom.plans.tables import discard, materialize
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    n, x = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return n, x or 0
+def _are_stars(edges: DataFrame) -> bool:
+    """Of edges (u, v): one grouped count of ends."""
+    end = lambda node, out, into: edges.select(F.col(node).alias("node"), F.lit(out).alias("out"), F.lit(into).alias("into"))
+    odd = end("u", 1, 0).unionByName(end("v", 0, 1)).groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).filter("out + into > 1 AND out > 0")
+    return odd.agg(F.count(F.lit(1))).first()[0] == 0
+
+
+def _pointed(edges: DataFrame, least: DataFrame, out: str) -> DataFrame:
+    """The ends `out` of edges, each with the least node that their other end u knows."""
+    return edges.join(least.hint("merge"), "u").select(F.col(out).alias("u"), F.col("m").alias("v"))
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 60) -> DataFrame:
     """(node, component): component is the smallest node that edges, taken both ways, connect. Self edges and nulls make no link; a node of self edges alone is its own component."""
-    pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
-    lone = pairs.filter(F.col("a") == F.col("b")).select(F.col("a").alias("node"))
-    now = materialize(pairs.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
-    state = _state(now)
+    pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+    first = materialize(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    n, loops = first.agg(F.count(F.lit(1)), F.count_if(F.col("u") == F.col("v"))).first()
+    if not n:
+        return first.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    now = first.filter("u <> v") if loops else first
     for _ in range(most_rounds):
-        if not state[0]:
+        if _are_stars(now):
             break
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        wide = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        wide = materialize(wide, "cc")
+        # Large star: all greater neighbours of u go to the least of u and its neighbours.
+        least = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        wide = materialize(_pointed(now.select(F.col("v").alias("u"), F.col("u").alias("w")), least, "w"), "cc")
+        # Small star: u and all its lesser neighbours go to the least of them.
         least = wide.groupBy("u").agg(F.min("v").alias("m"))
-        near = wide.join(least, "u")
-        near = near.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now = materialize(near, "cc")
-        last, state = state, _state(now)
-        if last == state:
-            break
+        near = _pointed(wide.withColumnRenamed("v", "w"), least, "w").filter("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        spent, now = now, materialize(near, "cc")
+        discard(wide, spent)
     else:
         raise RuntimeError(f"components not settled in {most_rounds} rounds")
-    found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    lone = lone.distinct().join(found.unionByName(roots), "node", "left_anti")
-    return found.unionByName(roots).unionByName(lone.select("node", F.col("node").alias("component")))
+    found = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    if loops:
+        found = found.unionByName(first.filter("u = v").select(F.col("u").alias("node"), F.col("v").alias("component")).join(found, "node", "left_anti"))
+    return found
