@@ -219,16 +219,49 @@ def near_texts(seed: int, group: int) -> dict[int, str]:
     return texts
 
 
-@pytest.mark.parametrize(("seed", "group", "rule"), [(1, 20, ngram_join.Rule()), (2, 300, ngram_join.Rule()), (3, 120, ngram_join.Rule(5, 80))])
+@pytest.mark.parametrize(("seed", "group", "rule"), [(1, 20, ngram_join.Rule()), (2, 300, ngram_join.Rule()), (3, 120, ngram_join.Rule(5, 80)), (4, 100, ngram_join.Rule(digest_bits=6))])
 def test_join_is_exact(spark, monkeypatch, seed, group, rule):
+    """Also where most sets share the digest that names them."""
     monkeypatch.setattr(ngram_join, "BLOCK", 40)
-    monkeypatch.setattr(ngram_join, "SALT_ROWS", 16)
     texts = near_texts(seed, group)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_components(docs, rule=rule).collect()}
     assert got == components(texts, rule.width, rule.percent)
 
 
+def test_join_of_a_passage_that_unrelated_texts_are_made_of(spark, monkeypatch):
+    """Texts that share their rare lists with a centre that few of them link to, some of which link to each other."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    met, search = [], ngram_join.ring_links
+    monkeypatch.setattr(ngram_join, "ring_links", lambda *a: met.append(1) or search(*a))
+    rng = random.Random(9)
+    passages = [words(rng, 40) for _ in range(6)]
+    texts = {}
+    for i in range(240):
+        own = words(rng, rng.randint(3, 12)) if i < 160 else " ".join(texts[rng.randrange(160)].split()[40:])
+        texts[i] = f"{passages[i % 6]} {own}"
+    for i in range(240, 300):  # two passages: lists of unrelated groups meet in one text
+        texts[i] = f"{passages[i % 6]} {passages[(i + 1) % 6]} {words(rng, rng.randint(1, 8))}"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_components(docs).collect()}
+    assert got == components(texts, 4, 85)
+    assert met
+    assert 20 < len({c for _, c in got.values()}) < 280
+
+
+def test_rings_of_links_are_adjacent():
+    rng = np.random.default_rng(3)
+    for rule in (ngram_join.Rule(), ngram_join.Rule(5, 80), ngram_join.Rule(4, 40)):
+        base = set(range(60))
+        sets = [base ^ set(rng.choice(90, rng.integers(0, 30), replace=False).tolist()) for _ in range(60)]
+        ring = lambda a, b, rule=rule: rule.ring(len(a), len(b), len(a & b))
+        for a in sets:
+            for b in sets:
+                assert (ring(a, b) == 0) == rule.links(len(a), len(b), len(a & b))
+                if ring(a, b) == 0:
+                    assert all(abs(ring(a, c) - ring(b, c)) <= 1 for c in sets)
+
+
 def test_divide_skip():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, 30).astype(np.uint64)) for _ in range(50)]
