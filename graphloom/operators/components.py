@@ -22,7 +22,7 @@ def _are_stars(edges: DataFrame) -> bool:
 
 
 def _pointed(edges: DataFrame, least: DataFrame, out: str) -> DataFrame:
-    """The ends `out` of edges, each with the least node that their other end u knows."""
+    """The ends `out` of edges, each with the least node that their other end u knows. least is a table, not a sum still to be made: only then can Spark split the join where u is hot."""
     return edges.join(least.hint("merge"), "u").select(F.col(out).alias("u"), F.col("m").alias("v"))
 
 
@@ -39,12 +39,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             break
         # Large star: all greater neighbours of u go to the least of u and its neighbours.
         least = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialize(least, "cc")
         wide = materialize(_pointed(now.select(F.col("v").alias("u"), F.col("u").alias("w")), least, "w"), "cc")
         # Small star: u and all its lesser neighbours go to the least of them.
-        least = wide.groupBy("u").agg(F.min("v").alias("m"))
+        discard(least)
+        least = materialize(wide.groupBy("u").agg(F.min("v").alias("m")), "cc")
         near = _pointed(wide.withColumnRenamed("v", "w"), least, "w").filter("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         spent, now = now, materialize(near, "cc")
-        discard(wide, spent)
+        discard(least, wide, spent)
     else:
         raise RuntimeError(f"components not settled in {most_rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
