@@ -432,7 +432,7 @@ def ring_links(asks: DataFrame, members: DataFrame, sets: DataFrame, rule: Rule)
     key = ["centre", "ring"]
 
     def packed(rows: DataFrame, name: str) -> DataFrame:
-        size = rows.groupBy(*key).agg(blocks.alias("blocks"))
+        size = materialize(rows.groupBy(*key).agg(blocks.alias("blocks")), "ring-sizes")
         dealt = rows.join(size.hint("merge"), key).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         dealt = dealt.join(sets.hint("merge"), "node")
         return materialize(dealt.groupBy(*key, "block").agg(F.max("blocks").alias("blocks"), F.collect_list(F.struct("part", "shingles")).alias(name)), f"blocks-{name}")
@@ -463,8 +463,10 @@ def linked_parts(docs: DataFrame, rule: Rule, shared: frozenset[int], total: int
     order = shingle_order(docs, rule, shared, total)
     rows = short_lists(docs, rule, shared, order)
     lists = rows.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("rare", "node")).alias("c")).filter("k > 1").select("h", "k", F.col("c.node").alias("centre"))
-    tagged = materialize(rows.join(lists.hint("merge"), "h").select("h", "node", "n", "k", "centre"), "lists")
-    discard(rows)
+    # A table of its own: only then can Spark split the join where a list is long.
+    lists = materialize(lists, "lists")
+    tagged = materialize(rows.join(lists.hint("merge"), "h").select("h", "node", "n", "k", "centre"), "listed")
+    discard(rows, lists)
     pairs = small_list_pairs(tagged.filter(F.col("k") <= SMALL), rule).withColumn("star", F.lit(False)).withColumn("n", F.lit(0).cast("long"))
     star = tagged.filter((F.col("k") > SMALL) & (F.col("node") != F.col("centre"))).select(F.col("node").alias("a"), F.col("centre").alias("b"), F.lit(True).alias("star"), "n").distinct()
     asked = materialize(pairs.unionByName(star), "pairs")
@@ -501,7 +503,8 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = nodes.agg(F.sum("n")).first()[0] or 0
     parts = linked_parts(rows, rule, shared, total)
     placed = nodes.select("node", "low").join(parts.hint("merge"), "node", "left").withColumn("part", F.coalesce("part", "node"))
-    lows = placed.groupBy("part").agg(F.min("low").alias("component_id"))
+    placed = materialize(placed, "placed")
+    lows = materialize(placed.groupBy("part").agg(F.min("low").alias("component_id")), "lows")
     placed = materialize(placed.join(lows.hint("merge"), "part").select("node", "component_id"), "node-components")
     found = seen.filter("node is not null").join(placed.hint("merge"), "node").select("id", "n", "component_id")
     lone = seen.filter("node is null").select("id", "n", F.col("id").alias("component_id"))
