@@ -29,6 +29,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores before those that a column has already, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
@@ -180,4 +191,4 @@ def text_batches(batch: pa.RecordBatch, column: int, most: int = 1 << 30) -> Ite
         yield a, b, raw[off[a] : off[b]], off[a : b + 1] - off[a]
 
 
-__all__ = ["Words", "arrow_rows", "as_long", "column_bytes", "crc_mod", "doc_slices", "materialize", "mix64", "per_doc", "read_table", "shared_dir", "shingle_hashes", "shuffle_width", "text_batches"]
+__all__ = ["Words", "arrow_rows", "as_long", "column_bytes", "crc_mod", "doc_slices", "materialize", "mix64", "per_doc", "read_table", "shared_dir", "shingle_hashes", "shuffle_width", "spare", "text_batches"]

@@ -8,8 +8,8 @@ language of least loss is the prediction. A document is ambiguous when the secon
 For up to five languages the code is exhaustive (every way to split them in two); for more, the columns are drawn at random
 and the draw of greatest minimal distance is kept.
 
-The model is fitted on a sample of at most about `a_language` documents of each language (the bound; whole texts); predictions
-use the text alone, whole, and stay within the row.
+The model is fitted on a sample of at most about `a_language` documents of each language and `most_rows` in all, but four of each language if there
+are that many (the bounds; whole texts); every language is learned. Predictions use the text alone, whole, and stay within the row.
 
 Defined results: `und` with score 0 where the text is null, empty or has no letter, or no language could be learned; repeated rows are predicted
 each on their own; input columns named like an output are replaced.
@@ -17,7 +17,6 @@ each on their own; input columns named like an output are replaced.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -29,11 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.common import column_bytes, per_doc, text_batches
-from graphloom.llm.learn import class_sample, fit_logistic
+from graphloom.llm.learn import MOST_ROWS, class_sample, fit_logistic
 
 DIMS = 1 << 12
 MOST_DOCS = 512
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def _folded() -> np.ndarray:
@@ -67,9 +65,10 @@ def trigram_features(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def has_letter(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A code point of Unicode's categories L, which digits, superscripts, fractions and Roman numerals are not."""
     found = per_doc(ASCII_LETTER[raw], off) > 0
     for i in np.flatnonzero(~found & (np.diff(off) > 0)):
-        found[i] = bool(LETTER.search(raw[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace")))
+        found[i] = any(c.isalpha() for c in raw[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace"))
     return found
 
 
@@ -84,7 +83,10 @@ def code_matrix(n: int, seed: int = 1) -> np.ndarray:
     for _ in range(50):
         m = rng.integers(0, 2, (n, 10 * int(np.ceil(np.log2(n))))).astype(np.int8)
         m = m[:, (m.sum(0) > 0) & (m.sum(0) < n)]
-        apart = min(int((m[i] != m[j]).sum()) for i in range(n) for j in range(i)) if m.size else -1
+        apart = -1
+        if m.size:
+            far = m.astype(int) @ (1 - m.T.astype(int))
+            apart = int((far + far.T)[np.triu_indices(n, 1)].min())
         if apart > least:
             best, least = m, apart
     return best
@@ -105,8 +107,7 @@ class LanguageModel:
         if len(self.languages) < 2:
             return np.zeros(n, int), np.ones(n), np.ones(n)
         margin = trigram_features(raw, off) @ self.w + self.b
-        sign = 2.0 * self.code - 1.0
-        loss = np.logaddexp(0.0, -margin[:, None, :] * sign[None]) @ self.weight
+        loss = np.logaddexp(0.0, -margin) @ (self.weight * self.code).T + np.logaddexp(0.0, margin) @ (self.weight * (1 - self.code)).T
         p = np.exp(-self.sharp * (loss - loss.min(1, keepdims=True)))
         p /= p.sum(1, keepdims=True)
         order = np.sort(p, 1)
@@ -129,9 +130,9 @@ def train(texts: list[str], labels: list[str]) -> LanguageModel:
     return LanguageModel(languages, code, w, b, weight / weight.sum(), 6.0)
 
 
-def fit_languages(docs: DataFrame, text_col: str, lang: Column, key: Column, a_language: int = 300) -> LanguageModel:
+def fit_languages(docs: DataFrame, text_col: str, lang: Column, key: Column, a_language: int = 300, most_rows: int = MOST_ROWS) -> LanguageModel:
     rows = docs.select(F.col(text_col).cast("string").alias("text"), lang.alias("lang"), key.alias("key")).filter("text is not null")
-    sample, _ = class_sample(rows, F.col("key"), F.col("lang"), a_language)
+    sample, _ = class_sample(rows, F.col("key"), F.col("lang"), a_language, most_rows)
     # One row a key, however often it is repeated: the sample stays bounded.
     sample = sample.groupBy(F.col("key").cast("string").alias("key")).agg(F.min(F.struct("text", "_label")).alias("r")).select("key", "r.*")
     got = sorted((r["key"] or "", r["text"], r["_label"]) for r in sample.collect())

@@ -5,29 +5,32 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-MOST_CLASSES = 256
-"""Classes that a model is fitted for: the most frequent ones."""
+MOST_CLASSES = 10_000
+"""Labels that a column may have; one with more doesn't hold classes, and fitting fails."""
 MOST_ROWS = 8000
-"""Rows of a sample over all classes, about."""
+"""Rows of a sample over all classes, about, unless LEAST_ROWS of each are more."""
+LEAST_ROWS = 4
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def class_sample(rows: DataFrame, key: Column, label: Column, a_class: int) -> tuple[DataFrame, dict]:
-    """A sample by a hash of the key, about a_class rows of each class (fewer where MOST_ROWS is met) or all if there are fewer; (rows with _label, {label: rows in all})."""
+def class_sample(rows: DataFrame, key: Column, label: Column, a_class: int, most_rows: int = MOST_ROWS) -> tuple[DataFrame, dict]:
+    """A sample by a hash of the key, about a_class rows of each class (fewer, but LEAST_ROWS, where most_rows is met) or all if there are fewer; (rows with _label, {label: rows in all})."""
     rows = rows.withColumn("_label", label).filter(F.col("_label").isNotNull())
-    counts = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().orderBy(F.col("count").desc(), "_label").limit(MOST_CLASSES).collect()}
+    counts = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().limit(MOST_CLASSES + 1).collect()}
+    if len(counts) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} labels are no classes")
     if not counts:
         return rows.filter(F.lit(False)), counts
-    a_class = min(a_class, MOST_ROWS // len(counts))
-    place = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
-    take = F.lit(False)
-    for c, n in counts.items():
-        take = take | ((F.col("_label") == F.lit(c)) & (place < a_class / n))
-    return rows.filter(take), counts
+    a_class = min(a_class, max(LEAST_ROWS, most_rows // len(counts)))
+    place = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
+    shares = rows.sparkSession.createDataFrame([(c, a_class / n) for c, n in counts.items()], T.StructType([T.StructField("_of", rows.schema["_label"].dataType), T.StructField("_share", T.DoubleType())]))
+    found = rows.join(F.broadcast(shares), F.col("_label") == F.col("_of")).filter(place < F.col("_share"))
+    return found.drop("_of", "_share"), counts
 
 
 def texts_of(docs: DataFrame, sample: DataFrame) -> DataFrame:
