@@ -11,7 +11,8 @@ All statistics of sites come from grouped sums, combined before they are shuffle
 task. Texts are never shuffled where the sites are few enough to be broadcast (MOST_SITES); beyond that rows join the
 sites.
 
-Two scans of the texts: one for the sites, one for the documents. The classifier is fitted on at most about `a_class` labelled rows of each class.
+Texts are scanned once where they are not part of the result: the evidence is written beside the other columns. Where they are, they are scanned
+twice rather than written. The classifier is fitted on at most about `a_class` labelled rows of each class. Sums are of decimals, so that reruns agree to the last digit.
 
 Defined results: null and empty text have the evidence of an empty text; rows without host share the null host; repeated rows count as
 often as they stand; without labels of both classes every document is kept with the probability of the prior; input columns named like an output are replaced.
@@ -28,12 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import Words, materialize, per_doc, text_batches
+from graphloom.llm.common import Words, materialize, per_doc, spare, text_batches
 from graphloom.llm.learn import class_sample, fit_logistic, texts_of
 
 MOST_SITES = 50_000
 """Sites that are broadcast at most."""
 MOST_DOCS = 2048
+OUTPUTS = ("evidence", "host_posterior", "path_posterior", "score", "keep")
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -73,10 +75,14 @@ def text_features(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     breaks = per_doc(raw == 10, off)
     distinct = _distinct(w.hash, w.first) if len(w.hash) else np.zeros(n)
     pairs = np.zeros(n)
-    if len(w.hash) > 1:
+    if len(w.hash):
         with np.errstate(over="ignore"):
-            g = w.hash[:-1] * np.uint64(0xD6E8FEB86659FD93) + w.hash[1:]
-        pairs = _distinct(np.append(g, g[-1:]), w.first)
+            g = w.hash * np.uint64(0xD6E8FEB86659FD93)
+            g[:-1] += w.hash[1:]
+            # A document's last word makes no pair with the next document's first.
+            last = w.first[1:][words > 0] - 1
+            g[last] = w.hash[last]
+        pairs = _distinct(g, w.first)
     hist = np.bincount(np.repeat(np.arange(n) * 256, np.diff(off)) + raw, minlength=n * 256).reshape(n, 256) / size[:, None]
     some = np.maximum(words, 1)
     cols = [
@@ -128,7 +134,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 def _with_evidence(docs: DataFrame, model: QualityModel, text_col: str, keep: list[str]) -> DataFrame:
     """docs with `evidence`; only the columns in keep go through."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    rows = docs.select(*keep, F.col(text_col).cast("string").alias(spare(docs.columns, "text_of")[0]))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("evidence", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,13 +145,18 @@ def _with_evidence(docs: DataFrame, model: QualityModel, text_col: str, keep: li
     return rows.mapInArrow(run, schema)
 
 
+def exact_sum(x: Column) -> Column:
+    """A sum that doesn't depend on the order of its rows: of nine decimals."""
+    return F.sum(x.cast("decimal(28,9)")).cast("double")
+
+
 def site_posteriors(sums: DataFrame, prior: float) -> DataFrame:
-    """(host, path, n, host_posterior, path_posterior) from (host, path, n, total, squares): sums of the documents' posterior means."""
-    hosts = sums.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("total").alias("host_total"))
+    """(host, path, n, host_posterior, path_posterior) from (host, path, n, total): numbers and sums of the documents' posterior means."""
+    hosts = sums.groupBy("host").agg(F.sum("n").alias("host_n"), exact_sum(F.col("total")).alias("host_total"))
 
     def strength(rows: DataFrame, n: Column, mean: Column, parent: Column) -> float:
         # Between-site variance by the method of moments; alpha = m (1 - m) / variance - 1, kept between 1 and 10000.
-        within, between = rows.agg(F.sum(n * parent * (1 - parent)), F.sum(n * (mean - parent) * (mean - parent))).first()
+        within, between = rows.agg(exact_sum(n * parent * (1 - parent)), exact_sum(n * (mean - parent) * (mean - parent))).first()
         return float(min(1e4, max(1.0, (within or 0.0) / max(between or 0.0, 1e-9) - 1)))
 
     m0 = F.lit(float(prior))
@@ -156,22 +167,25 @@ def site_posteriors(sums: DataFrame, prior: float) -> DataFrame:
     return below.select("host", "path", "n", "host_posterior", ((F.col("total") + beta * F.col("host_posterior")) / (F.col("n") + beta)).alias("path_posterior"))
 
 
-def classify_quality(docs: DataFrame, model: QualityModel, host: Column, path: Column, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """Adds evidence, host_posterior, path_posterior, score (probability of good) and keep."""
-    outputs = ("evidence", "host_posterior", "path_posterior", "score", "keep")
-    rows = docs.drop(*outputs).withColumns({"_host": host.cast("string"), "_path": path.cast("string")})
-    lone = _with_evidence(rows, model, text_col, ["_host", "_path"])
+def classify_quality(docs: DataFrame, model: QualityModel, host: Column, path: Column, text_col: str = "text", threshold: float = 0.5, keep_text: bool = True) -> DataFrame:
+    """Adds evidence, host_posterior, path_posterior, score (probability of good) and keep; without keep_text the text column goes."""
+    rows = docs.drop(*OUTPUTS)
+    c_host, c_path, c_h, c_p = spare(rows.columns, "host_of", "path_of", "host_at", "path_at")
+    rows = rows.withColumns({c_host: host.cast("string"), c_path: path.cast("string")})
+    if keep_text:
+        lone, scored = _with_evidence(rows, model, text_col, [c_host, c_path]), _with_evidence(rows, model, text_col, rows.columns)
+    else:
+        lone = scored = materialize(_with_evidence(rows, model, text_col, [c for c in rows.columns if c != text_col]), "quality-evidence")
     mean = F.lit(1.0) / (1.0 + F.exp(-(F.col("evidence") + float(np.log(model.prior / (1 - model.prior))))))
-    sums = lone.groupBy(F.col("_host").alias("host"), F.col("_path").alias("path")).agg(F.count(F.lit(1)).alias("n"), F.sum(mean).alias("total"))
+    sums = lone.groupBy(F.col(c_host).alias("host"), F.col(c_path).alias("path")).agg(F.count(F.lit(1)).alias("n"), exact_sum(mean).alias("total"))
     sites = materialize(site_posteriors(materialize(sums, "quality-sums"), model.prior), "quality-sites")
-    sites = sites.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "host_posterior", "path_posterior")
+    sites = sites.select(F.col("host").alias(c_h), F.col("path").alias(c_p), "host_posterior", "path_posterior")
     if sites.count() <= MOST_SITES:
         sites = F.broadcast(sites)
-    scored = _with_evidence(rows, model, text_col, rows.columns)
-    scored = scored.join(sites, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")), "left")
+    scored = scored.join(sites, F.col(c_host).eqNullSafe(F.col(c_h)) & F.col(c_path).eqNullSafe(F.col(c_p)), "left")
     p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("path_posterior")))
     score = 1.0 / (1.0 + F.exp(-(F.col("evidence") + F.log(p / (1 - p)))))
-    return scored.withColumn("score", score).withColumn("keep", F.col("score") >= threshold).drop("_host", "_path", "_h", "_p")
+    return scored.withColumn("score", score).withColumn("keep", F.col("score") >= threshold).drop(c_host, c_path, c_h, c_p)
 
 
 __all__ = ["QualityModel", "classify_quality", "fit_quality", "site_posteriors", "text_features"]

@@ -34,7 +34,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = fit_quality(docs, read_table(spark, sf_dir, "labels"))
-    found = classify_quality(docs.select("doc_id", "text", "source", "lang"), model, F.col("source"), F.concat_ws("/", "source", "lang"))
+    found = classify_quality(docs.select("doc_id", "text", "source", "lang"), model, F.col("source"), F.concat_ws("/", "source", "lang"), keep_text=False)
     return found.select("doc_id", "evidence", "host_posterior", "path_posterior", "score", "keep")
 
 
