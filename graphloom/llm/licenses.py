@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import spare
+
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 """What separates words. Splitting at it takes a tenth of the time of matching its complement."""
 
@@ -119,19 +121,21 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", templates: tuple[Temp
             for t, p in zip(templates, postings, strict=True)
         ]
     )
-    rows = docs.drop("n_words", "places").withColumn("_words", text_words(F.col(text_col)))
-    rows = rows.withColumn("_at", F.array_compact(F.transform("_words", lambda w, i: F.when(w.isin(rare), i))))
-    starts = F.flatten(F.transform("_at", lambda p: F.transform(F.filter(index, lambda x: x["w"] == F.get("_words", p)), lambda x: F.struct(x["t"].alias("t"), (p - x["o"]).alias("start")))))
-    rows = rows.withColumn("_starts", F.when(F.size("_at") > 0, F.array_distinct(F.filter(starts, lambda c: c["start"] >= 0))).otherwise(F.array().cast("array<struct<t:int,start:int>>")))
+    rows = docs.drop("n_words", "places")
+    c_words, c_at, c_starts = spare(rows.columns, "words_of", "words_at", "words_from")
+    rows = rows.withColumn(c_words, text_words(F.col(text_col)))
+    rows = rows.withColumn(c_at, F.array_compact(F.transform(c_words, lambda w, i: F.when(w.isin(rare), i))))
+    starts = F.flatten(F.transform(c_at, lambda p: F.transform(F.filter(index, lambda x: x["w"] == F.get(c_words, p)), lambda x: F.struct(x["t"].alias("t"), (p - x["o"]).alias("start")))))
+    rows = rows.withColumn(c_starts, F.when(F.size(c_at) > 0, F.array_distinct(F.filter(starts, lambda c: c["start"] >= 0))).otherwise(F.array().cast("array<struct<t:int,start:int>>")))
 
     def place(c: Column) -> Column:
         t = F.get(about, c["t"])
-        window = F.slice("_words", c["start"] + 1, F.size(t["words"]))
+        window = F.slice(c_words, c["start"] + 1, F.size(t["words"]))
         joint = F.size(F.filter(t["rare"], lambda a: F.coalesce(F.get(window, a["o"]) == a["w"], F.lit(False))))
         key = F.slice(window, t["key_at"] + 1, F.size(t["key"])) == t["key"]
         same = F.size(F.filter(F.zip_with(window, t["words"], lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
         found = F.struct(c["t"].alias("template"), t["label"].alias("label"), t["base"].alias("base"), c["start"].cast("long").alias("start"), F.size(t["words"]).cast("long").alias("n_words"), (same / F.size(t["words"])).alias("coverage"))
         return F.when((joint >= t["need"]) & key, found)
 
-    places = F.array_sort(F.array_compact(F.transform("_starts", place)), lambda a, b: F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).otherwise(a["template"] - b["template"]))
-    return rows.withColumns({"n_words": F.size("_words").cast("long"), "places": places}).drop("_words", "_at", "_starts")
+    places = F.array_sort(F.array_compact(F.transform(c_starts, place)), lambda a, b: F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).otherwise(a["template"] - b["template"]))
+    return rows.withColumns({"n_words": F.size(c_words).cast("long"), "places": places}).drop(c_words, c_at, c_starts)
