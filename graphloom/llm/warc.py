@@ -5,11 +5,11 @@ version 1 has URL, IP, date, type and length; version 2 adds result code, checks
 the header line come as many bytes as it declares. The converter reads both, and makes of each record a WARC record
 with an identifier derived from its content, an ISO timestamp, a type and the payload's digest.
 
-A table of pages is written as ARC members (even ids version 2, odd ids version 1), converted, and written as WARC files
-in the shared folder by Spark's own text sink (a record is valid UTF-8; the line separator is the two CRLF that end a
-record), so that any file system that Spark writes to will do. Then the files are read and parsed again.
+A table of pages is written as ARC members (even ids version 2, odd ids version 1), converted, and written as WARC files of about
+`file_bytes` bytes (one record at least), each with a warcinfo record for every version of its members, in the shared folder by Spark's own text sink (a record is valid UTF-8; the line separator is the two CRLF that end a
+record), so that any file system that Spark writes to will do. Then the files are read again, inflated piece by piece and parsed record by record.
 
-Records of equal payload: the one with the largest id is the response, the others are revisits of it. Digests are grouped before anything else; payloads meet the grouped digests by a broadcast where few digests repeat and by a join,
+Records of equal payload: the one with the largest id is the response, the others are revisits of it, which name its identifier, URL and date. Digests are grouped before anything else; payloads meet the grouped digests by a broadcast where few digests repeat and by a join,
 which Spark may split where it is skewed, beyond that.
 
 Defined results: null payload is empty; a null or unusable URL becomes urn:page:<id>; repeated rows with the largest id are
@@ -42,9 +42,14 @@ TITLES = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
+END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 MOST_BROADCAST = 100_000
-"""Repeated digests that are broadcast at most; about 100 bytes each."""
+"""Repeated digests that are broadcast at most; about 200 bytes each."""
+PIECE = 1 << 20
+"""Bytes inflated at a time."""
+PAGE = "X-Graphloom-Refers-To-Page"
+"""Header of a revisit: the page that WARC-Refers-To names, so that reading needs no join."""
 
 
 @dataclass
@@ -126,52 +131,94 @@ def warc_head(kind: str, headers: list[tuple[str, str]], length: int) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n"
 
 
-def convert(rec: ArcRecord, revisit_of: str | None = None) -> bytes:
-    """A WARC record, without the two CRLF that end it. revisit_of: id of the page whose response has the same payload."""
+@dataclass
+class Original:
+    """What a revisit says of the record that it refers to."""
+
+    page: str
+    record: str
+    url: str
+    date: str
+
+
+def identifier(rec: ArcRecord) -> str:
+    """Of the WARC record that a page's ARC record becomes: from its URL, time, payload and HTTP head."""
+    head, payload = split_http(rec.body)
+    return record_id(rec.fields["url"], warc_date(rec.fields["date"]), digest32(payload), head.decode("utf-8", "replace"))
+
+
+def convert(rec: ArcRecord, revisit_of: Original | None = None) -> bytes:
+    """A WARC record, without the two CRLF that end it. revisit_of: the record that has the same payload."""
     url, date = rec.fields["url"], warc_date(rec.fields["date"])
     if url.startswith("filedesc:"):
         body = f"software: graphloom\r\nformat: WARC File Format 1.0\r\nconverted-from: ARC {rec.version}\r\n".encode()
-        return warc_head("warcinfo", [("WARC-Record-ID", record_id(url, date)), ("WARC-Date", date), ("WARC-Filename", url.removeprefix("filedesc://")), ("Content-Type", "application/warc-fields")], len(body)) + body
+        return warc_head("warcinfo", [("WARC-Record-ID", record_id(url, date, str(rec.version))), ("WARC-Date", date), ("WARC-Filename", url.removeprefix("filedesc://")), ("Content-Type", "application/warc-fields")], len(body)) + body
     head, payload = split_http(rec.body)
-    digest = digest32(payload)
-    common = [("WARC-Record-ID", record_id(url, date, digest, head.decode("utf-8", "replace"))), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-IP-Address", rec.fields["ip"]), ("WARC-Payload-Digest", f"sha1:{digest}")]
+    common = [("WARC-Record-ID", identifier(rec)), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-IP-Address", rec.fields["ip"]), ("WARC-Payload-Digest", f"sha1:{digest32(payload)}")]
     if not head:
         return warc_head("resource", [*common, ("Content-Type", rec.fields["type"])], len(payload)) + payload
     kind = ("Content-Type", "application/http; msgtype=response")
     if revisit_of is not None:
-        return warc_head("revisit", [*common, kind, ("WARC-Profile", PROFILE), ("WARC-Refers-To-Page", revisit_of)], len(head)) + head
+        refers = [("WARC-Refers-To", revisit_of.record), ("WARC-Refers-To-Target-URI", revisit_of.url), ("WARC-Refers-To-Date", revisit_of.date), (PAGE, revisit_of.page)]
+        return warc_head("revisit", [*common, kind, ("WARC-Profile", PROFILE), *refers], len(head)) + head
     return warc_head("response", [*common, kind], len(rec.body)) + rec.body
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of every record."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 2] == b"\r\n":
+def pieces(data: bytes) -> Iterator[bytes]:
+    """Of all gzip members, PIECE bytes at a time, or of the data itself if it isn't gzip."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[i : i + PIECE] for i in range(0, len(data), PIECE))
+        return
+    while data:
+        d = zlib.decompressobj(31)
+        while not d.eof:
+            out = d.decompress(data, PIECE)
+            data = d.unconsumed_tail or d.unused_data
+            if out:
+                yield out
+            elif not data and not d.eof:
+                raise ValueError("gzip member without end")
+
+
+def parse_warc(parts: Iterator[bytes] | bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of every record of the pieces; what is held is one record and a piece."""
+    source = iter([parts] if isinstance(parts, bytes) else parts)
+    held, at = bytearray(), 0
+
+    def more() -> bool:
+        nonlocal at
+        piece = next(source, None)
+        if piece is None:
+            return False
+        del held[:at]
+        at = 0
+        held.extend(piece)
+        return True
+
+    while True:
+        while len(held) - at < 2:
+            if not more():
+                if len(held) > at:
+                    raise ValueError("no WARC record here")
+                return
+        if held[at : at + 2] == b"\r\n":
             at += 2
             continue
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
+        while (end := held.find(b"\r\n\r\n", at)) < 0:
+            if not more():
+                raise ValueError("record header without end")
+        if not held.startswith(b"WARC/", at):
             raise ValueError("no WARC record here")
         headers = {}
-        for line in data[at:end].decode().split("\r\n")[1:]:
+        for line in held[at:end].decode().split("\r\n")[1:]:
             k, _, v = line.partition(":")
             headers[k.strip().lower()] = v.strip()
-        length = int(headers["content-length"])
-        yield headers, data[end + 4 : end + 4 + length]
-        at = end + 4 + length
-
-
-def gunzip(data: bytes) -> bytes:
-    """All gzip members, or the data itself if it isn't gzip."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data:
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(data) + d.flush())
-        data = d.unused_data
-    return b"".join(out)
+        at, length = end + 4, int(headers["content-length"])
+        while len(held) - at < length:
+            if not more():
+                raise ValueError("record shorter than declared")
+        yield headers, bytes(held[at : at + length])
+        at += length
 
 
 def page_arc(page_id: int | None, url: str | None, payload: bytes, date: str) -> bytes:
@@ -185,64 +232,79 @@ def page_arc(page_id: int | None, url: str | None, payload: bytes, date: str) ->
     return arc_version_block(version, "pages.arc", date) + arc_member(version, safe, date, head.encode() + payload, "pages.arc")
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "20000101000000", least_bytes: int = 0, records_a_file: int = 4000) -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "20000101000000", least_bytes: int = 0, file_bytes: int = 32 << 20) -> None:
     """Writes one WARC record a page under path; payloads of fewer than least_bytes bytes are responses all."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     key = F.sha1(F.col("payload").cast("binary"))
-    groups = rows.groupBy(key.alias("key")).agg(F.max("id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1 and keeper is not null").drop("n")
+    # Of rows that share the largest id, the greatest URL stands for all.
+    groups = rows.groupBy(key.alias("key")).agg(F.max(F.struct(F.col("id").alias("id"))).alias("m"), F.count(F.lit(1)).alias("n"), F.max_by(F.coalesce("url", F.lit("")), F.struct(F.col("id").isNotNull(), "id", F.coalesce("url", F.lit("")))).alias("keeper_url"))
+    groups = groups.select("key", F.col("m.id").alias("keeper"), "keeper_url", "n").filter("n > 1 and keeper is not null").drop("n")
     if groups.count() <= MOST_BROADCAST:
         groups = F.broadcast(groups)
     rows = rows.withColumn("key", key).join(groups, "key", "left")
     revisit = (F.octet_length("payload") >= least_bytes) & F.col("keeper").isNotNull() & ~F.col("keeper").eqNullSafe(F.col("id"))
-    rows = rows.select("id", "url", "payload", F.when(revisit, F.col("keeper")).alias("keeper"))
+    rows = rows.select("id", "url", "payload", F.when(revisit, F.col("keeper")).alias("keeper"), "keeper_url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, versions = [], 0, set()
+        # One row is one file: its records are parted as the sink parts rows.
+        packed = lambda: pa.RecordBatch.from_arrays([pa.array([END.join(held)], pa.binary()).cast(pa.string())], ["value"])
         for b in batches:
-            out, size = [], 0
-            for i, url, payload, keeper in zip(*(b.column(c) for c in range(4)), strict=True):
-                arc = page_arc(i.as_py(), url.as_py(), payload.as_py().encode(), date)
-                records = [convert(r, None if keeper.as_py() is None else str(keeper.as_py())) for r in parse_arc(arc) if not r.fields["url"].startswith("filedesc:")]
-                out += records
-                size += sum(map(len, records))
-                if size > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
-                    out, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
+            for i, url, payload, keeper, keeper_url in zip(*(b.column(c) for c in range(5)), strict=True):
+                body = payload.as_py().encode()
+                about, page = parse_arc(page_arc(i.as_py(), url.as_py(), body, date))
+                original = None
+                if (k := keeper.as_py()) is not None:
+                    _, first = parse_arc(page_arc(k, keeper_url.as_py(), body, date))
+                    original = Original(str(k), identifier(first), first.fields["url"], warc_date(first.fields["date"]))
+                record = convert(page, original)
+                if held and size + len(record) > file_bytes:
+                    yield packed()
+                    held, size, versions = [], 0, set()
+                if about.version not in versions:
+                    versions.add(about.version)
+                    held.append(convert(about))
+                held.append(record)
+                size += len(record)
+        if held:
+            yield packed()
 
     records = rows.mapInArrow(run, "value string")
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_a_file).text(path)
+    records.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
 READ = "record_id string, record_type string, date string, uri string, payload_digest string, page_id long, payload_bytes long, refers_to long"
 
 
 def read_archives(spark, path: str) -> DataFrame:
-    """One row a record of the WARC files under path; a revisit's payload length is that of its HTTP head."""
+    """One row a record of the WARC files under path, warcinfo records among them; a revisit's payload length is that of its HTTP head."""
+    names, kinds = [x.split()[0] for x in READ.split(", ")], [pa.string()] * 5 + [pa.int64()] * 3
+
+    def row(h: dict[str, str], block: bytes) -> tuple:
+        kind = h["warc-type"]
+        if kind == "warcinfo":
+            return h["warc-record-id"], kind, h["warc-date"], None, None, None, len(block), None
+        head, payload = split_http(block)
+        http = dict(x.lower().split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
+        digest = h.get("warc-payload-digest", "").removeprefix("sha1:")
+        if kind == "response" and digest != digest32(payload):
+            raise ValueError(f"digest of {h['warc-record-id']}")
+        size = int(http["content-length"]) if kind == "revisit" else len(payload)
+        refers = h.get(PAGE.lower())
+        return h["warc-record-id"], kind, h["warc-date"], h.get("warc-target-uri"), digest, int(http["x-page-id"]) if "x-page-id" in http else None, size, int(refers) if refers else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(0):
-                rows = []
-                for h, block in parse_warc(gunzip(content.as_py())):
-                    head, payload = split_http(block)
-                    http = dict(x.lower().split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
-                    kind = h["warc-type"]
-                    digest = h.get("warc-payload-digest", "").removeprefix("sha1:")
-                    if kind == "response" and digest != digest32(payload):
-                        raise ValueError(f"digest of {h['warc-record-id']}")
-                    size = int(http["content-length"]) if kind == "revisit" else len(payload)
-                    refers = h.get("warc-refers-to-page")
-                    rows.append((h["warc-record-id"], kind, h["warc-date"], h.get("warc-target-uri"), digest, int(http["x-page-id"]) if "x-page-id" in http else None, size, int(refers) if refers else None))
-                kinds = [pa.string()] * 5 + [pa.int64()] * 3
-                names = [x.split()[0] for x in READ.split(", ")]
+                rows = [row(h, block) for h, block in parse_warc(pieces(content.as_py()))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, READ)
 
 
 def archive_pages(pages: DataFrame, **options) -> DataFrame:
-    """Writes pages to WARC files in the shared folder and returns the records as they are read back."""
+    """Writes pages to WARC files in the shared folder and returns the pages' records as they are read back."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, **options)
-    return read_archives(spark, path)
+    return read_archives(spark, path).filter("record_type <> 'warcinfo'")
