@@ -1,19 +1,19 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word is the sum of three learned vectors: its own (words of the training sample's vocabulary; else unknown), and those of
-its first and its last three bytes (hashed). Two gated recurrent networks, one a direction, run over windows of WINDOW
+A word is the sum of its own learned vector (words of the training sample's vocabulary; else unknown) and the learned vectors of all its
+byte trigrams (hashed, its ends marked, divided by the root of their number). Two gated recurrent networks, one a direction, run over windows of WINDOW
 words; attention pools their states, and a logistic unit scores the window. Windows overlap, the last one ends with the
 text, and a document's logit is that of its most toxic window, calibrated.
 
 As inputs enter the gates linearly, each direction's input products are computed once for every vector (tables of the
-size of the vocabulary), so that scoring gathers rows instead of multiplying.
+size of the vocabulary) and summed once for every distinct word of a slice of texts, so that scoring gathers rows instead of multiplying.
 
-Training: at most about `a_class` labelled documents of each class (the bound; whole texts). Labels are a document's, not a window's: a
+Training: at most about `a_class` labelled documents of each class and the `most_words` most telling words (the bounds; whole texts). Labels are a document's, not a window's: a
 toxic document counts by its most suspicious window (first by the words' log odds, then by the network's own score), the others by windows
 drawn at random and the most suspicious one. The calibration weighs the classes as all labelled rows have them.
 
 Defined results: null and empty text are one window of no words, scored like any other; repeated rows are scored each on their own; without
-labels of both classes every score is the share of toxic rows seen (0 without any); input columns named like an output are replaced.
+labels of both classes, or without a word in the sample, every score is the share of toxic rows seen (0 without any); input columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -34,22 +34,59 @@ WINDOW = 32
 STRIDE = 24
 HIDDEN = 8
 DIM = 8
-CHAR_SLOTS = 2048
+CHAR_BITS = 11
 MOST_WORDS = 8192
+"""Words with a vector of their own, unless stated otherwise; the others have those of their trigrams."""
 MOST_DOCS = 4096
 MOST_WINDOWS = 4096
 
 
-def word_inputs(raw: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the first and of the last three bytes of each word."""
-    low = np.append(raw, np.uint8(0)).astype(np.uint32)
-    low[:-1] |= ((raw >= 65) & (raw <= 90)).astype(np.uint32) << np.uint32(5)
-    size = w.end - w.start
-    at = lambda i, ok: np.where(ok, low[np.where(ok, i, 0)], 0)
-    head = (low[w.start] << 16) | (at(w.start + 1, size > 1) << 8) | at(w.start + 2, size > 2)
-    tail = (low[w.end - 1] << 16) | (at(w.end - 2, size > 1) << 8) | at(w.end - 3, size > 2)
-    slot = lambda g: ((g.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(32 - 11)).astype(np.int32)
-    return slot(head), slot(tail)
+@dataclass
+class Forms:
+    """Distinct words: their hashes in order, and the slots of their trigrams, word after word."""
+
+    hash: np.ndarray
+    slots: np.ndarray
+    count: np.ndarray
+
+    def sums(self, table: np.ndarray) -> np.ndarray:
+        """For each word the sum of its trigrams' rows, divided by the root of their number."""
+        if not len(self.count):
+            return np.zeros((0, table.shape[1]), table.dtype)
+        begin = np.cumsum(self.count) - self.count
+        return np.add.reduceat(table[self.slots], begin, axis=0) / np.sqrt(self.count).astype(table.dtype)[:, None]
+
+    def only(self, own: np.ndarray) -> Forms:
+        """The words of these numbers."""
+        count = self.count[own]
+        return Forms(self.hash[own], self.slots[_runs((np.cumsum(self.count) - self.count)[own], count)], count)
+
+
+def _runs(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin, begin + 1 and so on, `count` numbers for each."""
+    return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+def forms_of(raw: np.ndarray, w: Words) -> tuple[Forms, np.ndarray]:
+    """The distinct words, and the number among them of each word."""
+    own, first, number = np.unique(w.hash, return_index=True, return_inverse=True)
+    start, size = w.start[first], (w.end - w.start)[first]
+    if not len(own):
+        return Forms(own, np.zeros(0, np.int32), np.zeros(0, np.int64)), number
+    at, word = _runs(start, size), np.repeat(np.arange(len(own)), size)
+    low = raw.astype(np.uint32)
+    low[(raw >= 65) & (raw <= 90)] += np.uint32(32)
+    before = np.where(at > start[word], low[np.maximum(at - 1, 0)], 1)
+    after = np.where(at < start[word] + size[word] - 1, low[np.minimum(at + 1, len(raw) - 1)], 2)
+    g = (before << np.uint32(16)) | (low[at] << np.uint32(8)) | after
+    return Forms(own, ((g.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(32 - CHAR_BITS)).astype(np.int32), size.astype(np.int64)), number
+
+
+def merged_forms(parts: list[Forms]) -> Forms:
+    every, first = np.unique(np.concatenate([f.hash for f in parts]), return_index=True)
+    count = np.concatenate([f.count for f in parts])
+    begin = np.cumsum(count) - count
+    return Forms(every, np.concatenate([f.slots for f in parts])[_runs(begin[first], count[first])], count[first])
 
 
 def windows_of(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,13 +166,13 @@ class Network:
             w = self.p[f"W{d}"]
             self.tables[f"w{d}"] = (self.p["E"] @ w + self.p[f"c{d}"]).astype(np.float32)
             self.tables[f"h{d}"] = (self.p["H"] @ w).astype(np.float32)
-            self.tables[f"t{d}"] = (self.p["T"] @ w).astype(np.float32)
 
-    def logits(self, ids: np.ndarray, head: np.ndarray, tail: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Logit of each window."""
+    def logits(self, forms: Forms, number: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Logit of each window of words (numbers of forms)."""
         out = np.empty(len(start), np.float32)
         p32 = {k: self.p[k].astype(np.float32) for k in ("Uf", "Ub", "v", "o", "k")}
-        products = {d: self.tables[f"w{d}"][ids] + self.tables[f"h{d}"][head] + self.tables[f"t{d}"][tail] for d in "fb"}
+        ids = self.index(forms.hash)
+        products = {d: self.tables[f"w{d}"][ids] + forms.sums(self.tables[f"h{d}"]) for d in "fb"}
         full = length == WINDOW
         for rows in (np.flatnonzero(full), np.flatnonzero(~full)):
             for i in range(0, len(rows), MOST_WINDOWS):
@@ -144,8 +181,8 @@ class Network:
                 at = start[own][None, :] + np.arange(steps)[:, None]
                 mask = np.arange(steps)[:, None] < length[own][None, :]
                 whole = bool(mask.all())
-                at = np.minimum(at, max(len(ids) - 1, 0))
-                got = {d: products[d][at] if len(ids) else np.zeros((*at.shape, 3 * HIDDEN), np.float32) for d in "fb"}
+                at = np.minimum(at, max(len(number) - 1, 0))
+                got = {d: products[d][number[at]] if len(number) else np.zeros((*at.shape, 3 * HIDDEN), np.float32) for d in "fb"}
                 hf = _run(got["f"], p32["Uf"], None if whole else mask, None)
                 hb = _run(got["b"][::-1], p32["Ub"], None if whole else mask[::-1], None)[::-1]
                 out[own] = _pool(np.concatenate([hf, hb], 2), mask, p32)[0]
@@ -154,9 +191,9 @@ class Network:
     def window_logits(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, first word in the slice, logit) of every window."""
         w = Words(raw, off, "alnum")
-        head, tail = word_inputs(raw, w) if len(w.hash) else (np.zeros(0, np.int32), np.zeros(0, np.int32))
+        forms, number = forms_of(raw, w)
         doc, start, length = windows_of(w.first)
-        return doc, start, self.logits(self.index(w.hash), head, tail, start, length)
+        return doc, start, self.logits(forms, number, start, length)
 
     def scores(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         n = len(off) - 1
@@ -168,8 +205,8 @@ class Network:
         return sigmoid(self.a * best + self.b)
 
 
-def _gradients(p: dict, x: np.ndarray, ids: np.ndarray, head: np.ndarray, tail: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
-    """Loss of a batch and its gradients, by backpropagation through time."""
+def _gradients(p: dict, x: np.ndarray, ids: np.ndarray, at: np.ndarray, forms: Forms, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
+    """Loss of a batch and its gradients, by backpropagation through time. at: which of forms each word is."""
     states, kept = {}, {"f": [], "b": []}
     turn = {"f": lambda m: m, "b": lambda m: m[::-1]}
     for d in "fb":
@@ -205,13 +242,16 @@ def _gradients(p: dict, x: np.ndarray, ids: np.ndarray, head: np.ndarray, tail:
         g[f"W{d}"] = np.einsum("tbd,tbk->dk", turn[d](x), da)
         dx += turn[d](da @ p[f"W{d}"].T)
     flat = dx.reshape(-1, DIM)
-    for name, at in (("E", ids), ("H", head), ("T", tail)):
-        g[name] = np.zeros_like(p[name])
-        np.add.at(g[name], at.ravel(), flat)
+    g["E"], g["H"] = np.zeros_like(p["E"]), np.zeros_like(p["H"])
+    np.add.at(g["E"], ids.ravel(), flat)
+    # Each word's gradient goes to all its trigrams.
+    each = np.zeros((len(forms.count), DIM))
+    np.add.at(each, at.ravel(), flat)
+    np.add.at(g["H"], forms.slots, np.repeat(each / np.sqrt(forms.count)[:, None], forms.count, axis=0))
     return loss, g
 
 
-def train(texts: list[str], labels: list[int], share: float, seed: int = 1, epochs: int = 14) -> Network:
+def train(texts: list[str], labels: list[int], share: float, seed: int = 1, epochs: int = 14, most_words: int = MOST_WORDS) -> Network:
     """share: of toxic rows among all labelled ones."""
     net = Network(share=share)
     y = np.array(labels)
@@ -219,35 +259,36 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = 1, epoc
         return net
     rng = np.random.default_rng(seed)
     batch = pa.RecordBatch.from_arrays([pa.array([t or "" for t in texts], pa.large_string())], ["text"])
-    hashes, head, tail, first = [], [], [], [0]
+    hashes, parts, first = [], [], [0]
     for _, _, raw, off in text_batches(batch, 0, MOST_DOCS):
         w = Words(raw, off, "alnum")
-        a, b = word_inputs(raw, w) if len(w.hash) else (np.zeros(0, np.int32), np.zeros(0, np.int32))
         hashes.append(w.hash)
-        head.append(a)
-        tail.append(b)
+        parts.append(forms_of(raw, w)[0])
         first += (w.first[1:] + first[-1]).tolist()
-    hashes, head, tail, first = np.concatenate(hashes), np.concatenate(head), np.concatenate(tail), np.array(first)
+    hashes, forms, first = np.concatenate(hashes), merged_forms(parts), np.array(first)
+    if not len(hashes):
+        return net
     # Vocabulary and its log odds: in how many documents of either class each word is.
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
-    words, inverse = np.unique(hashes, return_inverse=True)
-    pairs = np.unique(inverse * len(texts) + doc)
+    words = forms.hash
+    number = np.searchsorted(words, hashes)
+    pairs = np.unique(number * len(texts) + doc)
     wd, dd = pairs // len(texts), pairs % len(texts)
     seen = np.bincount(wd, minlength=len(words))
     bad = np.bincount(wd, weights=y[dd], minlength=len(words))
     n1, n0 = y.sum(), (1 - y).sum()
     odds = np.log((bad + 0.5) / (n1 + 1)) - np.log((seen - bad + 0.5) / (n0 + 1))
     telling = np.abs(odds) * np.sqrt(seen)
-    own = np.sort(np.argsort(-telling, kind="stable")[: min(MOST_WORDS, int((seen >= 4).sum()))])
+    own = np.sort(np.argsort(-telling, kind="stable")[: min(most_words, int((seen >= 4).sum()))])
     own = own[seen[own] >= 4]
     net.words = words[own]
     net.file()
     p = _init(rng)
     p["E"] = rng.normal(0, 0.05, (len(own) + 1, DIM))
     p["E"][1:, 0] += np.clip(odds[own], -3, 5) * (seen[own] >= 4) * 0.5
-    p["H"], p["T"] = rng.normal(0, 0.02, (CHAR_SLOTS, DIM)), rng.normal(0, 0.02, (CHAR_SLOTS, DIM))
+    p["H"] = rng.normal(0, 0.02, (1 << CHAR_BITS, DIM))
     net.p = p
-    ids = net.index(hashes)
+    ids = net.index(words)[number]
     at_doc, start, length = windows_of(first)
     fit = rng.random(len(texts)) < 0.8
     word_odds = np.concatenate([[0.0], odds[own]])[ids] if len(ids) else np.zeros(0)
@@ -257,7 +298,7 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = 1, epoc
     for epoch in range(epochs):
         if epoch >= 4 and epoch % 2 == 0:
             net.prepare()
-            suspect = net.logits(ids, head, tail, start, length)
+            suspect = net.logits(forms, number, start, length)
         order = np.lexsort((-suspect, at_doc))
         top = order[lone]
         others = rng.integers(0, len(start), 2 * len(top))
@@ -269,21 +310,23 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = 1, epoc
             steps = max(1, int(length[w].max()))
             mask = np.arange(steps)[:, None] < length[w][None, :]
             at = np.minimum(start[w][None, :] + np.arange(steps)[:, None], len(ids) - 1)
-            bi, bh, bt = ids[at] * mask, head[at], tail[at]
+            own, place = np.unique(number[at].ravel(), return_inverse=True)
+            near, place = forms.only(own), place.reshape(at.shape)
+            bi = ids[at] * mask
             bi = np.where(rng.random(bi.shape) < 0.05, 0, bi)
-            x = p["E"][bi] + p["H"][bh] + p["T"][bt]
+            x = p["E"][bi] + near.sums(p["H"])[place]
             yw = y[at_doc[w]].astype(float)
             weight = np.full(len(w), 1.0 / len(w))
-            _, g = _gradients(p, x, bi, bh, bt, mask, yw, weight)
+            _, g = _gradients(p, x, bi, place, near, mask, yw, weight)
             step += 1
             for k in p:
-                gk = g[k] + (1e-5 * p[k] if k in "EHT" else 1e-4 * p[k])
+                gk = g[k] + (1e-5 * p[k] if k in "EH" else 1e-4 * p[k])
                 m[k] += 0.1 * (gk - m[k])
                 v[k] += 0.01 * (gk * gk - v[k])
                 p[k] -= 0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
     net.prepare()
     best = np.full(len(texts), -1e9)
-    np.maximum.at(best, at_doc, net.logits(ids, head, tail, start, length))
+    np.maximum.at(best, at_doc, net.logits(forms, number, start, length))
     held = ~fit if len(set(y[~fit])) == 2 else np.ones(len(texts), bool)
     x = np.clip(best[held], -20, 20)[:, None]
     weight = np.where(y[held] == 1, share / max(1, (y[held] == 1).sum()), (1 - share) / max(1, (y[held] == 0).sum()))
@@ -292,7 +335,7 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = 1, epoc
     return net
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", a_class: int = 1000) -> Network:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", a_class: int = 1000, most_words: int = MOST_WORDS) -> Network:
     """allowed: which rows of labels may be learned from."""
     marks = labels.filter(allowed).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y")).filter("id is not null")
     some, counts = class_sample(marks, F.col("id"), F.when(F.col("y") > 0, 1).when(F.col("y") == 0, 0), a_class)
@@ -300,7 +343,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: st
     share = bad / (bad + good) if bad + good else 0.0
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = sorted((r["id"], r["text"], r["_label"]) for r in texts_of(own, some).collect()) if counts else []
-    return train([t for _, t, _ in rows], [c for _, _, c in rows], share)
+    return train([t for _, t, _ in rows], [c for _, _, c in rows], share, most_words=most_words)
 
 
 def score_toxicity(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
