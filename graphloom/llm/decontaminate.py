@@ -6,8 +6,9 @@ words says how far the scan may jump; where the jump is zero, the last block's h
 windows, and a direct comparison of the words confirms an occurrence. The scan advances many text segments in
 lockstep, so that each jump is one numpy step for thousands of segments.
 
-Only windows are broadcast, in chunks of at most about `chunk_windows`; a larger benchmark is searched by a chain of
-passes over the same rows, one chunk each, whose hits are united in the row. No text is shuffled.
+Only windows are broadcast, in chunks of at most about `chunk_windows`. A larger benchmark is searched by passes over the texts, one chunk each: a pass writes
+what it finds in each distinct text that has hits, under a digest of the text, and its chunk is released before the next one is made. What all passes found
+then meets the rows by that digest. No text is shuffled, but where more than MOST_SENT texts have hits of a benchmark of several chunks.
 
 Defined results: null or empty text has no words; repeated rows are searched each on their own; items without id or
 without words are not searched; items that share an id count once; an empty benchmark hits nothing. Input columns
@@ -17,6 +18,7 @@ named like an output column are replaced, all others kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import Words, column_bytes, doc_slices, mix64
+from graphloom.llm.common import Words, column_bytes, doc_slices, materialize, mix64, spare
+from graphloom.plans.tables import discard
 
 SEGMENT = 256
+MOST_SENT = 20_000
+"""Texts with hits whose hits are broadcast at most, where there are several passes."""
 HITS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
@@ -162,39 +167,53 @@ def find_occurrences(raw: np.ndarray, off: np.ndarray, sets: list[WindowSet]) ->
             yield hi - lo, spans, sorted({i for s, k in set(hits[d]) for i in s.items[k]})
 
 
+def _search(docs: DataFrame, sent, at: int, columns: list[str], schema: T.StructType, hit_only: bool) -> DataFrame:
+    """The columns with n_words, hits and items of the broadcast sets; hit_only: rows with hits alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = b.column(at)
+            raw, off = column_bytes(text.cast(pa.string()) if not pa.types.is_string(text.type) else text)
+            n, spans, items = [], [], []
+            for words, hit, found in find_occurrences(raw, off, sent.value):
+                n.append(words)
+                spans.append([{"start": s, "end": e} for s, e in hit])
+                items.append(found)
+            arrays = [b.column(c) for c in columns] + [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))]
+            out = pa.RecordBatch.from_arrays(arrays, schema.names)
+            yield out.filter(pa.array([bool(x) for x in items], pa.bool_())) if hit_only else out
+
+    return docs.mapInArrow(run, schema)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 8, chunk_windows: int = 200_000) -> DataFrame:
     """Adds n_words, hits (ranges of words inside occurrences, end exclusive), items (ids as strings) and n_hit."""
     spark = docs.sparkSession
-    windows = benchmark_windows(benchmark, item_id, item_text, width)
+    windows = materialize(benchmark_windows(benchmark, item_id, item_text, width), "windows")
     chunks = max(1, -(-windows.count() // chunk_windows))
-    out = docs.drop("n_words", "n_hit", "hits", "items")
-    columns = out.columns
-    out = out.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast(HITS), "items": F.array().cast("array<string>")})
-    schema, at = out.schema, out.columns.index(text_col)
+    docs = docs.drop("n_words", "n_hit", "hits", "items")
+    found = [T.StructField("n_words", T.LongType()), T.StructField("hits", HITS), T.StructField("items", T.ArrayType(T.StringType()))]
+    chunk = lambda c: spark.sparkContext.broadcast(build_sets([(r.item, bytes(r.window)) for r in (windows.filter(F.pmod(F.xxhash64("window"), F.lit(chunks)) == c) if chunks > 1 else windows).collect()]))
+    if chunks == 1:
+        out = _search(docs, chunk(0), docs.columns.index(text_col), docs.columns, T.StructType([*docs.schema.fields, *found]), False)
+        return out.withColumn("n_hit", F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]))
+    (c_key,) = spare(docs.columns, "text_key")
+    key = F.unhex(F.md5(F.col(text_col).cast("string").cast("binary"))).alias(c_key)
+    texts = docs.filter(F.col(text_col).isNotNull()).select(key, F.col(text_col).cast("string").alias("text"))
+    passes = []
     for c in range(chunks):
-        own = windows.filter(F.pmod(F.xxhash64("item", "window"), F.lit(chunks)) == c) if chunks > 1 else windows
-        sets = spark.sparkContext.broadcast(build_sets([(r.item, bytes(r.window)) for r in own.collect()]))
-
-        def run(batches: Iterator[pa.RecordBatch], sets=sets, c=c) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                text = b.column(at)
-                raw, off = column_bytes(text.cast(pa.string()) if not pa.types.is_string(text.type) else text)
-                n, spans, items = [], [], []
-                for words, hit, found in find_occurrences(raw, off, sets.value):
-                    n.append(words)
-                    spans.append([{"start": s, "end": e} for s, e in hit])
-                    items.append(found)
-                if c:
-                    spans = [x.as_py() + y for x, y in zip(b.column(len(columns) + 1), spans, strict=True)]
-                    items = [sorted({*x.as_py(), *y}) for x, y in zip(b.column(len(columns) + 2), items, strict=True)]
-                arrays = b.columns[: len(columns)] + [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(arrays, [*columns, "n_words", "hits", "items"])
-
-        out = out.mapInArrow(run, schema)
-    if chunks > 1:
-        covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["start"], x["end"] - 1)))))
-    else:
-        covered = F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+        sent = chunk(c)
+        own = _search(texts, sent, 1, [c_key], T.StructType([T.StructField(c_key, T.BinaryType()), *found]), True)
+        # Copies of a text have the same hits.
+        passes.append(materialize(own.groupBy(c_key).agg(F.first("hits").alias("hits"), F.first("items").alias("items")), "window-hits"))
+        sent.destroy()
+    merged = reduce(DataFrame.unionByName, passes).groupBy(c_key).agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = materialize(merged, "window-hits")
+    discard(*passes)
+    if merged.count() <= MOST_SENT:
+        merged = F.broadcast(merged)
+    counted = _search(docs, spark.sparkContext.broadcast([]), docs.columns.index(text_col), docs.columns, T.StructType([*docs.schema.fields, *found]), False).drop("hits", "items")
+    out = counted.withColumn(c_key, F.unhex(F.md5(F.col(text_col).cast("string").cast("binary")))).join(merged, c_key, "left")
+    out = out.select(*docs.columns, "n_words", F.coalesce("hits", F.array().cast(HITS)).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["start"], x["end"] - 1)))))
     return out.withColumn("n_hit", covered.cast("long"))
-
-
