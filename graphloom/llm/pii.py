@@ -5,12 +5,14 @@ model says. What the patterns can't see is a value written another way: a phone
 country code, a card number with odd separators, an address spelled with "at". The model labels candidates: the base spans and all other
 digit groups and address-like tokens of the text. A candidate's own potential comes from a logistic regression over its shape; neighbours in
 reading order share transition potentials (the chain); candidates of the same or a similar value, however far apart, share agreement potentials (the skip
-edges). Similar are numbers of up to 15 digits of which one ends with the other, trunk zeros dropped, by SUFFIX digits at least. A candidate has
+edges), graded by how similar they are. Similar are numbers of up to 15 digits of which one ends with the other, trunk zeros dropped, by SUFFIX digits at least. A candidate has
 skip edges to the last similar one of each length before it and to the base spans next to it on both sides, so that they grow with the candidates. Loopy sum-product message passing
 runs ROUNDS rounds with damping; base spans are clamped. A candidate whose marginal for a kind reaches `sure` becomes a span of the method.
 
-Potentials are learned from the patterns' own decisions on a sample of about `most_docs` documents (the bound; whole texts) and one made-up
-unlabelled example of each shape, as the counts begin at one. The marginals alone decide, in documents without base spans too.
+Potentials are learned from a sample of about `most_docs` documents (the bound; whole texts, one of each id and text): base spans have their kinds; other candidates have
+none, but for those with a skip edge to a base span, which are not labelled. What the patterns can't see is not in their decisions: so every base span is also
+written another way (rewritten), which gives the grades of agreement their pairs of one value and one kind. The counts begin with PRIOR such pairs a grade, and the shapes with one made-up
+unlabelled example each. The marginals alone decide, in documents without base spans too.
 
 Everything stays within the row; whole texts; offsets are code points.
 
@@ -48,9 +50,14 @@ FULL = re.compile(r"[0-9]")
 SPELLED_CORE = re.compile(r"(?:@|\bat\b)[\x20]?[\])]?[\x20]?[A-Za-z0-9-]{1,63}(?:\.|[\x20]?[\[(]?dot[\])]?[\x20]?)[A-Za-z0-9-]", re.IGNORECASE)
 HANDLE = re.compile(r"\s@\S")
 MOST_AGAINST = 3.0
-"""Log odds by which a shape speaks against a kind, at most; half of the least agreement potential."""
+"""Log odds by which a shape speaks against a kind, at most."""
 SUFFIX = 7
 """Digits that similar numbers share at least."""
+GRADES = ("same", "long", "short")
+"""Of skip edges: the same value; a number that ends another one with LONG digits at least; one with fewer."""
+LONG = 10
+PRIOR = {"same": 400, "long": 200, "short": 150}
+"""Pairs of one value that agreed, before any text is seen."""
 PLAIN = ("1234567", "123-4567", "1234567890", "(123) 456-7890", "1.555.123.4567", "12345678901234", "1234 5678 9012 345", "12345678901234567890", "a at b.c", "a @b.c")
 """An unlabelled example of each shape."""
 
@@ -132,6 +139,13 @@ def _number(c: Candidate) -> str:
     return d if SUFFIX <= len(d) <= 15 else ""
 
 
+def grade(a: Candidate, b: Candidate) -> str:
+    """Of a skip edge."""
+    if a.key == b.key:
+        return "same"
+    return "long" if min(len(_number(a)), len(_number(b))) >= LONG else "short"
+
+
 def skip_edges(nodes: list[Candidate]) -> list[tuple[int, int]]:
     """Pairs of the same or a similar value."""
     found: set[tuple[int, int]] = set()
@@ -177,25 +191,32 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[Candidate]:
 
 @dataclass
 class SkipChain:
-    """Weights: own (shapes to labels; label 0 is none), chain (label to label), agree (same label over a skip edge)."""
+    """Weights: own (shapes to labels; label 0 is none), chain (label to label), agree (same label over a skip edge, by grade)."""
 
     own: np.ndarray
     bias: np.ndarray
     chain: np.ndarray
-    agree: float
+    agree: dict[str, float]
 
-    def marginals(self, nodes: list[Candidate]) -> np.ndarray:
+    def potentials(self, nodes: list[Candidate]) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray]]]:
+        """Of nodes (node, label) and of edges (node, node, labels of both), as logarithms."""
         n, k = len(nodes), len(KINDS) + 1
         unary = np.array([c.shape for c in nodes]) @ self.own + self.bias
-        # The patterns call whatever they can't see none: one agreeing base span outweighs that.
+        # The patterns call whatever they can't see none: an agreeing base span outweighs that.
         unary = np.maximum(unary, unary[:, :1] - MOST_AGAINST)
         for i, c in enumerate(nodes):
             if c.kind >= 0:
                 unary[i] = -50.0
                 unary[i, c.kind + 1] = 50.0
-        edges = [(i, i + 1, self.chain) for i in range(n - 1)]
-        skip = np.eye(k) * self.agree
-        edges += [(i, j, skip) for i, j in skip_edges(nodes)]
+        edges = {(i, i + 1): self.chain for i in range(n - 1)}
+        for i, j in skip_edges(nodes):
+            edges[i, j] = edges.get((i, j), 0.0) + np.eye(k) * self.agree[grade(nodes[i], nodes[j])]
+        return unary, [(i, j, w) for (i, j), w in edges.items()]
+
+    def marginals(self, nodes: list[Candidate]) -> np.ndarray:
+        """(node, label): sum-product messages, exact where the edges make no loop."""
+        k = len(KINDS) + 1
+        unary, edges = self.potentials(nodes)
         if not edges:
             p = np.exp(unary - unary.max(1, keepdims=True))
             return p / p.sum(1, keepdims=True)
@@ -217,20 +238,44 @@ class SkipChain:
         return p / p.sum(1, keepdims=True)
 
 
+def rewritten(text: str, kind: int) -> list[str]:
+    """Other ways to write a base span's value, none of which the patterns see."""
+    if KINDS[kind] == "email":
+        name, _, host = text.partition("@")
+        return [f"{name} at {host.replace('.', ' dot ')}", f"{name} [at] {host}"]
+    if KINDS[kind] == "ip":
+        return []
+    d = "".join(c for c in text if c in "0123456789")
+    if KINDS[kind] == "card":
+        return [".".join(d[i : i + 4] for i in range(0, len(d), 4))]
+    return [f"0{d[n:]}" if n % 2 else d[n:] for n in (1, 2, 3) if len(d) - n >= SUFFIX]
+
+
 def train(texts: list[str]) -> SkipChain:
-    """Potentials from the patterns' decisions; without any candidate, shapes say nothing."""
+    """Potentials of the sample's candidates; without any, shapes say nothing and agreement is that of the prior."""
     k = len(KINDS) + 1
     shapes, labels = [], []
-    chain, same = np.ones((k, k)), np.ones(2)
+    chain = np.ones((k, k))
+    agreed, differed = dict(PRIOR), dict.fromkeys(GRADES, 1)
     for text in texts:
         nodes = candidates(text, base_spans(text))
+        edges = skip_edges(nodes)
+        unlabelled = {j for e in edges for i, j in (e, e[::-1]) if nodes[i].kind >= 0 > nodes[j].kind}
         for i, c in enumerate(nodes):
+            if i in unlabelled:
+                continue
             shapes.append(c.shape)
             labels.append(c.kind + 1)
-            if i:
+            if i and i - 1 not in unlabelled:
                 chain[nodes[i - 1].kind + 1, c.kind + 1] += 1
-        for i, j in skip_edges(nodes):
-            same[int(nodes[i].kind == nodes[j].kind)] += 1
+        for i, j in edges:
+            if i not in unlabelled and j not in unlabelled:
+                (agreed if nodes[i].kind == nodes[j].kind else differed)[grade(nodes[i], nodes[j])] += 1
+        for c in nodes:
+            for other in rewritten(text[c.start : c.end], c.kind) if c.kind >= 0 else ():
+                pair = [c, Candidate(c.end, c.end + 1, -1, _key(other), _shape(other))]
+                if skip_edges(pair):
+                    agreed[grade(*pair)] += 1
     width = len(_shape("0"))
     own, bias = np.zeros((width, k)), np.zeros(k)
     if shapes:
@@ -240,9 +285,7 @@ def train(texts: list[str]) -> SkipChain:
         own, bias = fit_logistic(np.array(shapes, np.float32), y, l2=1e-3, steps=300, rate=0.1)
     share = chain / chain.sum()
     pmi = np.log(share / np.outer(share.sum(1), share.sum(0)))
-    # Same values agree far more often than not; the odds are kept within the weight of a few shapes.
-    agree = float(np.clip(np.log(same[1] / same[0]), 2 * MOST_AGAINST, 8.0))
-    return SkipChain(own.astype(float), bias.astype(float), 0.5 * np.clip(pmi, -1, 1), agree)
+    return SkipChain(own.astype(float), bias.astype(float), 0.5 * np.clip(pmi, -1, 1), {g: float(np.log(agreed[g] / differed[g])) for g in GRADES})
 
 
 def find_spans(text: str, model: SkipChain, sure: float = 0.8) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -264,12 +307,12 @@ SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructF
 
 
 def fit_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_docs: int = 500) -> SkipChain:
-    """Learns from about most_docs documents in which the patterns' characters occur."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]"))
+    """Learns from about most_docs documents in which the patterns' characters occur; rows of one id and text are one."""
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]"))
     n = rows.count()
-    place = F.pmod(F.xxhash64("id", F.lit("pii")), F.lit(1 << 20)) / float(1 << 20)
-    got = rows.filter(place < most_docs / n).collect() if n else []
-    return train([r["text"] for r in sorted(got, key=lambda r: (r["id"] is None, r["id"] or 0, r["text"]))])
+    place = F.pmod(F.xxhash64("id", "text", F.lit("pii")), F.lit(1 << 40)) / float(1 << 40)
+    got = rows.filter(place < most_docs / n).groupBy("id", "text").count().collect() if n else []
+    return train([r["text"] for r in sorted(got, key=lambda r: (r["id"] is None, r["id"] or "", r["text"]))])
 
 
 def find_personal_data(docs: DataFrame, model: SkipChain, text_col: str = "text", redact: bool = False) -> DataFrame:
