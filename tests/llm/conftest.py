@@ -7,7 +7,7 @@ from made_texts import words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 # Columns that operators make or use inside, of other types.
-CLASH = ["n_words", "hits", "items", "n_hit", "places", "pii", "score", "keep", "evidence", "size", "target", "taken", "lang_pred", "ambiguous", "node", "id", "h"]
+CLASH = ["n_words", "hits", "items", "n_hit", "places", "pii", "score", "keep", "evidence", "size", "target", "taken", "lang_pred", "ambiguous", "node", "id", "h", "_words", "words_of", "words_at", "words_from", "host", "_host", "host_of", "path_of", "HOST_AT", "path_at", "text_of", "_text", "text_key", "part", "rank", "shard", "bucket"]
 
 
 @pytest.fixture(scope="session")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import random
 import re
@@ -108,13 +109,14 @@ def test_sparse_sites_shrink(spark):
 def test_gradients():
     rng = np.random.default_rng(0)
     p = toxicity._init(rng)
-    p |= {"E": rng.normal(0, 0.5, (6, toxicity.DIM)), "H": rng.normal(0, 0.5, (5, toxicity.DIM)), "T": rng.normal(0, 0.5, (4, toxicity.DIM))}
-    ids, head, tail = rng.integers(0, 6, (4, 3)), rng.integers(0, 5, (4, 3)), rng.integers(0, 4, (4, 3))
+    p |= {"E": rng.normal(0, 0.5, (6, toxicity.DIM)), "H": rng.normal(0, 0.5, (5, toxicity.DIM))}
+    forms = toxicity.Forms(np.arange(3, dtype=np.uint64), rng.integers(0, 5, 7), np.array([2, 4, 1]))
+    ids, at = rng.integers(0, 6, (4, 3)), rng.integers(0, 3, (4, 3))
     mask = np.arange(4)[:, None] < np.array([4, 2, 1])[None, :]
     y, weight = np.array([1.0, 0.0, 1.0]), np.full(3, 1 / 3)
-    run = lambda: toxicity._gradients(p, p["E"][ids] + p["H"][head] + p["T"][tail], ids, head, tail, mask, y, weight)
+    run = lambda: toxicity._gradients(p, p["E"][ids] + forms.sums(p["H"])[at], ids, at, forms, mask, y, weight)
     _, g = run()
-    for k in ("E", "H", "T", "Wf", "Ub", "cf", "v", "o", "k"):
+    for k in ("E", "H", "Wf", "Ub", "cf", "v", "o", "k"):
         flat = p[k].reshape(-1)
         for i in rng.integers(0, len(flat), 4):
             keep, eps = flat[i], 1e-5
@@ -297,6 +299,34 @@ def test_arc_versions():
             list(warc.parse_arc(broken))
 
 
+def test_archives_are_bounded_and_revisits_name_their_record(spark, tmp_path, monkeypatch):
+    rows = [(i, f"http://h/{i}", f"page {i % 9} " + "é" * (40 * (i % 9))) for i in range(60)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), str(tmp_path / "w"), file_bytes=4000)
+    records, files = {}, 0
+    for r in spark.read.format("binaryFile").load(str(tmp_path / "w")).collect():
+        files += 1
+        whole = b"".join(warc.pieces(bytes(r["content"])))
+        own = list(warc.parse_warc(whole))
+        monkeypatch.setattr(warc, "PIECE", 7)
+        assert list(warc.parse_warc(warc.pieces(bytes(r["content"])))) == own
+        assert list(warc.parse_warc(warc.pieces(whole))) == own
+        monkeypatch.undo()
+        assert sum(len(b) for _, b in own) <= 4000
+        assert own[0][0]["warc-type"] == "warcinfo"
+        for h, block in own:
+            if h["warc-type"] != "warcinfo":
+                records[int(re.search(rb"X-Page-Id: (\d+)", block)[1])] = h
+    assert files > 5
+    assert set(records) == set(range(60))
+    for i, h in records.items():
+        keeper = max(j for j in range(60) if j % 9 == i % 9)
+        assert h["warc-type"] == ("response" if i == keeper else "revisit")
+        if i != keeper:
+            assert (h["warc-refers-to"], h["warc-refers-to-target-uri"], h["warc-refers-to-date"]) == (records[keeper]["warc-record-id"], f"http://h/{keeper}", records[keeper]["warc-date"])
+    with pytest.raises(ValueError, match="without end"):
+        list(warc.pieces(gzip.compress(b"x" * 5000)[:-9]))
+
+
 # --- 8 ----------------------------------------------------------------------------------------------------------
 
 
@@ -331,11 +361,38 @@ def test_tree_is_exact():
     rng = np.random.default_rng(3)
     x = np.floor(256 * np.concatenate([rng.normal(0, 1, (900, 8)), np.tile(rng.normal(0, 1, (1, 8)), (400, 1))]))
     ids = rng.permutation(len(x)).astype(np.int64)
-    tree = mtree.MTree(ids, x)
+    tree = mtree.MTree(ids, x, float((x * x).sum(1).max()) + 5)
     for q in (0, 5, 1000):
         s = (x @ x[q]).astype(np.int64)
         want = sorted((-int(v), int(i)) for v, i in zip(s, ids, strict=True) if i != ids[q])[:5]
         assert [(-v, i) for v, i in tree.nearest(x[q], int(ids[q]), 5)] == want
+        assert [(-v, i) for v, i in tree.nearest(x[q], int(ids[q]), 5, least=float(-want[2][0]))] == [w for w in want if w[0] <= want[2][0]]
+
+
+@pytest.mark.parametrize("kind", ["groups", "even", "large"])
+def test_search_over_cells_is_exact(spark, monkeypatch, kind):
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 1, (600, 6))
+    if kind == "groups":
+        x = np.repeat(rng.normal(0, 1, (12, 6)), 50, axis=0) + rng.normal(0, 0.02, (600, 6))
+    if kind == "large":
+        x = x * 3e5
+    x[300:420] = x[300]  # copies, more than a tree takes
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, v.tolist()) for i, v in enumerate(rng.normal(0, 1, (30, 4)))]
+    met, onward = [], mtree._onward
+    monkeypatch.setattr(mtree, "_onward", lambda *a: met.append(onward(*a)) or met[0])
+    monkeypatch.setattr(mtree, "CELL_ROWS", 40)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = mtree.top_inner_products(df, "vec_id", "embedding", F.col("vec_id") % 50 == 0, tree_rows=30, block_queries=4)
+    whole = {i: [int(np.floor(256 * a)) for a in v] for i, v in rows}
+    want = []
+    for q, y in whole.items():
+        if q % 50 == 0:
+            s = sorted((-sum(a * b for a, b in zip(y, v, strict=True)), i) for i, v in whole.items() if i != q and len(v) == len(y))[:5]
+            want += [(q, n, i, -score) for n, (score, i) in enumerate(s, 1)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    if kind == "groups":  # most trees are out of reach
+        assert met[0].count() < 0.5 * 12 * 600 / 30
 
 
 # --- 10 ---------------------------------------------------------------------------------------------------------

@@ -6,11 +6,13 @@ import math
 import random
 
 import pytest
-from conftest import SCHEMA
+from conftest import CLASH, SCHEMA
 from made_texts import words
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from graphloom.llm import decontaminate as decontaminate_module
+from graphloom.llm import mixing, quality, warc
 from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.langid import fit_languages, identify_languages
 from graphloom.llm.licenses import scan_licenses
@@ -18,7 +20,7 @@ from graphloom.llm.mixing import mix_sources
 from graphloom.llm.mtree import top_inner_products
 from graphloom.llm.ngram_join import join_components
 from graphloom.llm.pii import find_personal_data, fit_spans
-from graphloom.llm.quality import classify_quality, fit_quality
+from graphloom.llm.quality import OUTPUTS, classify_quality, fit_quality
 from graphloom.llm.toxicity import fit_toxicity, score_toxicity
 from graphloom.llm.warc import archive_pages
 
@@ -53,6 +55,10 @@ def by_operator(spark, docs, some):
 def test_odd_rows(spark, odd_docs):
     out = {k: v.collect() for k, v in by_operator(spark, odd_docs, True).items()}
     assert {len(v) for v in out.values()} == {odd_docs.count()}
+    made = {2: {"lang_pred", "score", "ambiguous"}, 3: set(OUTPUTS), 4: {"n_words", "places"}, 7: {"score"}, 8: {"n_words", "hits", "items", "n_hit"}, 10: {"pii"}}
+    for k, new in made.items():
+        assert set(odd_docs.columns) | new == set(out[k][0].asDict()), k
+        assert all(r[c] == "clash" for r in out[k] for c in CLASH if c not in new), k
     size = {r["doc_id"]: r["size"] for r in out[1]}
     assert (size[1], size[2], size[3], size[9]) == (0, 0, 0, 30_000)
     assert all(r["taken"] <= 3 * r["size"] for r in out[1])
@@ -69,6 +75,27 @@ def test_odd_rows(spark, odd_docs):
     assert hit[1] == (0, 0, [])
 
 
+def test_tables_too_large_to_send(spark, odd_docs, monkeypatch):
+    """Whatever has a bound for being broadcast does the same without."""
+    for module, name in ((quality, "MOST_SITES"), (decontaminate_module, "MOST_SENT"), (mixing, "MOST_SENT")):
+        monkeypatch.setattr(module, name, 0)
+    model = fit_quality(odd_docs, labels(spark))
+    host, path = F.col("source"), F.concat_ws("/", "source", "lang")
+    for keep_text in (True, False):
+        few, many = [], []
+        for out, most in ((few, 50_000), (many, 0)):
+            monkeypatch.setattr(quality, "MOST_SITES", most)
+            out += sorted((repr((r["doc_id"], r["n_chars"], r["score"], r["keep"])) for r in classify_quality(odd_docs, model, host, path, keep_text=keep_text).collect()))
+        assert few == many
+    items = bench(spark, [(i, words(random.Random(i), 9)) for i in range(5)] + [(7, "same row"), (8, "w w w w w w w w")])
+    want = sorted(repr((r["doc_id"], r["n_words"], r["n_hit"], r["items"])) for r in decontaminate(odd_docs, items).collect())
+    assert sorted(repr((r["doc_id"], r["n_words"], r["n_hit"], r["items"])) for r in decontaminate(odd_docs, items, chunk_windows=2).collect()) == want
+    assert any("'8'" in x for x in want)
+    mixed = sorted(repr(tuple(r)) for r in mix_sources(odd_docs).collect())
+    monkeypatch.setattr(mixing, "MOST_SENT", 50_000)
+    assert sorted(repr(tuple(r)) for r in mix_sources(odd_docs).collect()) == mixed
+
+
 def test_empty_tables(spark, no_docs):
     for k, v in by_operator(spark, no_docs, False).items():
         assert v.count() == 0, k
@@ -87,6 +114,9 @@ def test_pages(spark):
     got = sorted(((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in archive_pages(p).collect()), key=repr)
     assert got == sorted([(0, 1, "revisit", 2), (1, 1, "revisit", 2), (2, 1, "response", None), (2, 1, "response", None), (3, 0, "revisit", 4), (4, 0, "response", None), (5, 20, "response", None)], key=repr)
     assert archive_pages(p.limit(0)).count() == 0
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(warc, "MOST_BROADCAST", 0)
+        assert sorted(((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in archive_pages(p).collect()), key=repr) == got
 
 
 def test_vectors(spark):
