@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, shuffle_width
+from graphloom.llm.common import materialize, shuffle_width, spare
 from graphloom.plans.tables import discard
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -129,20 +129,31 @@ def draw_counts(targets: DataFrame, slots: int, seed: int) -> DataFrame:
     return found
 
 
-def permuted(i: Column, n: Column, *key: Column) -> Column:
-    """Place of i under a pseudorandom permutation of 0..n-1 that the key selects."""
-    a = F.greatest(F.lit(1).cast("long"), F.floor(F.sqrt(n)))
-    b = F.ceil(n / a)
+def with_permuted(rows: DataFrame, name: str, i: Column, n: Column, *key: Column) -> DataFrame:
+    """Adds the place of i under a pseudorandom permutation of 0..n-1 that the key selects."""
+    a, b, left, right, walk = spare(rows.columns, "wide_a", "wide_b", "left", "right", "walk")
+    rows = rows.withColumn(a, F.greatest(F.lit(1).cast("long"), F.floor(F.sqrt(n)))).withColumn(b, F.ceil(n / F.col(a)))
+    wide_a, wide_b = F.col(a), F.col(b)
+    halves = lambda x: (F.floor(x / wide_b), F.pmod(x, wide_b))
+    to_left = lambda x, y, k: F.pmod(x + F.pmod(F.xxhash64(*key, F.lit(2 * k), y), wide_a), wide_a)
+    to_right = lambda x, y, k: F.pmod(y + F.pmod(F.xxhash64(*key, F.lit(2 * k + 1), x), wide_b), wide_b)
+    # Once through, in steps of their own, which are compiled; what has left the range goes on in an expression, which is not.
+    first = halves(i.cast("long"))
+    rows = rows.withColumns({left: first[0], right: first[1]})
+    for k in range(ROUNDS):
+        rows = rows.withColumn(left, to_left(F.col(left), F.col(right), k))
+        rows = rows.withColumn(right, to_right(F.col(left), F.col(right), k))
+    rows = rows.withColumn(walk, (F.col(left) * wide_b + F.col(right)).cast("long"))
 
     def network(x: Column) -> Column:
-        left, right = F.floor(x / b), F.pmod(x, b)
+        x, y = halves(x)
         for k in range(ROUNDS):
-            left = F.pmod(left + F.pmod(F.xxhash64(*key, F.lit(2 * k), right), a), a)
-            right = F.pmod(right + F.pmod(F.xxhash64(*key, F.lit(2 * k + 1), left), b), b)
-        return (left * b + right).cast("long")
+            x = to_left(x, y, k)
+            y = to_right(x, y, k)
+        return (x * wide_b + y).cast("long")
 
-    again = lambda x, _: F.when(x < n, x).otherwise(network(x))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), network(i.cast("long")), again)
+    again = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.col(walk), lambda x, _: F.when(x < n, x).otherwise(network(x)))
+    return rows.withColumn(name, F.when(F.col(walk) < n, F.col(walk)).otherwise(again)).drop(a, b, left, right, walk)
 
 
 def block_uses(counts: DataFrame, max_repeat: int, seed: int) -> DataFrame:
@@ -151,9 +162,9 @@ def block_uses(counts: DataFrame, max_repeat: int, seed: int) -> DataFrame:
     slots = counts.repartition(shuffle_width(counts.sparkSession), "rank", "shard")
     slots = slots.withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)))
     slots = slots.filter(F.col("slot") < F.col("blocks") * max_repeat)
-    turn = F.floor(F.col("slot") / F.col("blocks")).cast("long")
-    block = permuted(F.col("slot") - turn * F.col("blocks"), F.col("blocks"), F.col("rank"), turn, F.lit(seed))
-    return slots.select("rank", block.alias("block")).groupBy("rank", "block").agg(F.count(F.lit(1)).alias("uses"))
+    slots = slots.withColumn("turn", F.floor(F.col("slot") / F.col("blocks")).cast("long"))
+    slots = with_permuted(slots, "block", F.col("slot") - F.col("turn") * F.col("blocks"), F.col("blocks"), F.col("rank"), F.col("turn"), F.lit(seed))
+    return slots.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("uses"))
 
 
 def positions(sized: DataFrame) -> DataFrame:

@@ -64,11 +64,18 @@ def test_mix_hits_its_targets_whatever_the_partitions(spark):
 
 
 def test_permutation(spark):
-    from graphloom.llm.mixing import permuted
-
-    for n in (1, 2, 15, 1000):
-        got = spark.range(n).select(permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3)).alias("p")).collect()
-        assert sorted(r["p"] for r in got) == list(range(n))
+    from graphloom.llm.mixing import with_permuted
+
+    for n in (1, 2, 3, 15, 255, 1000):
+        got = {}
+        for key in (3, 4):
+            rows = with_permuted(spark.range(n), "p", F.col("id"), F.lit(n).cast("long"), F.lit(key)).orderBy("id").collect()
+            got[key] = [r["p"] for r in rows]
+            assert sorted(got[key]) == list(range(n))
+        if n > 100:
+            moves = {(b - a) % n for a, b in zip(got[3], got[3][1:], strict=False)}
+            assert len(moves) > n / 3  # no rotation, no multiple
+            assert sum(a == b for a, b in zip(got[3], got[4], strict=True)) < 12
 
 
 # --- 2, 3, 7 ----------------------------------------------------------------------------------------------------
