@@ -485,12 +485,12 @@ def linked_parts(docs: DataFrame, rule: Rule, shared: frozenset[int], total: int
             own = around.select("centre", F.col("main").alias("part")).distinct().select("centre", F.lit(0).alias("ring"), F.col("centre").alias("node"), F.lit(1).cast("long").alias("n"), "part")
             members = around.drop("main").unionByName(own)
             more = ring_links(asks, members, sets, rule)
-            top = connected_components(more, "a", "b").select(F.col("node").alias("part"), "component")
+            top = materialize(connected_components(more, "a", "b").select(F.col("node").alias("part"), "component"), "top")
             # Components that link further; a node without links before is a component of its own.
             lone = top.join(parts.select("part").distinct().hint("merge"), "part", "left_anti").select(F.col("part").alias("node"), F.col("component").alias("part"))
             joined = parts.join(top.hint("merge"), "part", "left").select("node", F.coalesce("component", "part").alias("part"))
             spent, parts = parts, materialize(joined.unionByName(lone), "parts")
-            discard(spent, more)
+            discard(spent, more, top)
         discard(around)
     discard(asked, sets, found)
     return parts
