@@ -7,15 +7,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, read_table, shared_dir
+from graphloom.llm.common import materialize, read_table, shared_dir, spare
 from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.mixing import mix_sources
 from graphloom.llm.ngram_join import Rule, join_components
 from graphloom.llm.pii import find_personal_data, fit_spans
 from graphloom.llm.quality import classify_quality, fit_quality
+from graphloom.plans.tables import discard
 
 RULE = Rule(width=5, percent=80)
 """Near-duplicates: shingles of five words, similarity of 0.8 or more."""
@@ -37,18 +38,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     key = F.xxhash64("doc_id", F.col("text").cast("string"))
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", key.alias("key"))
     found = join_components(docs.select(row.alias("row"), "text"), "row", rule=RULE)
-    rows = found.filter("n_shingles > 0").groupBy(F.col("row.key").alias("_key"), (F.col("component_id") != F.col("row")).alias("gone")).agg(F.count(F.lit(1)).alias("n"))
-    marked = materialize(rows.filter("gone OR n > 1").select("_key", "gone"), "marked")
+    c_key, c_n = spare(docs.columns, "row_key", "row_n")
+    rows = found.filter("n_shingles > 0").groupBy(F.col("row.key").alias(c_key), (F.col("component_id") != F.col("row")).alias("gone")).agg(F.count(F.lit(1)).alias("n"))
+    marked = materialize(rows.filter("gone OR n > 1").select(c_key, "gone"), "marked")
     # A list of keys this short is sent to the texts; a longer one meets them in a join.
     few = marked.count() <= MOST_SENT
-    sent = lambda keys: F.broadcast(keys.select("_key")) if few else keys.select("_key")
-    kept = docs.join(sent(marked.filter("gone")), key == F.col("_key"), "left_anti")
+    sent = lambda keys: F.broadcast(keys.select(c_key)) if few else keys.select(c_key)
+    kept = docs.join(sent(marked.filter("gone")), key == F.col(c_key), "left_anti")
     twice = marked.filter("NOT gone")
     if not twice.limit(1).count():
         return kept.select(*docs.columns)
-    # Of rows of one id and one text, the first by the hash of all columns.
-    repeats = kept.join(sent(twice), key == F.col("_key"), "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*docs.columns)))).filter("_n = 1")
-    return kept.join(sent(twice), key == F.col("_key"), "left_anti").select(*docs.columns).unionByName(repeats.select(*docs.columns))
+    # Of rows of one id and one text, the first by the hash of all columns: one row a group and task before the shuffle.
+    repeats = kept.join(sent(twice), key == F.col(c_key), "left_semi").groupBy(key.alias(c_key)).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(c_n)).select(f"{c_n}.*")
+    return kept.join(sent(twice), key == F.col(c_key), "left_anti").select(*docs.columns).unionByName(repeats)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,9 +83,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage's table is deleted when the next one is written."""
     docs = read_table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         path = f"{shared_dir(spark)}/pipeline-{k}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        spent, docs = docs, spark.read.parquet(path)
+        docs.stored_at = path
+        discard(spent)
     return docs

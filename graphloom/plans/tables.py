@@ -31,7 +31,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes materialised tables that nothing will read any more; whoever calls this has written down all that came of them."""
     for t in tables:
-        if path := getattr(t, "stored_at", None):
+        if path := vars(t).get("stored_at"):
             jvm, conf = t.sparkSession.sparkContext._jvm, t.sparkSession.sparkContext._jsc.hadoopConfiguration()
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(conf).delete(at, True)
