@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,16 +42,28 @@ def ratio(a: str, b: str) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """Best ratio of the shorter string with a piece of the longer one of at most its length."""
+    """Best ratio of the shorter string with a piece of the longer one of at most its length.
+
+    A piece is compared only if the characters that it shares with the shorter string, counted with a sliding window, could beat the best so far.
+    """
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 100.0 if not b else 0.0
     n, best = len(a), 0.0
+    have, seen, shared = Counter(a), Counter(), 0
     for i in range(1 - n, len(b)):
-        piece = b[max(0, i) : min(len(b), i + n)]
-        if best < 200.0 * min(n, len(piece)) / (n + len(piece)):
-            best = max(best, ratio(a, piece))
+        if i + n <= len(b):
+            c = b[i + n - 1]
+            seen[c] += 1
+            shared += seen[c] <= have[c]
+        if i > 0:
+            c = b[i - 1]
+            shared -= seen[c] <= have[c]
+            seen[c] -= 1
+        size = min(len(b), i + n) - max(0, i)
+        if best < 200.0 * shared / (n + size):
+            best = max(best, ratio(a, b[max(0, i) : i + n]))
         if best >= 100.0:
             break
     return best
@@ -74,9 +90,11 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([max(partial_ratio(x or "", y or ""), token_set_ratio(x or "", y or "")) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def fuzzy_score(answer, gold):
-    """0 to 100: containment where that decides, else the better ratio of the plain forms."""
-    return F.coalesce(contained_score(answer, gold), fuzzy_ratio(plain_answer(answer), plain_answer(gold)))
+def fuzzy_scored(rows: DataFrame, answer: str, gold: str, name: str = "score") -> DataFrame:
+    """Adds a score from 0 to 100: containment where that decides, else the better ratio of the plain forms; only rows that containment leaves open reach Python."""
+    known = rows.withColumn(name, contained_score(answer, gold))
+    open_ = known.filter(F.col(name).isNull()).withColumn(name, fuzzy_ratio(plain_answer(answer), plain_answer(gold)))
+    return known.filter(F.col(name).isNotNull()).unionByName(open_)
 
 
 # --- ROUGE ------------------------------------------------------------------------------------------------------
@@ -162,57 +180,51 @@ def rouge_l_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def paragraphs(text: str, least: int) -> list[str]:
-    """Lines packed to paragraphs of at least `least` words: a short line goes to the paragraph before it and leads the one after it."""
-    lines, out, left = text.split("\n"), [], ""
-    for i, line in enumerate(lines):
-        now = line.strip()
-        if left:
-            now = f"{left}\n{now}"
-        n = len(now.split())
-        if n == 0:
-            continue
-        if n >= least:
-            out.append(now)
-            left = ""
-            continue
-        left = now
+    """Lines packed to paragraphs of at least `least` words.
+
+    Lines fall into groups: a group begins with a line that has words and ends with the line that brings it to `least` words. A group is a
+    paragraph. As long as it is too short, all that it has also ends the paragraph before, anew with every line. The last group may stay too
+    short: it is a paragraph only if it is the first one, too.
+    """
+    lines = [x.strip() for x in text.split("\n")]
+    words = [0, *accumulate(len(x.split()) for x in lines)]
+    out: list[str] = []
+    first = bisect_right(words, 0) - 1
+    while first < len(lines):
+        last = max(first, bisect_left(words, words[first] + least) - 1)
+        grown = ["\n".join(lines[first : i + 1]) for i in range(first, min(last + 1, len(lines)))]
+        whole = last < len(lines)
         if out:
-            out[-1] = f"{out[-1]}\n{now}"
-        elif i == len(lines) - 1:
-            out.append(now)
+            out[-1] = "\n".join([out[-1], *(grown[:-1] if whole else grown)])
+        if whole or not out:
+            out.append(grown[-1])
+        first = bisect_right(words, words[min(last + 1, len(lines))]) - 1
     return out
 
 
 def sentence_windows(paragraph: str, most: int, overlap: int, faithful: bool) -> list[str]:
-    """Sentences in chunks of under `most` words that overlap by about `overlap`. faithful: as the published behaviour has it, the sentence that doesn't fit is lost at a break, and so is a tail no longer than the overlap."""
+    """Sentences in chunks of under `most` words that overlap by about `overlap`. faithful: as the published behaviour has it, the sentence that doesn't fit is lost at a break, and so is a tail no longer than the overlap.
+
+    A chunk is a range of the sentences taken so far; prefix sums of their words tell its length, and where the shortest end of `overlap` words begins.
+    """
     if len(paragraph.split()) <= most:
         return [paragraph]
-    out: list[str] = []
-    held: list[tuple[str, int]] = []
-    count = carried = 0
+    taken: list[str] = []
+    words, out, start, fresh = [0], [], 0, 0
     for s in SENTENCE.split(paragraph):
         n = len(s.split())
-        if count + n < most:
-            held.append((s, n))
-            count += n
-            continue
-        if faithful or held:
-            out.append(" ".join(x for x, _ in held))
-        tail: list[tuple[str, int]] = []
-        carried = 0
-        for x in reversed(held):
-            if carried >= overlap:
-                break
-            tail.insert(0, x)
-            carried += x[1]
-        held, count = tail, carried
-        if not faithful:
-            if count + n >= most:
-                held, count, carried = [], 0, 0
-            held.append((s, n))
-            count += n
-    if count > carried:
-        out.append(" ".join(x for x, _ in held))
+        if words[-1] - words[start] + n >= most:
+            if faithful or start < len(taken):
+                out.append(" ".join(taken[start:]))
+            start, fresh = max(start, bisect_right(words, words[-1] - overlap) - 1), len(taken)
+            if faithful:
+                continue
+            if words[-1] - words[start] + n >= most:
+                start = fresh
+        taken.append(s)
+        words.append(words[-1] + n)
+    if words[-1] > words[fresh]:
+        out.append(" ".join(taken[start:]))
     return out
 
 
@@ -229,4 +241,4 @@ def chunk_udf(least: int = 150, most: int = 300, overlap: int = 50, faithful: bo
     return run
 
 
-__all__ = ["chunk_udf", "chunks_of", "common_subsequence", "fuzzy_ratio", "fuzzy_score", "partial_ratio", "porter_stem", "ratio", "rouge_l", "rouge_l_udf", "token_set_ratio"]
+__all__ = ["chunk_udf", "chunks_of", "common_subsequence", "fuzzy_ratio", "fuzzy_scored", "partial_ratio", "porter_stem", "ratio", "rouge_l", "rouge_l_udf", "token_set_ratio"]

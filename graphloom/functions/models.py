@@ -102,6 +102,73 @@ def stand_in_questions(prompt: str, most: int = 4) -> tuple[str, int]:
     return json.dumps([f"What is {n}?" for n in list(dict.fromkeys(NAME.findall(prompt)))[:most]], ensure_ascii=False), len(prompt.split())
 
 
+def stand_in_hypothetical(prompt: str) -> tuple[str, int]:
+    """Up to ten questions."""
+    return stand_in_questions(prompt, 10)
+
+
+def stand_in_match(prompt: str) -> tuple[str, int]:
+    """Names of the last line, a JSON list, in groups by their first letter and length of words, in order."""
+    import json
+
+    names = json.loads(prompt.strip().split("\n")[-1])
+    groups: dict = {}
+    for n in sorted(set(names)):
+        groups.setdefault((n[:1].upper(), len(n.split())), []).append(n)
+    return json.dumps([groups[k] for k in sorted(groups)], ensure_ascii=False), len(prompt.split())
+
+
+def stand_in_keywords(prompt: str, least: int = 3, most: int = 50) -> tuple[str, int]:
+    """The distinct words of the last line, by their first places; an empty answer if there are too few."""
+    import json
+
+    words = list(dict.fromkeys(re.findall(r"[A-Za-z0-9]+", prompt.strip().split("\n")[-1])))[:most]
+    return (json.dumps(words) if len(words) >= least else "[]"), len(prompt.split())
+
+
+def _section(prompt: str, name: str) -> str:
+    """What stands under a heading of a prompt, up to the next one."""
+    found = re.search(rf"(?:^|\n)\[{name}\]\n(.*?)(?=\n\[[A-Z]+\]\n|\Z)", prompt, re.DOTALL)
+    return found[1] if found else ""
+
+
+def sentences(text: str) -> list[str]:
+    """Runs up to a full stop, question or exclamation mark, stripped."""
+    found = (re.sub(r"^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$", "", s) for s in re.findall(r"[^.!?]+[.!?]*", text))
+    return [s for s in found if s]
+
+
+def stand_in_statements(prompt: str) -> tuple[str, int]:
+    """The sentences of [TEXT]."""
+    import json
+
+    return json.dumps(sentences(_section(prompt, "TEXT")), ensure_ascii=False), len(prompt.split())
+
+
+def stand_in_correctness(prompt: str) -> tuple[str, int]:
+    """Statements of [ANSWER] that [REFERENCE] has, or hasn't, and those that it has alone; all are JSON lists."""
+    import json
+
+    mine, theirs = (json.loads(_section(prompt, s) or "[]") for s in ("ANSWER", "REFERENCE"))
+    out = {"TP": [x for x in mine if x in theirs], "FP": [x for x in mine if x not in theirs], "FN": [x for x in theirs if x not in mine]}
+    return json.dumps(out, ensure_ascii=False), len(prompt.split())
+
+
+def stand_in_verdicts(prompt: str) -> tuple[str, int]:
+    """For each of [STATEMENTS], a JSON list, whether [CONTEXT] holds it, whatever the case."""
+    import json
+
+    context = _section(prompt, "CONTEXT").lower()
+    return json.dumps([{"statement": s, "verdict": int(s.lower() in context)} for s in json.loads(_section(prompt, "STATEMENTS") or "[]")], ensure_ascii=False), len(prompt.split())
+
+
+def stand_in_rating(prompt: str) -> tuple[str, int]:
+    """2 if [CONTEXT] has all distinct words of [QUESTION], 1 if some, else 0."""
+    words = lambda x: {w for w in re.split(r"[^0-9a-z]+", x.lower()) if w}
+    q, c = words(_section(prompt, "QUESTION")), words(_section(prompt, "CONTEXT"))
+    return f"{2 if q <= c else 1 if q & c else 0} of 2", len(prompt.split())
+
+
 def stand_in_summary(prompt: str, words: int = 20) -> tuple[str, int]:
     w = prompt.split()
     return " ".join(w[:words]), len(w)
@@ -146,6 +213,15 @@ PROMPTS = {
     "answer": "Answer from the contexts alone.\n{contexts}\nQuestion: {text}",
     "reasoned": "Think step by step, then answer from the contexts alone.\n{contexts}\nQuestion: {text}",
     "grade": "Does the answer agree with what is acceptable? Answer 0 or 1.\n{gold}\n{text}",
+    "statements": "Break the text up into statements that can be understood alone, as a JSON list.\n[TEXT]\n{text}",
+    "correctness": "Sort the statements: TP if the reference supports it, FP if not, FN if only the reference has it. Answer with a JSON object of lists.\n[ANSWER]\n{text}\n[REFERENCE]\n{gold}",
+    "attribution_rules": "You decide for every sentence of an answer whether it can be attributed to the context. Decide about one sentence at least.",
+    "attribution": "Classify each statement by the context: verdict 1 or 0, as a JSON list of objects.\n[QUESTION]\n{question}\n[CONTEXT]\n{context}\n[STATEMENTS]\n{statements}",
+    "facts": "List the facts of the reference that matter for the question, as a JSON list.\n[QUESTION]\n{question}\n[TEXT]\n{text}",
+    "fact_coverage": "Say for each fact whether the context covers it: verdict 1 or 0, as a JSON list of objects.\n[CONTEXT]\n{context}\n[STATEMENTS]\n{statements}",
+    "faithful_statements": "Take the answer to the question apart into statements without pronouns, as a JSON list.\n[QUESTION]\n{question}\n[TEXT]\n{text}",
+    "faithfulness": "Say for each statement whether the context supports it directly: verdict 1 or 0, as a JSON list of objects.\n[CONTEXT]\n{context}\n[STATEMENTS]\n{statements}",
+    "relevance": "Rate how far the context helps to answer the question: 0 not at all, 1 partly, 2 fully.\n[QUESTION]\n{question}\n[CONTEXT]\n{context}",
 }
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WHITE = "^\\s+|\\s+$"
 # File endings of images and their media types.
 IMAGE_TYPES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "bmp": "image/bmp", "gif": "image/gif", "webp": "image/webp"}
+# File endings that a model's image inputs have besides.
+MORE_IMAGES = ("tiff", "svg")
 # Words that answers are compared without.
 STOPWORDS = ("and", "or", "the", "of")
 
@@ -50,8 +55,15 @@ def is_image(path: Column | str) -> Column:
 
 
 def is_image_url(x: Column | str) -> Column:
-    """Image ending of a path, or of a URL's path without query and fragment."""
-    return F.lower(F.regexp_replace(_c(x), "[?#].*$", "")).rlike("\\.(jpg|jpeg|png|bmp|gif|webp)$")
+    """Image ending of a path, or of a URL's path without parameters, query and fragment; a name that only begins with dots has none."""
+    url = F.regexp_replace(F.regexp_extract(_c(x), "^https?://[^/?#]*([^?#]*)", 1), ";[^/]*$", "")
+    path = F.lower(F.when(_c(x).rlike("^https?://"), url).otherwise(_c(x)))
+    return path.rlike(f"(^|/)[^/]*[^/.][^/]*\\.({'|'.join([*IMAGE_TYPES, *MORE_IMAGES])})$")
+
+
+def is_video(path: Column | str, frames: Column | str) -> Column:
+    """Whether an input is a video: a path of any kind, or a list of frames of which the first is an image."""
+    return _c(path).isNotNull() | F.coalesce((F.size(_c(frames)) > 0) & is_image_url(F.get(_c(frames), 0)), F.lit(False))
 
 
 def media_type(path: Column | str) -> Column:
@@ -99,6 +111,9 @@ def has_word(text: Column | str, name: Column | str) -> Column:
     return F.contains(t, n) & F.regexp_like(t, F.concat(F.lit("\\b\\Q"), F.replace(n, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E\\b")))
 
 
+# Fixed values: [A-Z0-9] of plain forms and [A-Z]+ of initials.
+
+
 def acronym_form(x: Column | str) -> Column:
     return F.regexp_replace(F.upper(_c(x)), "[^A-Z0-9]", "")
 
@@ -132,6 +147,11 @@ def string_list(x: Column | str) -> Column:
     return F.from_json(_c(x), "array<string>")
 
 
+def string_lists(x: Column | str) -> Column:
+    """A list of lists of strings; null if it isn't one."""
+    return F.from_json(_c(x), "array<array<string>>")
+
+
 def lenient_json(x: Column | str) -> Column:
     """The first reading that parses: the text, the fenced part, from the first [ to the last ], from the first { to the last }; as JSON text."""
     s = strip(x)
@@ -179,11 +199,44 @@ def decomposition(x: Column | str) -> Column:
 # --- answers ----------------------------------------------------------------------------------------------------
 
 
+# Letters that Unicode doesn't take apart, with their Latin spelling.
+SPELLED = {
+    "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ħ": "h", "ı": "i", "ŋ": "ng", "ŧ": "t", "ſ": "s",
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "io", "ж": "zh", "з": "z", "и": "i", "й": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r",
+    "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "iu", "я": "ia", "є": "ie", "і": "i", "ї": "yi", "ґ": "g",
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t",
+    "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+}
+
+
+@lru_cache(maxsize=1)
+def _latin() -> tuple[str, str, dict[str, str]]:
+    """Letters and what they become, one for one; and those that become several letters or none. Accented letters by Unicode's own decomposition."""
+    table = dict(SPELLED)
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]):
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if c.islower() and c not in table and base != c:
+            plain = "".join(SPELLED.get(x, x) for x in base)
+            if plain.isascii():
+                table[c] = plain
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    one = [(c, x) for c, x in table.items() if len(x) == 1]
+    gone = "".join(c for c, x in table.items() if not x) + marks
+    return "".join(c for c, _ in one) + gone, "".join(x for _, x in one), {c: x for c, x in table.items() if len(x) > 1}
+
+
+def in_latin(x: Column | str) -> Column:
+    """Lower-case text in ASCII as far as it is Latin, Greek or Cyrillic: accents dropped, other letters spelled out."""
+    source, target, several = _latin()
+    out = F.translate(F.lower(_c(x)), source, target)
+    for c, y in several.items():
+        out = F.replace(out, F.lit(c), F.lit(y))
+    return out
+
+
 def plain_answer(x: Column | str) -> Column:
-    """Lower case, accents dropped, hyphens as spaces, letters and digits only, single spaces, no stopwords."""
-    folded = F.translate(F.lower(_c(x)), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    folded = F.replace(F.replace(F.replace(folded, F.lit("ß"), F.lit("ss")), F.lit("æ"), F.lit("ae")), F.lit("œ"), F.lit("oe"))
-    kept = F.regexp_replace(F.replace(folded, F.lit("-"), F.lit(" ")), "[^a-z0-9\\s]", "")
+    """Lower case, in Latin letters, hyphens as spaces, letters and digits only, single spaces, no stopwords."""
+    kept = F.regexp_replace(F.replace(in_latin(x), F.lit("-"), F.lit(" ")), "[^a-z0-9\\s]", "")
     return F.array_join(F.filter(words(kept), lambda w: ~w.isin(*STOPWORDS)), " ")
 
 
@@ -205,9 +258,43 @@ def number_score(answer: Column | str, value: Column, low: Column, high: Column)
     return F.when(F.size(found) == 0, 0).when(first.isNull() | (first == value), 100).otherwise(0).cast("double")
 
 
-def acceptable(texts: Column | str) -> Column:
-    """The sentence that says which answers are acceptable."""
-    return F.concat_ws("\n", F.transform(_c(texts), lambda t: F.concat(F.lit("An acceptable answer is: "), t, F.lit("."))))
+ANSWER = "struct<text:string,number:double,value:string,low:string,high:string>"
+
+
+def reference_answers(x: Column | str) -> Column:
+    """A JSON list of acceptable answers as an array of ANSWER: a text, a number, or an exact value (key wikidata) with the range around it. Anything else fails."""
+    items = F.try_variant_get(F.try_parse_json(_c(x)), "$", "array<variant>")
+
+    def item(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        of = lambda path, t="string": F.try_variant_get(v, path, t)
+        none = F.lit(None).cast("string")
+        last = F.coalesce(of("$.range[1]"), of("$.range[0]"))
+        made = lambda text, number, value, low, high: F.struct(text.alias("text"), number.cast("double").alias("number"), value.alias("value"), low.alias("low"), high.alias("high"))
+        ranged = F.startswith(kind, F.lit("OBJECT")) & of("$.wikidata").isNotNull() & F.startswith(F.schema_of_variant(F.try_variant_get(v, "$.range", "variant")), F.lit("ARRAY"))
+        return (
+            F.when(kind == "STRING", made(of("$"), none, none, none, none))
+            .when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), made(none, of("$", "double"), none, none, none))
+            .when(ranged, made(none, none, of("$.wikidata"), of("$.range[0]"), last))
+            .otherwise(F.raise_error(F.lit("neither a text nor a number nor a value with its range")).cast(ANSWER))
+        )
+
+    return F.when(items.isNull(), F.raise_error(F.lit("acceptable answers are not a list")).cast(f"array<{ANSWER}>")).otherwise(F.transform(items, item))
+
+
+def acceptable(answers: Column | str) -> Column:
+    """The sentences that say which answers (an array of ANSWER) are acceptable; plain numbers say nothing."""
+    # The wording of the sentences.
+    said = lambda a: F.when(a["text"].isNotNull(), F.concat(F.lit("An acceptable answer is: "), a["text"], F.lit("."))).when(
+        a["value"].isNotNull(), F.concat(F.lit("The exact answer is "), a["value"], F.lit(". Any answer lying in the range from "), a["low"], F.lit(" to "), a["high"], F.lit(" is acceptable."))
+    )
+    return F.array_join(F.transform(_c(answers), said), "\n")
+
+
+def escaped_json(x: Column | str) -> Column:
+    """JSON text in ASCII alone: all other code points as escapes of their UTF-16 units."""
+    units = lambda c: F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", "\\\\u$1")
+    return F.array_join(F.transform(F.regexp_extract_all(_c(x), F.lit("(?s)."), F.lit(0)), lambda c: F.when(F.ascii(c) < 128, c).otherwise(units(c))), "")
 
 
 def with_full_stop(x: Column | str) -> Column:
@@ -244,6 +331,26 @@ def embedding_message(instruction: Column | str, text: Column | str, image: Colu
     return F.concat(F.array(text_part(with_full_stop(instruction))), F.when(F.size(parts) > 0, parts).otherwise(F.array(text_part(F.lit("NULL")))))
 
 
+def context_messages(contexts: Column | str, question: Column | str, image: Column | str, least: float = 0.5) -> Column:
+    """What a model is given: of the contexts (array of rank, score, type, content, names) those that score `least` at least, each under its place among all, images with their names; then the question, its image and the question again."""
+    one = lambda c: F.when(
+        c["score"] >= least,
+        F.concat(
+            F.array(text_part(F.concat(F.lit("---Context "), c["rank"].cast("string"), F.lit("---")))),
+            F.when(c["type"] == "V", F.array(text_part(F.concat(F.lit("This is an image of: "), F.coalesce(c["names"], F.lit("")))), image_part(c["content"]))).otherwise(F.array(text_part(c["content"]))),
+        ),
+    ).otherwise(F.array().cast(f"array<{PART}>"))
+    asked = text_part(F.concat(F.lit("[QUESTION]\n"), _c(question)))
+    parts = F.flatten(F.transform(F.array_sort(_c(contexts)), one))
+    return F.concat(F.array(text_part(F.lit("[CONTEXT]"))), parts, F.array(asked, text_part(F.lit("[QUESTION IMAGE]")), image_part(image), asked))
+
+
+def message_text(parts: Column | str) -> Column:
+    """A message in one line, each part by its type and what it holds; for comparison."""
+    return F.array_join(F.transform(_c(parts), lambda p: F.concat(p["type"], F.lit("="), F.coalesce(p["text"], p["url"]))), "|")
+
+
+# The tags of a reranker's message.
 def rerank_message(instruction: Column | str, query: Column | str, document: Column | str) -> Column:
     tag = lambda t: text_part(F.lit(t))
     return F.array(text_part(F.concat(F.lit("<Instruct>: "), _c(instruction))), tag("<Query>:"), text_part(query), tag("<Document>:"), text_part(document))

@@ -40,11 +40,6 @@ def context_relevance(ratings: DataFrame) -> DataFrame:
     return ratings.select("qid", F.when(F.col("context") == F.col("question"), 0.0).otherwise((F.col("r1") / 2 + F.col("r2") / 2) / 2).alias("relevance"))
 
 
-def final_grade(fuzzy: Column, judge1: Column, judge2: Column) -> Column:
-    """1 if the fuzzy comparison says so, else if either of two judgements does."""
-    return F.when(fuzzy >= 95, 1).otherwise(F.greatest(F.coalesce(judge1, F.lit(0)), F.coalesce(judge2, F.lit(0))))
-
-
 def accuracy(grades: DataFrame) -> DataFrame:
     return grades.filter(F.col("score").isin(0, 1)).agg(F.sum("score").alias("correct"), F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("accuracy"))
 

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import entity_key, has_word
+from graphloom.functions.text import entity_key, has_word, numbered, part_id, strip
 from graphloom.operators.components import connected_components
 from graphloom.plans.tables import materialize
 
@@ -110,10 +110,14 @@ def orphan_relations(relations: DataFrame, linked: DataFrame, entities: DataFram
     return words.filter("w <> ''").join(named, "w").filter(has_word("text", "alias")).select("r_id", "node_id").distinct()
 
 
+def postings(nodes: DataFrame) -> DataFrame:
+    """(entity, node_id): names of N and O nodes, a row each, which is what lookups join."""
+    return nodes.filter(F.col("node_type").isin("N", "O")).select(F.explode("names").alias("entity"), "node_id").distinct()
+
+
 def inverted_index(nodes: DataFrame) -> DataFrame:
-    """(entity, nodes): names of N and O nodes, with the nodes that have them in order."""
-    rows = nodes.filter(F.col("node_type").isin("N", "O")).select(F.explode("names").alias("entity"), "node_id").distinct()
-    return rows.groupBy("entity").agg(F.array_sort(F.collect_list("node_id")).alias("nodes"))
+    """(entity, nodes): the postings as lists, for output."""
+    return postings(nodes).groupBy("entity").agg(F.array_sort(F.collect_list("node_id")).alias("nodes"))
 
 
 def default_k(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -122,6 +126,32 @@ def default_k(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return v.join(d, F.lit(True)).select(F.floor(F.log("v") * F.sqrt(F.col("d") / F.col("v"))).alias("k"))
 
 
+def attribute_nodes(nodes: DataFrame, attributes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) that attributes (entity_id, summary) add: an A node with the summary for each, linked with its entity, which must be an N node, and a summary must say something."""
+    made = attributes.join(nodes.select(F.col("node_id").alias("entity_id"), "node_type"), "entity_id", "left")
+    bad = F.coalesce(F.col("node_type"), F.lit("")) != "N"
+    blank = F.length(strip(F.coalesce("summary", F.lit("")))) == 0
+    checked = F.when(bad | blank, F.raise_error(F.concat(F.lit("no summary of an entity: "), F.coalesce("entity_id", F.lit("null"))))).otherwise(F.col("summary"))
+    made = made.select(part_id("entity_id", "A", F.lit(0)).alias("node_id"), F.lit("A").alias("node_type"), checked.alias("content"), F.col("entity_id").alias("source"))
+    return made, both_ways(made.select(F.col("source").alias("a"), F.col("node_id").alias("b")))
+
+
+def community_texts(nodes: DataFrame, members: DataFrame, least: int = 3) -> DataFrame:
+    """(h, texts): the numbered contents of each community's (h, node) members but R, N and V nodes, in order of their ids; communities of fewer than `least` texts are left out."""
+    told = members.join(nodes.select(F.col("node_id").alias("node"), "node_type", "content"), "node").filter(~F.col("node_type").isin("R", "N", "V"))
+    rows = told.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("node", "content"))).alias("l")).filter(F.size("l") >= least)
+    return rows.select("h", numbered(F.transform("l", lambda x: x["content"])).alias("texts"))
+
+
+def community_nodes(summaries: DataFrame, members: DataFrame, clusters: DataFrame, h_clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of communities: summaries (h, summary, overview) give an H node and its O node, whose names are the keywords; H is linked with O and with those members
+    (h, node) that lie in a cluster (node, cluster) near to it (h, cluster)."""
+    h = summaries.select(F.col("h").alias("node_id"), F.lit("H").alias("node_type"), F.col("summary").alias("content"), F.lit(None).cast("array<string>").alias("names"))
+    o = summaries.select(part_id("h", "O", F.lit(0)).alias("node_id"), F.lit("O").alias("node_type"), F.array_join("overview", ", ").alias("content"), F.transform("overview", entity_key).alias("names"))
+    links = high_level_edges(members.join(summaries.select("h"), "h", "left_semi"), clusters, h_clusters).select(F.col("h").alias("a"), F.col("node").alias("b"))
+    return h.unionByName(o), both_ways(links.unionByName(summaries.select(F.col("h").alias("a"), part_id("h", "O", F.lit(0)).alias("b"))))
+
+
 def important(nodes: DataFrame, edges: DataFrame, k: float) -> DataFrame:
     """N nodes of degree k at least."""
     return nodes.filter(F.col("node_type") == "N").join(degrees(edges), "node_id").filter(F.col("degree") >= k).select("node_id", "degree")
@@ -184,6 +214,13 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_0
     raise RuntimeError(f"paths not settled in {most_rounds} rounds")
 
 
+def paths_from(edges: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """Shortest paths from entries (node_id), from all nodes where there are none of them."""
+    if entries is None or not entries.limit(1).count():
+        entries = edges.select(F.col("src").alias("node_id"))
+    return shortest_paths(edges, entries.select(F.col("node_id").alias("source")).distinct())
+
+
 def reasoning_nodes(paths: DataFrame, entries: DataFrame, nodes: DataFrame, only_new: bool = True) -> DataFrame:
     """(qid, node_id) on the paths of three nodes or more between two N entries of a question; only_new leaves the entries out."""
     n = entries.join(nodes.filter(F.col("node_type") == "N").select("node_id"), "node_id")
@@ -195,20 +232,70 @@ def reasoning_nodes(paths: DataFrame, entries: DataFrame, nodes: DataFrame, only
 # --- groups -----------------------------------------------------------------------------------------------------
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node_id, community) by weighted label propagation: in each round a node takes its neighbours' heaviest label (ties to the smaller), every other node by turn, so that pairs don't swap for ever."""
+def spread_labels(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """(node_id, community) by weighted label propagation: in each round a node takes its neighbours' heaviest label (ties to the smaller), every other node by turn, so that pairs don't swap for ever. Ends when both halves rest; fails beyond `rounds`."""
     now = materialize(edges.select(F.col("src").alias("node_id")).distinct().withColumn("community", F.col("node_id")), "labels")
+    still = 0
     for k in range(rounds):
         votes = edges.join(now.select(F.col("node_id").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.sum("w").alias("w"))
         best = votes.groupBy("src").agg(F.min(F.struct(-F.round("w", 9), "community")).alias("b")).select(F.col("src").alias("node_id"), F.col("b.community").alias("new"))
-        turn = F.pmod(F.xxhash64("node_id"), F.lit(2)) == k % 2
+        turn = F.pmod(F.xxhash64("node_id", F.lit(k // 2)), F.lit(2)) == k % 2
         moved = now.join(best, "node_id", "left").withColumn("next", F.when(turn & F.col("new").isNotNull(), F.col("new")).otherwise(F.col("community")))
         moved = materialize(moved.select("node_id", "community", "next"), "labels")
-        changed = moved.filter("next <> community").limit(1).count()
+        still = 0 if moved.filter("next <> community").limit(1).count() else still + 1
         now = moved.select("node_id", F.col("next").alias("community"))
-        if not changed and k % 2:
+        if still == 2:
+            return now
+    raise RuntimeError(f"labels not settled in {rounds} rounds")
+
+
+def communities(edges: DataFrame, rounds: int = 12, levels: int = 10) -> DataFrame:
+    """(node_id, community), which greedily maximises modularity: a stand-in for Leiden, whose objective it has.
+
+    A round moves every other node to the neighbouring community of the greatest gain; rounds go on while modularity grows, and the best division is kept. Then communities
+    become nodes, and so on, until a level gains nothing. edges are undirected, stored both ways.
+    """
+    level = materialize(edges.groupBy("src", "dst").agg(F.sum("w").alias("w")), "community-edges")
+    found = materialize(level.select(F.col("src").alias("node_id")).distinct().withColumn("community", F.col("node_id")), "communities")
+    last = modularity(level, found)
+    for _ in range(levels):
+        parts, best = _moved(level, rounds)
+        if best <= last + 1e-9:
             break
-    return now
+        last = best
+        inner = parts.select(F.col("node_id").alias("community"), F.col("community").alias("outer"))
+        found = materialize(found.join(inner, "community").select("node_id", F.col("outer").alias("community")), "communities")
+        p, q = (parts.select(F.col("node_id").alias(e), F.col("community").alias(f"c_{e}")) for e in ("src", "dst"))
+        level = materialize(level.join(p, "src").join(q, "dst").groupBy(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).agg(F.sum("w").alias("w")), "community-edges")
+    return found
+
+
+def _moved(edges: DataFrame, rounds: int) -> tuple[DataFrame, float]:
+    """The best division that rounds of moves from single nodes reach, and its modularity. edges may hold loops."""
+    degree = materialize(edges.groupBy(F.col("src").alias("node_id")).agg(F.sum("w").alias("k")), "community-degrees")
+    m2 = degree.agg(F.sum("k")).first()[0] or 0.0
+    now = materialize(degree.select("node_id", "k", F.col("node_id").alias("community")), "communities")
+    best, top = now.select("node_id", "community"), modularity(edges, now.select("node_id", "community"))
+    idle = 0
+    for r in range(rounds):
+        total = now.groupBy("community").agg(F.sum("k").alias("total"))
+        to = edges.filter("src <> dst").join(now.select(F.col("node_id").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("node_id"), "community").agg(F.sum("w").alias("w"))
+        # Staying is an offer, too, with the node's own degree taken out of its community.
+        offers = to.unionByName(now.select("node_id", "community", F.lit(0.0).alias("w"))).groupBy("node_id", "community").agg(F.sum("w").alias("w"))
+        offers = offers.join(total, "community").join(now.select("node_id", "k", F.col("community").alias("own")), "node_id")
+        rest = F.col("total") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
+        gain = F.round(F.col("w") - F.col("k") * rest / m2, 9)
+        chosen = offers.groupBy("node_id").agg(F.min(F.struct((-gain).alias("g"), (F.col("community") != F.col("own")).alias("moves"), "community")).alias("b"))
+        turn = F.pmod(F.xxhash64("node_id", F.lit(r // 2)), F.lit(2)) == r % 2
+        moved = now.join(chosen.select("node_id", F.col("b.community").alias("new")), "node_id").select("node_id", "k", F.when(turn, F.col("new")).otherwise(F.col("community")).alias("community"))
+        now = materialize(moved, "communities")
+        q = modularity(edges, now.select("node_id", "community"))
+        idle = 0 if q > top + 1e-9 else idle + 1
+        if not idle:
+            best, top = now.select("node_id", "community"), q
+        if idle == 2:
+            break
+    return best, top
 
 
 def modularity(edges: DataFrame, parts: DataFrame) -> float:
@@ -220,23 +307,41 @@ def modularity(edges: DataFrame, parts: DataFrame) -> float:
 
 
 def maximal_cliques(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(clique: sorted names): per component; a component is bounded by the threshold that made its edges."""
-    parts = connected_components(edges, a, b)
-    placed = edges.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).distinct().join(parts.withColumnRenamed("node", "x"), "x")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, set[str]] = {}
-        for x, y in zip(pdf["x"], pdf["y"], strict=True):
-            near.setdefault(x, set()).add(y)
-            near.setdefault(y, set()).add(x)
-        return pd.DataFrame({"clique": [[str(x) for x in sorted(c)] for c in cliques_of(near)]})
-
-    return placed.groupBy("component").applyInPandas(run, "clique array<string>")
+    """(clique: sorted names), of two names at least.
 
+    Names are put in order of their degree; each clique belongs to its first name, which looks for it among its neighbours and the edges between them. The
+    names after the first one's are few wherever its place is (at most the root of twice the edges), so that no task holds a component.
+    """
+    pairs = materialize(edges.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).distinct(), "clique-edges")
+    degree = pairs.select(F.col("x").alias("v")).unionByName(pairs.select(F.col("y").alias("v"))).groupBy("v").agg(F.count(F.lit(1)).alias("d"))
+    degree = materialize(degree, "clique-degrees")
+    ranked = pairs.join(degree.select(F.col("v").alias("x"), F.col("d").alias("dx")), "x").join(degree.select(F.col("v").alias("y"), F.col("d").alias("dy")), "y")
+    swap = (F.col("dx") > F.col("dy")) | ((F.col("dx") == F.col("dy")) & (F.col("x") > F.col("y")))
+    ahead = materialize(ranked.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("lo"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("hi")), "clique-order")
+    wedges = ahead.join(ahead.select("lo", F.col("hi").alias("hi2")), "lo").filter(F.col("hi") < F.col("hi2"))
+    triangles = materialize(wedges.join(pairs, (F.col("hi") == F.col("x")) & (F.col("hi2") == F.col("y"))).select("lo", "hi", "hi2"), "triangles")
+    # No value is ever null, which pandas would make a float of: a neighbour stands in both places.
+    row = lambda df, v, x, y, kind: df.select(F.col(v).alias("v"), F.col(x).alias("x"), F.col(y).alias("y"), F.lit(kind).alias("kind"))
+    near = [row(ahead, "lo", "hi", "hi", "after"), row(ahead, "hi", "lo", "lo", "before")]
+    around = [row(triangles, *t, "link") for t in (("lo", "hi", "hi2"), ("hi", "lo", "hi2"), ("hi2", "lo", "hi"))]
 
-def cliques_of(near: dict[str, set[str]]) -> Iterator[list[str]]:
-    """Maximal cliques, each step branching around the vertex of most neighbours."""
-    stack: list[tuple[list[str], set[str], set[str]]] = [([], set(near), set())]
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = list(zip(pdf["x"].tolist(), pdf["y"].tolist(), pdf["kind"].tolist(), strict=True))
+        near: dict = {x: set() for x, _, kind in rows if kind != "link"}
+        for x, y, kind in rows:
+            if kind == "link":
+                near[x].add(y)
+                near[y].add(x)
+        after = {x for x, _, kind in rows if kind == "after"}
+        v = pdf["v"].tolist()[0]
+        return pd.DataFrame({"clique": pd.Series([[str(x) for x in sorted([v, *c])] for c in cliques_of(near, after, set(near) - after) if c], dtype=object)})
+
+    return reduce(DataFrame.unionByName, near + around).groupBy("v").applyInPandas(run, "clique array<string>")
+
+
+def cliques_of(near: dict, among: set, without: set) -> Iterator[list]:
+    """Cliques among some vertices that no other of them, and none of those without, would extend; each step branches around the vertex of most neighbours."""
+    stack: list[tuple[list, set, set]] = [([], set(among), set(without))]
     while stack:
         have, could, done = stack.pop()
         if not could:

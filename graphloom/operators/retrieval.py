@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import mass_cut, reasoning_nodes, shallow_ppr, shortest_paths
+from graphloom.functions.text import entity_key
+from graphloom.operators.graph import mass_cut, paths_from, reasoning_nodes, shallow_ppr
 
 
-def entity_seeds(questions: DataFrame, index: DataFrame) -> DataFrame:
-    """(qid, node_id): exact hits of a question's entity keys in the inverted index."""
-    asked = questions.select("qid", F.explode("entities").alias("entity"))
-    return asked.join(index, "entity").select("qid", F.explode("nodes").alias("node_id")).distinct()
+def entity_seeds(questions: DataFrame, postings: DataFrame) -> DataFrame:
+    """(qid, node_id): exact hits of the keys of a question's entities among postings (entity, node_id)."""
+    asked = questions.select("qid", F.explode("entities").alias("e")).select("qid", entity_key("e").alias("entity")).distinct()
+    return asked.join(postings, "entity").select("qid", "node_id").distinct()
 
 
 def image_expansion(seeds: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -31,12 +32,21 @@ def retrieve(neighbours: DataFrame, entities: DataFrame, edges: DataFrame, nodes
     found = mass_cut(shallow_ppr(edges, entry), share).select("qid", "node_id")
     out = entry.unionByName(found).distinct()
     if reasoning:
-        n = entry.join(nodes.filter(F.col("node_type") == "N").select("node_id"), "node_id")
-        paths = shortest_paths(edges, n.select(F.col("node_id").alias("source")).distinct())
-        out = out.unionByName(reasoning_nodes(paths, entry, nodes)).distinct()
+        n = entry.join(nodes.filter(F.col("node_type") == "N").select("node_id"), "node_id").select("node_id").distinct()
+        out = out.unionByName(reasoning_nodes(paths_from(edges, n), entry, nodes)).distinct() if n.limit(1).count() else out
     return out.join(nodes.filter(~F.col("node_type").isin("N", "O")).select("node_id", "content"), "node_id").select("qid", "node_id", "content")
 
 
+def retrieve_parts(neighbours: DataFrame, entities: DataFrame, edges: DataFrame, nodes: DataFrame, **options) -> DataFrame:
+    """(qid, parts): retrieve() for every sub-question (qid, sub); parts is an array over the sub-questions in their order, each with its sorted context nodes. A sub-question without contexts has an empty list."""
+    both = F.struct("qid", "sub").alias("qid")
+    found = retrieve(neighbours.select(both, "node_id", "rank"), entities.select(both, "node_id"), edges, nodes, **options)
+    asked = neighbours.select("qid", "sub").unionByName(entities.select("qid", "sub")).distinct()
+    lists = found.groupBy("qid").agg(F.array_sort(F.collect_set("node_id")).alias("nodes")).select("qid.*", "nodes")
+    rows = asked.join(lists, ["qid", "sub"], "left").withColumn("nodes", F.coalesce("nodes", F.array().cast(lists.schema["nodes"].dataType)))
+    return rows.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("sub", "nodes"))).alias("parts"))
+
+
 def ranked(scored: DataFrame, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
     """(keys, node_id, score, rank): by score, ties in the order they came (pos)."""
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), "pos")))

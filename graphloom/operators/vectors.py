@@ -8,8 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from graphloom.plans.tables import materialize
 
 BLOCK_ROWS = 4096
+MOST_SENT = 1 << 22
+"""Numbers of centres that are broadcast at most, 8 bytes each."""
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,23 +36,15 @@ def cosine_share(a: Column, b: Column) -> Column:
     return (dot(a, b) / (norm(a) * norm(b)) + 1) / 2
 
 
-def _blocks(rows: DataFrame, key: str, vector: str, per: int, name: str) -> DataFrame:
-    """Rows packed to blocks of about `per`: (name, keys, vectors)."""
+def _blocks(rows: DataFrame, key: str, vector: str, per: int, name: str, *within: str) -> DataFrame:
+    """Rows packed to blocks of about `per`, those of one group (within) apart: (within, name, {name}_rows: keys and vectors)."""
     n = max(1, -(-rows.count() // per))
-    dealt = rows.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(name))
-    return dealt.groupBy(name).agg(F.collect_list(F.struct("k", "v")).alias(f"{name}_rows"))
-
+    dealt = rows.select(*within, F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(name))
+    return dealt.groupBy(*within, name).agg(F.collect_list(F.struct("k", "v")).alias(f"{name}_rows"))
 
-def top_k(queries: DataFrame, items: DataFrame, k: int, q_key: str = "qid", i_key: str = "id", vector: str = "embedding", drop_self: bool = False) -> DataFrame:
-    """(q_key, i_key, sim, rank): the k items of largest inner product; ties to the smaller item.
 
-    Blocks of queries meet blocks of items: one matrix product each, of which k rows a query go on. Neither
-    side is broadcast or gathered; the number of block pairs is that of the work.
-    """
-    a, b = _blocks(queries, q_key, vector, BLOCK_ROWS, "qb"), _blocks(items, i_key, vector, BLOCK_ROWS, "ib")
-    nb = max(1, -(-items.count() // BLOCK_ROWS))
-    met = a.withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))).join(b.hint("merge"), "ib").select("qb_rows", "ib_rows")
-    kq, ki = queries.schema[q_key].dataType, items.schema[i_key].dataType
+def _best(met: DataFrame, k: int, kq: T.DataType, ki: T.DataType, drop_self: bool) -> DataFrame:
+    """(q, i, sim, rank) of block pairs (qb_rows, ib_rows): one matrix product each, of which k rows a query go on; ties to the smaller item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
@@ -57,9 +54,10 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, q_key: str = "qid", i_ke
                 qv = np.stack(qs.field("v").to_numpy(zero_copy_only=False))
                 iv = np.stack(it.field("v").to_numpy(zero_copy_only=False))
                 ids = ik.to_pylist()
-                order = np.argsort(np.array(ids, dtype=object), kind="stable")
+                if pa.types.is_struct(ik.type):
+                    ids = [tuple(i.values()) for i in ids]
                 place = np.empty(len(ids), np.int64)
-                place[order] = np.arange(len(ids))
+                place[sorted(range(len(ids)), key=ids.__getitem__)] = np.arange(len(ids))
                 s = qv @ iv.T
                 take = min(len(ids), k + 1 if drop_self else k)
                 rows_q, rows_i, rows_s = [], [], []
@@ -70,17 +68,58 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, q_key: str = "qid", i_ke
                     near = near[np.lexsort((place[near], -s[j][near]))]
                     got = [i for i in near.tolist() if not (drop_self and ids[i] == q)][:k]
                     rows_q += [q] * len(got)
-                    rows_i += [ids[i] for i in got]
+                    rows_i += got
                     rows_s += s[j][got].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(rows_q, qk.type), pa.array(rows_i, ik.type), pa.array(rows_s, pa.float64())], ["q", "i", "sim"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows_q, qk.type), ik.take(pa.array(rows_i, pa.int64())), pa.array(rows_s, pa.float64())], ["q", "i", "sim"])
+
+    best = met.select("qb_rows", "ib_rows").mapInArrow(run, T.StructType([T.StructField("q", kq), T.StructField("i", ki), T.StructField("sim", T.DoubleType())]))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.round("sim", 9).desc(), "i"))).filter(F.col("rank") <= k)
+
+
+def top_k(queries: DataFrame, items: DataFrame, k: int, q_key: str = "qid", i_key: str = "id", vector: str = "embedding", drop_self: bool = False) -> DataFrame:
+    """(q_key, i_key, sim, rank): the k items of largest inner product; ties to the smaller item.
+
+    Exact: blocks of queries meet blocks of items. Neither side is broadcast or gathered; the number of block pairs is that of the work, which
+    grows with both tables. `probed_top_k` is the form for large ones.
+    """
+    a, b = _blocks(queries, q_key, vector, BLOCK_ROWS, "qb"), _blocks(items, i_key, vector, BLOCK_ROWS, "ib")
+    nb = max(1, -(-items.count() // BLOCK_ROWS))
+    met = a.withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))).join(b.hint("merge"), "ib")
+    best = _best(met, k, queries.schema[q_key].dataType, items.schema[i_key].dataType, drop_self)
+    return best.select(F.col("q").alias(q_key), F.col("i").alias(i_key), "sim", "rank")
 
-    from pyspark.sql import types as T
 
-    best = met.mapInArrow(run, T.StructType([T.StructField("q", kq), T.StructField("i", ki), T.StructField("sim", T.DoubleType())]))
-    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.round("sim", 9).desc(), "i"))).filter(F.col("rank") <= k)
+def probed_top_k(queries: DataFrame, items: DataFrame, k: int, q_key: str = "qid", i_key: str = "id", vector: str = "embedding", drop_self: bool = False, cells: int | None = None, probes: int | None = None, most_centres: int = 1024) -> DataFrame:
+    """(q_key, i_key, sim, rank): top_k among the items of the cells whose centres are nearest to the query; approximate in what it looks at, exact in how it ranks.
+
+    The centres are items drawn by a hash, `cells` of them (the root of the items unless stated, most_centres at most: the bound of what the driver holds); every
+    item lies in the cell of its nearest centre, and a query looks into `probes` of them, a quarter unless stated.
+    """
+    n = items.count()
+    cells = cells or max(1, min(most_centres, int(n**0.5)))
+    place = F.pmod(F.xxhash64(i_key, F.lit("centre")), F.lit(1 << 40)) / float(1 << 40)
+    centres = items.filter(place < 4 * cells / max(1, n)).orderBy(place, i_key).limit(cells).select(F.monotonically_increasing_id().alias("cell"), F.col(vector).alias("centre"))
+    centres = materialize(centres, "centres")
+    probes = probes or max(1, -(-centres.count() // 4))
+    placed = nearest_centres(items, centres, 1, i_key, vector, "cell", "centre").select(i_key, F.col("cell").alias("c")).join(items.select(i_key, vector), i_key)
+    looked = nearest_centres(queries, centres, probes, q_key, vector, "cell", "centre").select(q_key, F.col("cell").alias("c")).join(queries.select(q_key, vector), q_key)
+    met = _blocks(looked, q_key, vector, BLOCK_ROWS, "qb", "c").join(_blocks(placed, i_key, vector, BLOCK_ROWS, "ib", "c").hint("merge"), "c")
+    best = _best(met, k, queries.schema[q_key].dataType, items.schema[i_key].dataType, drop_self)
     return best.select(F.col("q").alias(q_key), F.col("i").alias(i_key), "sim", "rank")
 
 
+def node_top_k(queries: DataFrame, vectors: DataFrame, k: int, q_key: str = "qid", vector: str = "embedding", fold: bool = False) -> DataFrame:
+    """(q_key, node_id, ord, sim, rank): top_k over nodes that have several vectors (node_id, ord). A node can hold several ranks; with fold only its best one, and ranks close up."""
+    items = vectors.withColumn("_i", F.struct("node_id", "ord"))
+    if not fold:
+        found = top_k(queries, items, k, q_key, "_i", vector)
+        return found.select(q_key, "_i.node_id", "_i.ord", "sim", "rank")
+    most = vectors.groupBy("node_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    found = top_k(queries, items, k * most, q_key, "_i", vector)
+    first = found.groupBy(q_key, F.col("_i.node_id").alias("node_id")).agg(F.min(F.struct("rank", "sim", "_i.ord")).alias("b")).select(q_key, "node_id", "b.*")
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy(q_key).orderBy("rank"))).filter(F.col("rank") <= k).select(q_key, "node_id", "ord", "sim", "rank")
+
+
 def self_neighbours(vectors: DataFrame, k: int, key: str = "id", vector: str = "embedding") -> DataFrame:
     """(src, dst, sim, rank): the k nearest others of every row."""
     found = top_k(vectors.withColumnRenamed(key, "src"), vectors.withColumnRenamed(key, "dst"), k, "src", "dst", vector, drop_self=True)
@@ -93,15 +132,33 @@ def mutual_edges(neighbours: DataFrame, least: float) -> DataFrame:
     return neighbours.filter((F.col("src") < F.col("dst")) & (F.col("sim") > least)).join(back, ["src", "dst"], "left_semi").select("src", "dst", "sim")
 
 
-def nearest_centres(vectors: DataFrame, centres: list[tuple[int, list[float]]], k: int, key: str = "id", vector: str = "embedding") -> DataFrame:
-    """(key, cluster, rank): the k centres of largest inner product. Centres are few (about the root of the rows) and come as a literal."""
-    about = F.array(*[F.struct(F.lit(c).alias("cluster"), F.array(*[F.lit(float(x)) for x in v]).alias("v")) for c, v in centres])
-    scored = F.transform(about, lambda c: F.struct(F.round(-dot(F.col(vector), c["v"]), 9).alias("far"), c["cluster"].alias("cluster")))
-    return vectors.select(F.col(key), F.posexplode(F.slice(F.array_sort(scored), 1, k)).alias("rank", "c")).select(key, F.col("c.cluster").alias("cluster"), (F.col("rank") + 1).alias("rank"))
+def nearest_centres(vectors: DataFrame, centres: DataFrame, k: int, key: str = "id", vector: str = "embedding", c_key: str = "cluster", c_vector: str = "centre") -> DataFrame:
+    """(key, c_key, rank): the k centres (c_key, c_vector) of largest inner product, ties to the smaller one. As one broadcast matrix while they have MOST_SENT numbers at most, else by blocks."""
+    about = centres.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(c_vector)).alias("size")).first()
+    if (about["size"] or 0) > MOST_SENT:
+        return top_k(vectors, centres.withColumnRenamed(c_vector, vector), k, key, c_key, vector).select(key, c_key, "rank")
+    rows = centres.orderBy(c_key).select(c_key, F.col(c_vector).cast("array<double>").alias("v")).toArrow()
+    names = rows.column(c_key).to_pylist()
+    sent = vectors.sparkSession.sparkContext.broadcast((names, np.array(rows.column("v").to_pylist(), float).reshape(len(names), -1)))
+    kv, kc = vectors.schema[key].dataType, centres.schema[c_key].dataType
+    c_type = rows.schema.field(c_key).type
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, x = sent.value
+        take = min(k, len(own))
+        for b in batches:
+            if not b.num_rows or not take:
+                continue
+            far = np.round(-(np.stack(b.column(1).to_numpy(zero_copy_only=False)) @ x.T), 9)
+            near = np.argsort(far, axis=1, kind="stable")[:, :take].ravel().tolist()
+            at = pa.array(np.repeat(np.arange(b.num_rows), take))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([own[i] for i in near], c_type), pa.array(np.tile(np.arange(1, take + 1), b.num_rows), pa.int32())], [key, c_key, "rank"])
+
+    return vectors.select(key, F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, T.StructType([T.StructField(key, kv), T.StructField(c_key, kc), T.StructField("rank", T.IntegerType())]))
 
 
-def spherical_kmeans(vectors: DataFrame, key: str = "id", vector: str = "embedding", k: int | None = None, rounds: int = 20, seed: int = 1) -> tuple[DataFrame, list[tuple[int, list[float]]]]:
-    """((key, cluster), centres): k is the floor of the root of the rows unless given; Spark's k-means by cosine."""
+def spherical_kmeans(vectors: DataFrame, key: str = "id", vector: str = "embedding", k: int | None = None, rounds: int = 1000, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """((key, cluster), centres (cluster, centre)): k is the floor of the root of the rows unless given; Spark's k-means by cosine, which ends when the centres rest."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -109,7 +166,15 @@ def spherical_kmeans(vectors: DataFrame, key: str = "id", vector: str = "embeddi
     k = max(2, int(n**0.5)) if k is None else k
     rows = vectors.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
     model = KMeans(k=k, maxIter=rounds, seed=seed, distanceMeasure="cosine").fit(rows)
-    return model.transform(rows).select(key, F.col("prediction").alias("cluster")), [(i, c.tolist()) for i, c in enumerate(model.clusterCenters())]
+    centres = vectors.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, centre array<double>")
+    return model.transform(rows).select(key, F.col("prediction").alias("cluster")), centres
+
+
+def in_clusters(vectors: DataFrame, high: str, key: str = "id", vector: str = "embedding", k: int | None = None, near: int = 3) -> tuple[DataFrame, DataFrame]:
+    """((key, cluster), (key, cluster)): rows whose id doesn't match `high` in the cluster that they make, and those that do in the `near` clusters nearest to them."""
+    low = vectors.filter(~F.col(key).rlike(high))
+    own, centres = spherical_kmeans(low, key, vector, k)
+    return own, nearest_centres(vectors.filter(F.col(key).rlike(high)), centres, near, key, vector).select(key, "cluster")
 
 
 def relevance(query: Column, doc: Column) -> Column:

@@ -1,110 +1,21 @@
-"""The registered queries of the engine over the driver's tables, each with its SQL where SQL can state it.
-
-Names begin with the operators they show. Fixtures: a line of a document is a semantic unit, its capitalised words are entities;
-embeddings are nodes, their mutual neighbours edges; customers, suppliers, nations and regions are a graph by their keys; turns of a
-conversation are questions and answers; labels are grades.
-"""
+"""The registered queries of the engine over the driver's tables, each with its SQL where SQL can state it. Names begin with the operators they show; fixtures are in registry.py."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import compare, models, text
 from graphloom.operators import evaluate, graph, retrieval, vectors
 from graphloom.operators.components import connected_components
-from graphloom.plans.ship import ship
-from graphloom.plans.tables import materialize
+from graphloom.plans import entities, folders, questions  # noqa: F401  they register queries, too
+from graphloom.plans.registry import ANSWERS, MUTUAL, ORACLE_SQL, QUERIES, STRIP, TREE, UNITS, answers, key_tree, mentions, mutual_graph, named_units, neighbours, query, r6, units
 from graphloom.sources import files
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Callable], Callable]:
-    def add(f: Callable) -> Callable:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship(spark)
-            return f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
-
-        QUERIES[name] = run
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
-# --- fixtures ---------------------------------------------------------------------------------------------------
-
-STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
-UNITS = f"""
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS idx FROM documents WHERE text IS NOT NULL),
-units AS (SELECT doc_id, idx, {STRIP.format('l')} AS u FROM lines WHERE {STRIP.format('l')} <> ''),
-mentions AS (SELECT doc_id, idx, unnest(regexp_extract_all(u, '[A-Z][a-z]+')) AS e, unnest(range(len(regexp_extract_all(u, '[A-Z][a-z]+')))) AS pos FROM units)
-"""
-MUTUAL = """
-s AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS raw, round(raw, 9) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
-k AS (SELECT src, dst, sim, raw, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) <= 16),
-m AS (SELECT a.src, a.dst, a.sim, a.raw FROM k a JOIN k b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst AND a.sim > 0.3),
-edges AS (SELECT src, dst, raw AS w FROM m UNION ALL SELECT dst, src, raw FROM m)
-"""
-TREE = """
-tree AS (SELECT 'N' || n_nationkey AS a, 'R' || n_regionkey AS b, CAST(2 AS DOUBLE) AS w FROM nation
-  UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey, 1 FROM supplier UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey, 4 FROM customer),
-edges AS (SELECT a AS src, b AS dst, w FROM tree UNION ALL SELECT b, a, w FROM tree)
-"""
-ANSWERS = """
-qa AS (SELECT q.conv_id || '-' || q.turn AS qid, q.text AS question, a.text AS answer FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user' AND a.role = 'assistant')
-"""
-
-
-def units(t) -> DataFrame:
-    rows = t("documents").filter("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "l"))
-    return rows.select("doc_id", "idx", text.strip("l").alias("u")).filter("u <> ''")
-
-
-def named_units(t) -> DataFrame:
-    return units(t).withColumn("entities", F.regexp_extract_all("u", F.lit("[A-Z][a-z]+"), F.lit(0)))
-
-
-def mentions(t) -> DataFrame:
-    return named_units(t).select("doc_id", "idx", F.posexplode("entities").alias("pos", "e"))
-
-
-def neighbours(t) -> DataFrame:
-    return materialize(vectors.self_neighbours(t("embeddings"), 16, "vec_id"), "neighbours")
-
-
-def mutual_graph(t) -> DataFrame:
-    pairs = vectors.mutual_edges(neighbours(t), 0.3).withColumn("w", F.col("sim"))
-    return materialize(graph.both_ways(pairs, "src", "dst", F.col("w")), "mutual")
-
-
-def key_tree(t) -> DataFrame:
-    letter = lambda x, c: F.concat(F.lit(x), F.col(c).cast("string"))
-    parts = [
-        graph.both_ways(t("nation").select(letter("N", "n_nationkey").alias("a"), letter("R", "n_regionkey").alias("b")), w=2.0),
-        graph.both_ways(t("supplier").select(letter("S", "s_suppkey").alias("a"), letter("N", "s_nationkey").alias("b")), w=1.0),
-        graph.both_ways(t("customer").select(letter("C", "c_custkey").alias("a"), letter("N", "c_nationkey").alias("b")), w=4.0),
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def answers(t) -> DataFrame:
-    c = t("conversations")
-    a = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    return c.filter("role = 'user'").join(a, ["conv_id", "turn"]).select(F.concat_ws("-", "conv_id", "turn").alias("qid"), F.col("text").alias("question"), "answer")
-
-
-def r6(c: Column | str) -> Column:
-    return F.round(c, 6)
-
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 # --- flagship ---------------------------------------------------------------------------------------------------
 
@@ -137,13 +48,9 @@ query("src8_src9_graph_tables", "SELECT vec_id, label FROM embeddings")(lambda t
 query("src2_id_list", f"SELECT {STRIP.format('url')} AS id FROM pages WHERE {STRIP.format('url')} <> ''")(lambda t: t("pages").select(text.strip("url").alias("id")).filter("id <> ''"))
 query("src2b_id_list_with_blanks", f"SELECT {STRIP.format('url')} AS id FROM pages")(lambda t: t("pages").select(text.strip("url").alias("id")))
 query("src7_base64_media_type", "SELECT page_id, base64(encode(url)) AS b64, CASE WHEN regexp_matches(lower(url), '[.]png$') THEN 'image/png' ELSE 'image/jpeg' END AS mime FROM pages")(lambda t: t("pages").select("page_id", F.base64(F.encode("url", "UTF-8")).alias("b64"), text.media_type("url").alias("mime")))
-query("snk6_text_blocks", "SELECT page_id, 'Context ' || page_id || ':' || chr(10) || url AS block FROM pages")(lambda t: t("pages").select("page_id", F.concat_ws("\n", F.concat(F.lit("Context "), "page_id", F.lit(":")), "url").alias("block")))
-query("snk5_checked_copies", "SELECT count(*) AS n FROM pages")(lambda t: files.checked_copies(t("pages").select(F.concat("page_id", F.lit(".jpg")).alias("path")), t("pages").select(F.concat("page_id", F.lit(".jpg")).alias("path"))))
 query("ckp1_resume_by_id", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")(lambda t: files.not_done(t("documents").select("doc_id"), t("labels"), "doc_id"))
-query("ckp2_paired_prefix", "SELECT vec_id AS pos, page_id AS id, label FROM embeddings JOIN pages ON vec_id = page_id")(lambda t: files.paired_prefix(t("pages").select(F.col("page_id").alias("pos"), F.col("page_id").alias("id")), t("embeddings").select(F.col("vec_id").alias("pos"), "label")))
 query("ckp4_met10_redo_failed", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality <> 0)")(lambda t: files.not_done(t("documents").select("doc_id"), t("labels"), "doc_id", again="quality = 0"))
 query("ckp5_val9_ids_match_vectors", "SELECT count(*) AS n, count(DISTINCT vec_id) AS ids, count(embedding) AS vectors, min(len(embedding)) AS least, max(len(embedding)) AS most FROM embeddings")(lambda t: t("embeddings").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("vec_id").alias("ids"), F.count("embedding").alias("vectors"), F.min(F.size("embedding")).cast("long").alias("least"), F.max(F.size("embedding")).cast("long").alias("most")))
-query("ckp7_resume_checked", "SELECT vec_id FROM embeddings WHERE label <> 3")(lambda t: files.not_done(t("embeddings").select("vec_id"), t("embeddings").filter("label = 3").select("vec_id"), "vec_id"))
 
 # --- projections, filters, validators ---------------------------------------------------------------------------
 
@@ -151,25 +58,19 @@ query("prj1_stem_extension", "SELECT page_id, regexp_replace(regexp_extract(url,
 query("prj2_agg2_entity_keys", f"WITH {UNITS} SELECT DISTINCT upper(e) AS entity FROM mentions")(lambda t: mentions(t).select(text.entity_key("e").alias("entity")).distinct())
 query("prj3_structured_ids", f"WITH {UNITS} SELECT doc_id, idx, doc_id || ':T' || lpad(CAST(idx AS VARCHAR), CAST(greatest(3, length(CAST(idx AS VARCHAR))) AS INTEGER), '0') AS id FROM units")(lambda t: units(t).select("doc_id", F.col("idx").cast("long").alias("idx"), text.part_id("doc_id", "T", "idx").alias("id")))
 query("prj4_parsed_ids", f"WITH {UNITS} SELECT CAST(doc_id AS VARCHAR) AS root, CAST(idx AS INTEGER) AS idx FROM units")(lambda t: units(t).select(text.part_id("doc_id", "T", "idx").alias("id")).select(text.id_root("id").alias("root"), text.id_index("id").alias("idx")))
-query("prj5_prj6_acceptable_answers", f"WITH {ANSWERS} SELECT qid, 'An acceptable answer is: ' || answer || '.' AS gold FROM qa")(lambda t: answers(t).select("qid", text.acceptable(F.array("answer")).alias("gold")))
 query("flt1_jn1_membership", "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")(lambda t: t("documents").select("doc_id", "lang").join(t("labels"), "doc_id", "left_semi"))
 query("flt2_relevance_threshold", "SELECT l_orderkey, l_linenumber, l_discount FROM lineitem WHERE l_discount >= 0.05")(lambda t: t("lineitem").filter("l_discount >= 0.05").select("l_orderkey", "l_linenumber", "l_discount"))
 query("flt3_flt4_flt7_type_filters", "SELECT vec_id, label FROM embeddings WHERE label NOT IN (1, 2)")(lambda t: t("embeddings").filter(~F.col("label").isin(1, 2)).select("vec_id", "label"))
-query("flt5_communities_of_three", f"WITH {UNITS} SELECT doc_id, count(*) AS n FROM units GROUP BY 1 HAVING count(*) >= 3")(lambda t: units(t).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3"))
 query("flt6_val14_not_blank", f"SELECT conv_id, turn FROM conversations WHERE length({STRIP.format('text')}) > 0")(lambda t: t("conversations").filter(F.length(text.strip("text")) > 0).select("conv_id", "turn"))
 query("flt8_baseline_contexts", f"WITH {MUTUAL} SELECT src AS qid, dst AS node_id, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 8 AND (src, dst) IN (SELECT (src, dst) FROM k WHERE rank <= 4)")(lambda t: (lambda n: retrieval.baseline_contexts(n.filter("rank <= 8"), n, 4))(neighbours(t).select(F.col("src").alias("qid"), F.col("dst").alias("node_id"), "rank")))
 query("flt9_flt10_valid_grades", "SELECT DISTINCT doc_id, quality FROM labels WHERE quality IN (0, 1) AND toxic <> 0")(lambda t: t("labels").filter(F.col("quality").isin(0, 1) & (F.col("toxic") != 0)).select("doc_id", "quality").distinct())
-query("flt11_ids_without_h", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT contains(l_linestatus, 'O')")(lambda t: t("lineitem").filter(~F.contains("l_linestatus", F.lit("O"))).select("l_orderkey", "l_linenumber"))
 query("val1_decomposition_schema", f"WITH {UNITS} SELECT doc_id, idx, len(regexp_extract_all(u, '[A-Z][a-z]+')) > 0 AS ok FROM units")(lambda t: named_units(t).select("doc_id", F.col("idx").cast("long").alias("idx"), text.decomposition(F.to_json(F.array(F.struct(F.col("u").alias("semantic_unit"), "entities", F.array("u").alias("relationships"))))).isNotNull().alias("ok")))
 query("val2_nonblank_items", "SELECT conv_id, turn, len(list_filter(string_split(text, ' '), lambda w: length(trim(w)) = 0)) = 0 AS ok FROM conversations WHERE text IS NOT NULL")(lambda t: t("conversations").filter("text IS NOT NULL").select("conv_id", "turn", text.nonblank_list(F.split("text", " ")).alias("ok")))
 query("val2b_val4_list_sizes", f"WITH {UNITS} SELECT doc_id, count(*) BETWEEN 3 AND 50 AS ok FROM units GROUP BY 1")(lambda t: units(t).groupBy("doc_id").agg(F.collect_list("u").alias("l")).select("doc_id", text.nonblank_list("l", 3, 50).alias("ok")))
 query("val3_question_lists", f"SELECT conv_id, turn, ends_with({STRIP.format('text')}, '?') AS ok FROM conversations WHERE length({STRIP.format('text')}) > 0")(lambda t: t("conversations").filter(F.length(text.strip("text")) > 0).select("conv_id", "turn", text.question_list(F.array("text")).alias("ok")))
 query("val5_partition_check", "SELECT vec_id, label % 2 = 0 AS ok FROM embeddings")(lambda t: t("embeddings").select("vec_id", text.same_members(F.array(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"), F.when(F.col("label") % 2 == 0, "a").otherwise("c"))), F.array(F.lit("a"), F.lit("b"))).alias("ok")))
 query("val6_binary_grades", "SELECT doc_id, quality AS grade FROM labels")(lambda t: t("labels").select("doc_id", text.binary_grade(F.concat(F.lit(" "), F.col("quality").cast("string"), F.lit("\n"))).alias("grade")))
-query("val7_val10_missing_targets", "SELECT DISTINCT o_custkey AS node FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")(lambda t: t("orders").select(F.col("o_custkey").alias("node")).distinct().join(t("customer").select(F.col("c_custkey").alias("node")), "node", "left_anti"))
 query("val8_agg6_graph_sanity", f"WITH {MUTUAL} SELECT max(w) AS max_weight, count(*) FILTER (src = dst) AS self_edges, round(sum(w) / 2, 6) AS total_weight FROM edges")(lambda t: graph.sanity(mutual_graph(t)))
-query("val12_context_sizes", f"WITH {MUTUAL} SELECT src AS qid, count(*) AS n FROM k WHERE rank <= 8 GROUP BY 1 HAVING count(*) <> 8")(lambda t: neighbours(t).filter("rank <= 8").groupBy(F.col("src").alias("qid")).agg(F.count(F.lit(1)).alias("n")).filter("n <> 8"))
-query("val13_txt20_image_urls", "SELECT page_id, regexp_matches(lower(regexp_replace(url, '[?#].*$', '')), '[.](jpg|jpeg|png|bmp|gif|webp)$') AS image FROM pages")(lambda t: t("pages").select("page_id", text.is_image_url("url").alias("image")))
 
 # --- joins ------------------------------------------------------------------------------------------------------
 
@@ -180,23 +81,16 @@ query("jn5_entities_of_articles", f"WITH {UNITS} SELECT doc_id, array_to_string(
 query("jn6_synonyms_or_self", f"WITH {UNITS}, x AS (SELECT DISTINCT upper(e) AS e FROM mentions) SELECT e AS entity, CASE WHEN length(e) % 2 = 0 THEN array_to_string(list_sort([e, 'SYN-' || e]), ',') ELSE e END AS names FROM x")(lambda t: (lambda x: x.join(x.filter(F.length("entity") % 2 == 0).select("entity", F.array_sort(F.array("entity", F.concat(F.lit("SYN-"), "entity"))).alias("g")), "entity", "left").select("entity", F.array_join(F.coalesce("g", F.array("entity")), ",").alias("names")))(mentions(t).select(text.entity_key("e").alias("entity")).distinct()))
 query("jn7_adjacent_chunks", f"WITH {UNITS} SELECT a.doc_id || ':' || a.idx AS a, b.doc_id || ':' || b.idx AS b FROM units a JOIN units b ON a.doc_id = b.doc_id AND b.idx = a.idx + 1")(lambda t: graph.chunk_chain(units(t).select(F.concat_ws(":", "doc_id", "idx").alias("node_id"), F.col("doc_id").alias("doc"), "idx")))
 query("jn8_txt6_words_in_unit", f"WITH {UNITS}, x AS (SELECT DISTINCT doc_id, idx, upper(e) AS e FROM mentions) SELECT doc_id || ':' || idx AS r_id, e AS node_id FROM x JOIN units USING (doc_id, idx) WHERE regexp_matches(upper(u), '(^|[^\\pL\\pN_])' || e || '($|[^\\pL\\pN_])')")(lambda t: (lambda m: graph.relation_entities(units(t).select(F.concat_ws(":", "doc_id", "idx").alias("unit"), F.concat_ws(":", "doc_id", "idx").alias("r_id"), F.col("u").alias("text")), m.select(F.concat_ws(":", "doc_id", "idx").alias("unit"), text.entity_key("e").alias("node_id"), text.entity_key("e").alias("alias")).distinct()))(mentions(t)))
-query("jn10_jn11_jn15_node_content", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")(lambda t: t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name"))
-query("jn12_set4_cluster_and_community", "SELECT DISTINCT h.c_nationkey AS h, m.c_custkey AS node FROM customer m JOIN customer h ON h.c_mktsegment = m.c_mktsegment AND h.c_nationkey = m.c_nationkey AND h.c_custkey % 10 = 0")(lambda t: (lambda c: graph.high_level_edges(c.select(F.col("c_nationkey").cast("long").alias("h"), F.col("c_custkey").alias("node")).withColumn("node", F.col("node") + 1000000), c.select((F.col("c_custkey") + 1000000).alias("node"), F.col("c_mktsegment").alias("cluster")), c.filter("c_custkey % 10 = 0").select(F.col("c_nationkey").cast("long").alias("h"), F.col("c_mktsegment").alias("cluster")).distinct()).select(F.col("h").cast("int").alias("h"), (F.col("node") - 1000000).alias("node")))(t("customer")))
-query("jn13_inverted_lookup", f"WITH {UNITS}, ix AS (SELECT DISTINCT upper(e) AS e, doc_id FROM mentions), qs AS (SELECT conv_id || '-' || turn AS qid, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS e FROM conversations WHERE role = 'user') SELECT DISTINCT qid, doc_id AS node_id FROM qs JOIN ix ON upper(qs.e) = ix.e")(lambda t: retrieval.entity_seeds(t("conversations").filter("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("qid"), F.transform(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0)), F.upper).alias("entities")), mentions(t).select(F.upper("e").alias("entity"), "doc_id").distinct().groupBy("entity").agg(F.collect_list("doc_id").alias("nodes"))))
 query("jn14_image_seed_expansion", f"WITH {TREE} SELECT DISTINCT 'q' || src AS qid, dst AS node_id FROM edges WHERE src LIKE 'S%' AND dst LIKE 'N%'")(lambda t: (lambda e: retrieval.image_expansion(e.filter("src LIKE 'S%'").select(F.concat(F.lit("q"), "src").alias("qid"), F.col("src").alias("node_id")).distinct(), e, e.select(F.col("src").alias("node_id"), F.when(F.col("src").like("S%"), "V").when(F.col("src").like("N%"), "N").otherwise("T").alias("node_type")).distinct()))(key_tree(t)))
 query("jn16_image_captions", "SELECT page_id, string_agg(p_name, chr(10) ORDER BY p_partkey) AS caption FROM pages LEFT JOIN part ON p_size = page_id GROUP BY 1")(lambda t: t("pages").select("page_id").join(t("part").select(F.col("p_size").cast("long").alias("page_id"), "p_partkey", "p_name"), "page_id", "left").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("l")).select("page_id", F.when(F.exists("l", lambda x: x["p_name"].isNotNull()), F.array_join(F.transform("l", lambda x: x["p_name"]), "\n")).alias("caption")))
 query("jn17_earlier_success", "SELECT d.doc_id AS qid, CASE WHEN d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) OR d.doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 1 END AS score FROM documents d")(lambda t: evaluate.earlier_success(t("documents").select(F.col("doc_id").alias("qid")), t("labels").select(F.col("doc_id").alias("qid"), F.col("quality").alias("score")), t("labels").select(F.col("doc_id").alias("qid"), F.col("toxic").alias("score"))))
-query("jn18_answer_in_context", "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(left(b.text, 40)))")(lambda t: t("documents").select("doc_id", F.lower("text").alias("d")).join(F.broadcast(t("benchmark").select("item_id", F.lower(F.left("text", F.lit(40))).alias("b"))), F.contains("d", F.col("b"))).select("item_id", "doc_id"))
 query("jn19_grf17_agg12_neighbour_lists", "SELECT n_nationkey, array_to_string(list('[' || i || '] ' || s_name ORDER BY i), chr(10)) AS listed FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i FROM supplier) JOIN nation ON n_nationkey = s_nationkey GROUP BY 1")(lambda t: t("nation").join(t("supplier"), F.col("n_nationkey") == F.col("s_nationkey")).groupBy("n_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("l")).select("n_nationkey", text.numbered(F.transform("l", lambda x: x["s_name"])).alias("listed")))
 query("jn20_completeness", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")(lambda t: t("documents").select("doc_id").join(t("embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti"))
-query("jn21_jn22_stage_join", f"WITH {ANSWERS} SELECT qid, length(question) AS q, length(answer) AS a FROM qa")(lambda t: answers(t).select("qid", F.length("question").cast("long").alias("q"), F.length("answer").cast("long").alias("a")))
 
 # --- aggregates -------------------------------------------------------------------------------------------------
 
 query("agg1_txt26_word_counts", "SELECT count(*) AS n, CAST(sum(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))) AS BIGINT) AS words FROM documents")(lambda t: t("documents").agg(F.count(F.lit(1)).alias("n"), F.sum(text.word_count("text")).alias("words")))
 query("agg3_type_counts", "SELECT label, count(*) AS n FROM embeddings GROUP BY 1")(lambda t: t("embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n")))
-query("agg4_agg5_degree_stats", f"WITH {TREE}, d AS (SELECT src, sum(w) AS d FROM edges GROUP BY 1) SELECT min(d) AS min_degree, max(d) AS max_degree, round(avg(d), 6) AS avg_degree, CAST(0 AS BIGINT) AS isolated, (SELECT min(w) FROM edges) AS min_weight, (SELECT max(w) FROM edges) AS max_weight FROM d")(lambda t: (lambda e: graph.degree_stats(e.select(F.col("src").alias("node_id")).distinct(), e))(key_tree(t)))
-query("agg7_group_sizes", f"WITH {UNITS}, g AS (SELECT left(upper(e), 2) AS g, count(DISTINCT upper(e)) AS n FROM mentions GROUP BY 1) SELECT max(n) AS most, round(avg(n), 6) AS mean FROM g")(lambda t: mentions(t).groupBy(F.left(F.upper("e"), F.lit(2)).alias("g")).agg(F.countDistinct(F.upper("e")).alias("n")).agg(F.max("n").alias("most"), r6(F.avg("n")).alias("mean")))
 query("agg8_context_lengths", f"WITH {UNITS}, w AS (SELECT len(list_filter(string_split_regex(u, '\\s+'), lambda w: w <> '')) AS n FROM units) SELECT min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM w")(lambda t: units(t).select(text.word_count("u").cast("long").alias("n")).agg(F.min("n").alias("least"), F.max("n").alias("most"), r6(F.avg("n")).alias("mean")))
 query("agg9_default_k", f"WITH {TREE}, v AS (SELECT count(DISTINCT src) AS v, sum(w) AS d FROM edges) SELECT CAST(floor(ln(v) * sqrt(d / v)) AS BIGINT) AS k FROM v")(lambda t: (lambda e: graph.default_k(e.select("src").distinct(), e))(key_tree(t)))
 query("agg10_important_nodes", f"WITH {TREE} SELECT src AS node_id, sum(w) AS degree FROM edges WHERE src LIKE 'N%' GROUP BY 1 HAVING sum(w) >= 100")(lambda t: (lambda e: graph.important(e.select(F.col("src").alias("node_id"), F.left("src", F.lit(1)).alias("node_type")).distinct(), e, 100))(key_tree(t)))
@@ -213,8 +107,6 @@ query("agg22_questions_of_entities", "SELECT n_nationkey, coalesce(array_to_stri
 
 # --- order, top-k, samples --------------------------------------------------------------------------------------
 
-query("top1_global_sample")(lambda t: t("documents").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(500))
-query("top2_sample_a_group")(lambda t: t("documents").select("doc_id", "source", F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")).alias("n")).filter("n <= 2"))
 query("top3_paired_sort", "SELECT l_orderkey AS qid, l_linenumber AS pos, l_discount AS score, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_linenumber) AS INTEGER) AS rank FROM lineitem")(lambda t: retrieval.ranked(t("lineitem").select(F.col("l_orderkey").alias("qid"), F.col("l_linenumber").alias("pos"), F.col("l_discount").alias("score"))))
 query("top4_natural_order", f"WITH {UNITS} SELECT doc_id || ':T' || idx AS id, row_number() OVER (PARTITION BY doc_id ORDER BY doc_id, idx) AS n FROM units")(lambda t: units(t).select("doc_id", F.concat("doc_id", F.lit(":T"), "idx").alias("id")).select("id", F.row_number().over(Window.partitionBy("doc_id").orderBy(text.natural_key("id"))).cast("long").alias("n")))
 query("top5_mass_cut", "SELECT o_custkey AS qid, o_orderkey AS node_id FROM (SELECT *, coalesce(sum(p) OVER (PARTITION BY o_custkey ORDER BY p DESC, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(p) OVER (PARTITION BY o_custkey) AS a, max(p) OVER (PARTITION BY o_custkey) AS t FROM (SELECT *, round(o_totalprice, 2) AS p FROM orders)) WHERE round(b, 6) < round(0.25 * a, 6) OR p = t")(lambda t: graph.mass_cut(t("orders").select(F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("node_id"), F.round("o_totalprice", 2).alias("pi"))).select("qid", "node_id"))
@@ -222,7 +114,6 @@ query("top6_top7_prefix", f"WITH {MUTUAL} SELECT src AS qid, array_to_string(lis
 query("top8_nearest_other", f"WITH {MUTUAL} SELECT src, dst, round(raw, 6) AS sim FROM k WHERE rank = 1")(lambda t: neighbours(t).filter("rank = 1").select("src", "dst", r6("sim").alias("sim")))
 query("top9_merged_contexts", "WITH x AS (SELECT l_orderkey AS qid, CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END AS sub, l_linenumber AS pos, l_suppkey AS node, l_discount AS score FROM lineitem WHERE l_discount >= 0.05), b AS (SELECT *, row_number() OVER (PARTITION BY qid, node ORDER BY score DESC, sub, pos) AS n FROM x) SELECT qid, node AS node_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, sub, pos, node) AS INTEGER) AS rank FROM b WHERE n = 1")(lambda t: (lambda x: retrieval.merged_contexts(x.filter("pos % 2 = 0"), x.filter("pos % 2 = 1").withColumn("sub", F.lit(1)), 0.05))(t("lineitem").select(F.col("l_orderkey").alias("qid"), F.col("l_linenumber").alias("pos"), F.col("l_suppkey").alias("node_id"), F.col("l_discount").alias("score"))))
 query("top10_truncated", "SELECT doc_id, left(text, 3000) AS text FROM documents")(lambda t: t("documents").select("doc_id", F.substring("text", 1, 3000).alias("text")))
-query("top11_rerank_one_question", f"WITH {MUTUAL} SELECT src AS qid, dst AS node_id FROM k WHERE src = 0")(lambda t: retrieval.ranked(neighbours(t).filter("src = 0").select(F.col("src").alias("qid"), F.col("dst").alias("node_id"), F.col("rank").alias("pos"), F.col("sim").alias("score"))).select("qid", "node_id"))
 
 # --- sets -------------------------------------------------------------------------------------------------------
 
@@ -235,32 +126,18 @@ query("set7_unordered_pairs", f"WITH {MUTUAL} SELECT DISTINCT least(src, dst) AS
 
 query("txt1_txt2_txt3_chunks")(lambda t: t("documents").select("doc_id", F.posexplode(compare.chunk_udf()(F.col("text"))).alias("idx", "chunk")).filter("chunk <> ''").select(text.part_id("doc_id", "T", "idx").alias("chunk_id"), "chunk"))
 query("txt4_exploded_lines", f"WITH {UNITS} SELECT doc_id || ':T' || lpad(CAST(idx AS VARCHAR), CAST(greatest(3, length(CAST(idx AS VARCHAR))) AS INTEGER), '0') AS chunk_id, u AS chunk FROM units")(lambda t: units(t).select(text.part_id("doc_id", "T", "idx").alias("chunk_id"), F.col("u").alias("chunk")))
-query("txt5_acronyms", "SELECT c_custkey, n_name, 'Custom' || n_name = n_name AS same, regexp_replace(upper(n_name), '[^A-Z0-9]', '', 'g') = 'NATION' || n_nationkey AS acronym FROM customer JOIN nation ON n_nationkey = c_nationkey")(lambda t: t("customer").join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", "n_name", (F.concat(F.lit("Custom"), "n_name") == F.col("n_name")).alias("same"), (text.acronym_form("n_name") == F.concat(F.lit("NATION"), "n_nationkey")).alias("acronym")))
-query("txt7_txt8_fences", "SELECT conv_id, turn, text AS plain, 'json' || chr(10) || text AS block FROM (SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations) WHERE NOT contains(text, '```')")(lambda t: t("conversations").withColumn("x", text.strip("text")).filter(~F.contains("x", F.lit("```"))).withColumn("f", F.concat(F.lit("```json\n"), "x", F.lit("\n```"))).select("conv_id", "turn", text.unfenced("f").alias("plain"), text.unfenced_block("f").alias("block")))
 query("txt9_txt25_lists", "SELECT vec_id, 'A' || label || ',B' AS names FROM embeddings")(lambda t: t("embeddings").select("vec_id", F.array_join(text.entity_keys(F.concat(F.lit("['a"), "label", F.lit("', ' b ']"))), ",").alias("names")))
 query("txt10_lenient_json", "SELECT event_id, json_extract_string(props, '$') IS NOT NULL AS ok FROM events")(lambda t: t("events").select("event_id", text.lenient_json(F.concat(F.lit("Here it is: "), "props", F.lit(" done"))).isNotNull().alias("ok")))
-query("txt11_plain_answers", "SELECT p_partkey, array_to_string(list_filter(string_split_regex(regexp_replace(replace(lower(p_name), '-', ' '), '[^a-z0-9\\s]', '', 'g'), '\\s+'), lambda w: w <> '' AND w NOT IN ('and', 'or', 'the', 'of')), ' ') AS plain FROM part")(lambda t: t("part").select("p_partkey", text.plain_answer("p_name").alias("plain")))
-query("txt12_txt14_met7_fuzzy")(lambda t: answers(t).select("qid", compare.fuzzy_score(F.left("answer", F.lit(200)), F.left("question", F.lit(60))).alias("score")).withColumn("ok", F.col("score") >= 95))
 query("txt13_number_scores", "SELECT o_orderkey, CASE WHEN o_totalprice BETWEEN 50000 AND 150000 THEN CAST(100 AS DOUBLE) ELSE 0 END AS score FROM (SELECT o_orderkey, CAST(o_totalprice AS BIGINT) AS o_totalprice FROM orders)")(lambda t: t("orders").select("o_orderkey", text.number_score(F.concat(F.lit("it is "), F.round("o_totalprice").cast("long").cast("string"), F.lit(" or so")), F.lit(-1.0), F.lit(50000.0), F.lit(150000.0)).alias("score")))
 query("txt15_met8_rouge")(lambda t: answers(t).select("qid", r6(compare.rouge_l_udf("answer", "question")).alias("rouge")))
-query("txt16_prompts", f"WITH {ANSWERS} SELECT qid, 'List the entities the question asks about as a JSON list.' || chr(10) || question AS prompt FROM qa")(lambda t: answers(t).select("qid", models.prompt("entities", text=F.col("question")).alias("prompt")))
-query("txt17_txt22_messages", f"WITH {ANSWERS} SELECT qid, CASE WHEN length(question) > 0 THEN question ELSE 'NULL' END AS last FROM qa")(lambda t: answers(t).select("qid", F.element_at(text.embedding_message(F.lit("Represent the input"), "question", F.lit(None).cast("string"), F.lit(None).cast("string")), -1)["text"].alias("last")))
 query("txt23_rerank_messages", f"WITH {ANSWERS} SELECT qid, question AS q, answer AS d FROM qa")(lambda t: answers(t).select("qid", text.rerank_message(F.lit("Judge"), "question", "answer").alias("m")).select("qid", F.col("m")[2]["text"].alias("q"), F.col("m")[4]["text"].alias("d")))
 query("txt18_joined_contexts", f"WITH {UNITS} SELECT doc_id, string_agg(u, chr(10) || '----------' || chr(10) ORDER BY idx) AS context FROM units GROUP BY 1")(lambda t: units(t).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "u"))), lambda x: x["u"]), "\n----------\n").alias("context")))
-query("txt19_full_stop", f"SELECT p_partkey, p_name || '.' AS s FROM part WHERE regexp_matches(p_name, '[a-zA-Z0-9]$')")(lambda t: t("part").filter(F.col("p_name").rlike("[a-zA-Z0-9]$")).select("p_partkey", text.with_full_stop("p_name").alias("s")))
 query("txt21_ratings", "SELECT vec_id, CASE WHEN label < 3 THEN label / 2 END AS rating FROM embeddings")(lambda t: t("embeddings").select("vec_id", text.rating(F.concat(F.lit("the rating is "), F.col("label").cast("string"), F.lit(" here"))).alias("rating")))
-query("txt24_video_inputs", "SELECT page_id, 'video' AS type FROM pages")(lambda t: t("pages").select("page_id", text.video_part("url")["type"].alias("type")))
 
 # --- vectors ----------------------------------------------------------------------------------------------------
 
 query("vec2_unit_norm", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 5) AS norm FROM embeddings")(lambda t: t("embeddings").select("vec_id", F.round(vectors.norm(F.col("embedding")), 5).alias("norm")))
-query("vec3_vec4_neighbours", f"WITH {MUTUAL} SELECT src, dst, round(raw, 6) AS sim, CAST(rank AS INTEGER) AS rank FROM k")(lambda t: neighbours(t).withColumn("sim", r6("sim")))
-query("vec5_many_vectors_a_node", f"WITH {MUTUAL} SELECT src AS qid, dst % 100 AS node, round(max(raw), 6) AS sim FROM k GROUP BY 1, 2")(lambda t: neighbours(t).groupBy(F.col("src").alias("qid"), (F.col("dst") % 100).alias("node")).agg(r6(F.max("sim")).alias("sim")))
-query("vec6_similar_or_acronym", f"WITH {MUTUAL} SELECT src AS a, dst AS b FROM k WHERE sim >= 0.45")(lambda t: neighbours(t).filter((F.round("sim", 9) >= 0.45) | text.is_acronym(F.concat(F.lit("x"), "src"), F.concat(F.lit("y"), "dst"))).select(F.col("src").alias("a"), F.col("dst").alias("b")))
 query("vec7_mutual_neighbours", f"WITH {MUTUAL} SELECT src, dst, round(raw, 6) AS sim FROM m")(lambda t: vectors.mutual_edges(neighbours(t), 0.3).withColumn("sim", r6("sim")))
-query("vec8_spherical_kmeans")(lambda t: vectors.spherical_kmeans(t("embeddings"), "vec_id")[0])
-query("vec9_nearest_centres", "WITH c AS (SELECT vec_id AS cluster, embedding AS v FROM embeddings WHERE vec_id < 10), s AS (SELECT e.vec_id, cluster, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 9) AS sim FROM embeddings e, c) SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, cluster) AS INTEGER) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, cluster) <= 3")(lambda t: vectors.nearest_centres(t("embeddings"), [(r["vec_id"], r["embedding"]) for r in t("embeddings").filter("vec_id < 10").collect()], 3, "vec_id"))
-query("vec10_split_by_id", "SELECT p_partkey, regexp_matches('H' || p_partkey, '^H[0-9]+$') AS high FROM part")(lambda t: t("part").select("p_partkey", F.concat(F.lit("H"), "p_partkey").rlike("^H[0-9]+$").alias("high")))
 query("vec11_cosine_share", "SELECT a.vec_id, round((list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) + 1) / 2, 6) AS share FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")(lambda t: t("embeddings").alias("a").join(t("embeddings").select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("e2")), "vec_id").select("vec_id", r6(vectors.cosine_share(F.col("embedding"), F.col("e2"))).alias("share")))
 query("vec12_reranker_stand_in", f"WITH {ANSWERS}, w AS (SELECT qid, list_distinct(string_split_regex(lower(question), '[^0-9a-z_]+')) AS q, list_distinct(string_split_regex(lower(answer), '[^0-9a-z_]+')) AS d FROM qa) SELECT qid, round(1 / (1 + exp(-(10 * len(list_intersect(q, d)) / greatest(len(q), 1) - 5))), 6) AS score FROM w")(lambda t: answers(t).select("qid", r6(vectors.relevance(F.col("question"), F.col("answer"))).alias("score")))
 query("vec13_vec14_frames_and_tokens", "SELECT vec_id, embedding[1] AS a, embedding[22] AS b, embedding[43] AS c, embedding[64] AS d FROM embeddings")(lambda t: t("embeddings").select("vec_id", text.even_frames("embedding", 4).alias("f")).select("vec_id", *[F.col("f")[i].alias(c) for i, c in enumerate("abcd")]))
@@ -278,12 +155,8 @@ def _document_graph(t) -> DataFrame:
 
 query("grf1_document_graph", f"WITH {UNITS}, p AS (SELECT 'T' || doc_id AS a, 'S' || doc_id || ':' || idx AS b FROM units UNION ALL SELECT 'S' || doc_id || ':' || idx, upper(e) FROM mentions UNION ALL SELECT 'S' || a.doc_id || ':' || a.idx, 'S' || b.doc_id || ':' || b.idx FROM units a JOIN units b ON a.doc_id = b.doc_id AND b.idx = a.idx + 1) SELECT src, dst, CAST(count(*) AS DOUBLE) AS w FROM (SELECT a AS src, b AS dst FROM p UNION ALL SELECT b, a FROM p) GROUP BY 1, 2")(_document_graph)
 query("grf2_entity_ids", f"WITH {UNITS}, f AS (SELECT upper(e) AS e, min(lpad(CAST(doc_id AS VARCHAR), 12, '0') || lpad(CAST(idx AS VARCHAR), 8, '0') || lpad(CAST(pos AS VARCHAR), 8, '0')) AS f FROM mentions GROUP BY 1) SELECT e AS grp, 'N' || lpad(CAST(row_number() OVER (ORDER BY f, e) - 1 AS VARCHAR), 6, '0') AS node_id FROM f")(lambda t: graph.entity_nodes(mentions(t).select(F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lpad(F.col("idx").cast("string"), 8, "0"), F.lpad(F.col("pos").cast("string"), 8, "0")).alias("place"), F.col("e").alias("name"))).select("grp", "node_id"))
-query("grf3_grf4_attribute_nodes", "SELECT 'N' || n_nationkey AS src, 'N' || n_nationkey || ':A000' AS dst, 1.0::DOUBLE AS w FROM nation UNION ALL SELECT 'N' || n_nationkey || ':A000', 'N' || n_nationkey, 1.0::DOUBLE FROM nation")(lambda t: graph.both_ways(t("nation").select(F.concat(F.lit("N"), "n_nationkey").alias("a")).withColumn("b", text.part_id("a", "A", F.lit(0)))))
 query("grf5_semantic_edges_add", f"WITH {MUTUAL}, c AS (SELECT vec_id AS src, vec_id + 1 AS dst, 1.0 AS w FROM embeddings WHERE vec_id + 1 IN (SELECT vec_id FROM embeddings)), x AS (SELECT * FROM c UNION ALL SELECT dst, src, w FROM c UNION ALL SELECT * FROM edges) SELECT src, dst, round(CAST(sum(w) AS DOUBLE), 6) AS w FROM x GROUP BY 1, 2")(lambda t: (lambda v: graph.assemble(graph.both_ways(v.join(v.select((F.col("vec_id") - 1).alias("vec_id")), "vec_id").select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"))), mutual_graph(t)).withColumn("w", r6("w")))(t("embeddings").select("vec_id")))
 query("grf6_components", f"WITH RECURSIVE {MUTUAL}, r AS (SELECT src AS node, src AS c FROM edges UNION SELECT e.dst, r.c FROM r JOIN edges e ON e.src = r.node) SELECT node, min(c) AS component FROM r GROUP BY 1")(lambda t: connected_components(mutual_graph(t)))
-query("grf7_grf8_cliques")(lambda t: graph.maximal_cliques(vectors.mutual_edges(neighbours(t), 0.4), "src", "dst"))
-query("grf9_without_big_components", f"WITH RECURSIVE {MUTUAL}, h AS (SELECT src, dst FROM m WHERE sim > 0.42), e AS (SELECT src, dst FROM h UNION ALL SELECT dst, src FROM h), r AS (SELECT src AS node, src AS c FROM e UNION SELECT e.dst, r.c FROM r JOIN e ON e.src = r.node), p AS (SELECT node, min(c) AS c FROM r GROUP BY 1), z AS (SELECT c, count(*) AS n FROM p GROUP BY 1) SELECT src AS a, dst AS b FROM h JOIN p ON p.node = src JOIN z USING (c) WHERE n <= 5")(lambda t: graph.without_big_components(vectors.mutual_edges(neighbours(t), 0.3).filter(F.round("sim", 9) > 0.42).select(F.col("src").alias("a"), F.col("dst").alias("b"))).select("a", "b"))
-query("grf10_communities")(lambda t: graph.communities(mutual_graph(t)))
 query("grf11_folded_edges", f"WITH {MUTUAL} SELECT src AS a, dst AS b, round(w, 6) AS w FROM edges WHERE src < dst")(lambda t: graph.folded(mutual_graph(t)).withColumn("w", r6("w")))
 query(
     "grf12_shallow_ppr",
@@ -293,27 +166,15 @@ SELECT qid, node AS node_id, round(CAST(sum(x) AS DOUBLE), 6) AS pi FROM (SELECT
 )(lambda t: graph.shallow_ppr(key_tree(t), t("region").select(F.concat(F.lit("R"), "r_regionkey").alias("qid")).withColumn("node_id", F.col("qid"))).withColumn("pi", r6("pi")))
 query("grf13_grf14_grf15_shortest_paths", f"WITH RECURSIVE {TREE}, p AS (SELECT 'R' || r_regionkey AS source, 'R' || r_regionkey AS node, 0.0::DOUBLE AS dist, ['R' || r_regionkey] AS path FROM region UNION ALL SELECT p.source, e.dst, p.dist + 1 / e.w, list_append(p.path, e.dst) FROM p JOIN edges e ON e.src = p.node WHERE NOT list_contains(p.path, e.dst)) SELECT source, node AS node_id, round(dist, 6) AS dist, array_to_string(path, '>') AS path FROM p")(lambda t: graph.shortest_paths(key_tree(t), t("region").select(F.concat(F.lit("R"), "r_regionkey").alias("source"))).select("source", "node_id", r6("dist").alias("dist"), F.array_join("path", ">").alias("path")))
 query("grf16_reasoning_nodes", "SELECT 'q' || a.n_regionkey AS qid, 'R' || a.n_regionkey AS node_id FROM nation a GROUP BY a.n_regionkey HAVING count(*) >= 2")(lambda t: (lambda e, q: graph.reasoning_nodes(graph.shortest_paths(e, q.select(F.col("node_id").alias("source")).distinct()), q, q.select("node_id", F.lit("N").alias("node_type"))))(key_tree(t), t("nation").select(F.concat(F.lit("q"), "n_regionkey").alias("qid"), F.concat(F.lit("N"), "n_nationkey").alias("node_id"))))
-query("grf19_sub_question_lists", f"WITH {MUTUAL} SELECT src // 10 AS qid, src % 10 AS sub, array_to_string(list(dst ORDER BY rank), ',') AS nodes FROM k WHERE rank <= 4 GROUP BY 1, 2")(lambda t: neighbours(t).filter("rank <= 4").groupBy(F.floor(F.col("src") / 10).alias("qid"), (F.col("src") % 10).alias("sub")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "dst"))), lambda x: x["dst"]), ",").alias("nodes")))
-query("set6_merged_groups")(lambda t: t("embeddings").sparkSession.createDataFrame([(g,) for g in graph.merged_lists([["A", "B"], ["B", "C"], ["D"]])], "names array<string>"))
 
 # --- metrics and models -----------------------------------------------------------------------------------------
 
-query("met3_context_recall", "SELECT o_orderkey AS qid, CASE WHEN o_orderstatus = 'F' THEN 1 WHEN o_orderstatus = 'O' THEN 0 ELSE CAST(EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS INT) END AS context_recall FROM orders")(lambda t: evaluate.context_recall(t("lineitem").select(F.col("l_orderkey").alias("qid"), (F.col("l_returnflag") == "R").cast("int").alias("verdict")), t("orders").select(F.col("o_orderkey").alias("qid"), F.when(F.col("o_orderstatus") == "F", " ").otherwise("a").alias("answer"), F.when(F.col("o_orderstatus") == "O", "").otherwise("c").alias("context"))))
-query("met4_context_relevance", "SELECT l_orderkey || '-' || l_linenumber AS qid, (least(l_linenumber, 2) / 2 + 0.5) / 2 AS relevance FROM lineitem")(lambda t: evaluate.context_relevance(t("lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("qid"), F.least("l_linenumber", F.lit(2)).alias("r1"), F.lit(1).alias("r2"), F.lit("c").alias("context"), F.lit("q").alias("question"))))
 query("met5_met6_coverage", "SELECT l_orderkey AS qid, round(avg(CAST(l_returnflag = 'R' AS INT)), 6) AS coverage FROM lineitem GROUP BY 1")(lambda t: evaluate.share_of(t("lineitem").select(F.col("l_orderkey").alias("qid"), (F.col("l_returnflag") == "R").cast("int").alias("verdict")), "qid", "coverage").withColumn("coverage", r6("coverage")))
-query("met9_final_grade", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE greatest(quality, toxic) END AS grade FROM labels")(lambda t: t("labels").select("doc_id", evaluate.final_grade(F.when(F.col("doc_id") % 3 == 0, 100.0).otherwise(10.0), F.col("quality"), F.col("toxic")).alias("grade")))
 query("udf1_udf2_udf7_question_entities", "SELECT conv_id, turn, len(regexp_extract_all(text, '[A-Z][a-z]+')) > 0 AS some FROM conversations WHERE role = 'user'")(lambda t: models.answered(t("conversations").filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("asked")), F.col("asked"), lambda: models.stand_in_entities).select("conv_id", "turn", (F.size(text.string_list("text")) > 0).alias("some")))
 query("udf3_decomposition")(lambda t: models.answered(t("documents").filter("text IS NOT NULL").select("doc_id", F.col("text").alias("asked")), F.col("asked"), lambda: models.stand_in_decompose).select("doc_id", F.explode(F.from_json("text", "array<struct<semantic_unit:string,entities:array<string>,relationships:array<string>>>")).alias("u")).select("doc_id", "u.*"))
-query("udf8_udf9_questions")(lambda t: models.answered(t("conversations").filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("asked")), F.col("asked"), lambda: models.stand_in_questions).select("conv_id", "turn", F.explode(text.string_list("text")).alias("question")))
-query("udf5_udf6_udf10_summaries", None)(lambda t: models.answered(t("conversations").select("conv_id", "turn", F.col("text").alias("asked")), F.col("asked"), lambda: models.stand_in_summary).select("conv_id", "turn", F.col("text").alias("summary"), "tokens"))
-query("udf4_udf11_grader")(lambda t: models.answered(answers(t), models.prompt("grade", gold=F.col("question"), text=F.col("answer")), lambda: models.stand_in_grade, valid=lambda s: s in ("0", "1")).select("qid", text.binary_grade("text").alias("score"), "attempts"))
 query("udf12_vec1_embedder")(lambda t: t("benchmark").select("item_id", models.stand_in_embedding(F.concat(F.lit("Entity: "), "text")).alias("embedding")))
 query("jn9_orphan_relations", "SELECT DISTINCT 'r' || p_partkey AS r_id, 'n' || n_nationkey AS node_id FROM part JOIN nation ON regexp_matches(upper(p_name || ' ' || 'NATION_' || (p_partkey % 30)), '(^|[^A-Z0-9_])' || upper(n_name) || '($|[^A-Z0-9_])')")(lambda t: graph.orphan_relations(t("part").select(F.lit("u").alias("unit"), F.concat(F.lit("r"), "p_partkey").alias("r_id"), F.concat("p_name", F.lit(" NATION_"), F.col("p_partkey") % 30).alias("text")), t("part").select(F.concat(F.lit("x"), "p_partkey").alias("r_id")), t("nation").select(F.lit("v").alias("unit"), F.concat(F.lit("n"), "n_nationkey").alias("node_id"), F.col("n_name").alias("alias"))))
 query("vec14_token_truncation", "SELECT vec_id, CASE WHEN label < 5 THEN 'CLS,a,SEP' ELSE 'CLS,b,SEP' END AS kept FROM embeddings")(lambda t: t("embeddings").select("vec_id", F.array_join(text.truncated_tokens(F.array(F.lit("CLS"), F.when(F.col("label") < 5, "a").otherwise("b"), F.lit("c"), F.lit("d"), F.lit("SEP")), F.array(F.lit("CLS"), F.lit("SEP")), 3), ",").alias("kept")))
-query("val11_val15_val16_typed_rows", "SELECT count(*) AS n, count(*) FILTER (label IS NULL) AS untyped FROM embeddings")(lambda t: files.round_trip(t("embeddings").select("vec_id", "label"), "json").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label").isNull()).alias("untyped")))
-query("udf14_judged_statements")(lambda t: models.answered(answers(t).select(F.col("qid").alias("id"), F.explode(F.filter(F.split("answer", "(?<=[.!?])\\s+"), lambda s: F.length(s) > 0)).alias("statement"), "question"), models.prompt("grade", gold=F.col("question"), text=F.col("statement")), lambda: models.stand_in_grade).select("id", "statement", text.binary_grade("text").alias("verdict")).groupBy("id").agg(F.avg("verdict").alias("faithfulness")))
-query("grf4_communities_as_nodes", "SELECT 'H' || lpad(CAST(r_regionkey AS VARCHAR), 6, '0') AS node_id, 'H' AS node_type FROM region UNION ALL SELECT 'H' || lpad(CAST(r_regionkey AS VARCHAR), 6, '0') || ':O000', 'O' FROM region")(lambda t: (lambda h: h.select("node_id", F.lit("H").alias("node_type")).unionByName(h.select(text.part_id("node_id", "O", F.lit(0)).alias("node_id"), F.lit("O").alias("node_type"))))(t("region").select(text.serial_id("H", "r_regionkey").alias("node_id"))))
-query("src4_src5_src6_image_paths", "SELECT page_id, ['jpg', 'txt', 'webp'][page_id % 3 + 1] AS ext FROM pages WHERE page_id % 3 <> 1")(lambda t: t("pages").select("page_id", F.concat(F.lit("/images/0"), F.col("page_id") % 3 + 1, F.lit("/"), "page_id", F.lit("."), F.get(F.array(F.lit("JPG"), F.lit("txt"), F.lit("webp")), (F.col("page_id") % 3).cast("int"))).alias("path")).filter(text.is_image("path")).select("page_id", text.extension("path").alias("ext")))
 
 
 @query("ckp6_stage_cache", "SELECT label, count(*) AS n FROM embeddings GROUP BY 1")

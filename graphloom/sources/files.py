@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.functions.text import extension, file_name, is_image, media_type, stem, strip
+from graphloom.functions.text import escaped_json, extension, file_name, is_image, media_type, stem, strip
 from graphloom.plans.tables import materialize, shared_dir
 
 CORRUPT = "_corrupt_record"
+MOST_COPIES = 10_000
+"""Files that copy_images copies at most: a sample."""
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, strict: bool = True) -> DataFrame:
@@ -56,8 +58,12 @@ def encoded_images(images: DataFrame) -> DataFrame:
     return images.withColumns({"b64": F.base64("content"), "mime": media_type("path")})
 
 
-def write_jsonl(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
-    rows.write.mode(mode).json(path)
+def write_jsonl(rows: DataFrame, path: str, mode: str = "overwrite", ascii_only: bool = False) -> None:
+    """One JSON object a line; ascii_only: other code points as escapes, which readers decode."""
+    if ascii_only:
+        rows.select(escaped_json(F.to_json(F.struct(*rows.columns))).alias("value")).write.mode(mode).text(path)
+    else:
+        rows.write.mode(mode).json(path)
 
 
 def write_edges(edges: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -70,6 +76,55 @@ def write_blocks(contexts: DataFrame, path: str, mode: str = "overwrite") -> Non
     contexts.orderBy("rank").select(F.concat_ws("\n", F.concat(F.lit("Context "), F.col("rank").cast("string"), F.lit(":")), F.col("content"), F.lit("")).alias("value")).write.mode(mode).text(path)
 
 
+def copy_images(images: DataFrame, target: str) -> DataFrame:
+    """Copies the files of sampled images (path; a bounded sample) to the target folder, which is wiped first; the images as they lie there.
+
+    Copies go through the file systems of the paths, one by one, as the sample is small.
+    """
+    spark = images.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    to = jvm.org.apache.hadoop.fs.Path(target)
+    paths = sorted(r["path"] for r in images.select("path").distinct().limit(MOST_COPIES + 1).collect())
+    if len(paths) > MOST_COPIES:
+        raise ValueError(f"more than {MOST_COPIES} files to copy")
+    fs = to.getFileSystem(conf)
+    fs.delete(to, True)
+    fs.mkdirs(to)
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        jvm.org.apache.hadoop.fs.FileUtil.copy(at.getFileSystem(conf), at, fs, to, False, True, conf)
+    return read_images(spark, target)
+
+
+def write_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """One small file, through the file system of its path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
+def required(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of other, by key; a row whose key other lacks fails the query."""
+    found = rows.join(other.withColumn("_there", F.lit(True)), key, "left")
+    checked = F.when(F.col("_there").isNull(), F.raise_error(F.concat(F.lit(f"no {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(rows.schema[key].dataType)).otherwise(F.col(key))
+    return found.withColumn(key, checked).drop("_there")
+
+
+def question_images(rows: DataFrame, path: str) -> DataFrame:
+    """Adds image_id, the file name of an image before its only dot; a name of another form, or one that isn't an image's, fails."""
+    name = file_name(path)
+    good = is_image(path) & (F.size(F.split(name, "[.]")) == 2)
+    return rows.withColumn("image_id", F.when(good, F.split_part(name, F.lit("."), F.lit(1))).otherwise(F.raise_error(F.concat(F.lit("not an image: "), F.coalesce(F.col(path), F.lit("null"))))))
+
+
+def checked_done(done: DataFrame, key: str, kind: str, wanted: str) -> DataFrame:
+    """Finished rows (key, kind), all of which must be of the wanted kind, else the query fails."""
+    return done.withColumn(key, F.when(F.col(kind) == wanted, F.col(key)).otherwise(F.raise_error(F.lit(f"a finished row is not of kind {wanted}")).cast(done.schema[key].dataType)))
+
+
 def not_done(rows: DataFrame, done: DataFrame, key: str, again: str | None = None) -> DataFrame:
     """Rows whose key is not among the finished ones; again: a condition under which a finished row is to be done again."""
     done = done if again is None else done.filter(f"NOT coalesce({again}, false)")
@@ -104,8 +159,9 @@ def checked_copies(copied: DataFrame, required: DataFrame) -> DataFrame:
 
 
 def paired_prefix(ids: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Rows (pos, id, embedding) as far as both lists (pos, id) and (pos, embedding) go."""
-    return ids.join(vectors, "pos")
+    """Rows (pos, id, embedding) of two lists (pos, id) and (pos, embedding) that count from 0, the longer of which is cut to the shorter one's length."""
+    n = min(ids.count(), vectors.count())
+    return ids.filter(F.col("pos") < n).join(vectors.filter(F.col("pos") < n), "pos")
 
 
 def round_trip(rows: DataFrame, kind: str) -> DataFrame:
@@ -121,4 +177,4 @@ def round_trip(rows: DataFrame, kind: str) -> DataFrame:
     return materialize(rows, "round-trip")
 
 
-__all__ = ["cached_stage", "checked_copies", "encoded_images", "file_name", "not_done", "paired_prefix", "read_edges", "read_ids", "read_images", "read_jsonl", "resume", "round_trip", "write_blocks", "write_edges", "write_jsonl"]
+__all__ = ["cached_stage", "checked_copies", "checked_done", "copy_images", "encoded_images", "file_name", "not_done", "paired_prefix", "read_edges", "read_ids", "read_images", "read_jsonl", "required", "question_images", "resume", "round_trip", "write_blocks", "write_edges", "write_file", "write_jsonl"]

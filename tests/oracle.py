@@ -30,10 +30,12 @@ def rows_of_sql(sql: str, sf_dir: str) -> tuple[list[str], list[tuple]]:
     return found.columns, [tuple(plain(x) for x in r) for r in found.fetchall()]
 
 
-def same(df, sql: str, sf_dir: str) -> None:
+def same(df, sql: str, sf_dir: str) -> int:
+    """Number of rows, which are the same."""
     columns, expected = rows_of_sql(sql, sf_dir)
     assert sorted(df.columns) == sorted(columns)
     order = sorted(columns)
     got = sorted((tuple(plain(r[c]) for c in order) for r in df.collect()), key=repr)
     want = sorted((tuple(r[columns.index(c)] for c in order) for r in expected), key=repr)
     assert got == want
+    return len(got)

@@ -77,6 +77,48 @@ def test_plain_answer(spark):
     assert one(spark, text.contained_score("a", "b"), a=S("anything"), b=S("the")) == 100.0
 
 
+@pytest.mark.parametrize(("x", "plain"), [("Łódź", "lodz"), ("Кот", "kot"), ("Ærø straße", "aero strasse"), ("Ῥόδος", "rodos"), ("e\u0301te\u0301", "ete"), ("Đà Nẵng", "da nang"), ("щи-Борщ", "shchi borshch")])
+def test_other_letters_are_spelled(spark, x, plain):
+    assert one(spark, text.plain_answer("x"), x=S(x)) == plain
+
+
+@pytest.mark.parametrize(("x", "image"), [("a.tiff", True), ("A.SVG", True), ("http://h/a.png?x=1#y", True), ("https://h/a.jpeg;v=1", True), ("http://x.jpg", False), ("d/a.gif?x", False), (".jpg", False), ("..jpg", False), ("a.b/c", False), ("", False), (None, None)])
+def test_image_urls(spark, x, image):
+    assert one(spark, text.is_image_url("x"), x=S(x)) is image
+
+
+def test_videos(spark):
+    a = "array<string>"
+    for path, frames, video in (("any.txt", None, True), ("", None, True), (None, ["f.PNG", "x"], True), (None, ["x", "f.png"], False), (None, [], False), (None, None, False)):
+        assert one(spark, text.is_video("p", "f"), p=S(path), f=(a, frames)) is video
+
+
+def test_reference_answers(spark):
+    answers = lambda x: one(spark, text.reference_answers("x"), x=S(x))
+    got = answers('["a", 2, 2.5, {"wikidata": 7, "range": [6.5, 8]}, {"wikidata": 1, "range": [3]}]')
+    assert [(r["text"], r["number"], r["value"], r["low"], r["high"]) for r in got] == [("a", None, None, None, None), (None, 2.0, None, None, None), (None, 2.5, None, None, None), (None, None, "7", "6.5", "8"), (None, None, "1", "3", "3")]
+    assert one(spark, text.acceptable(text.reference_answers("x")), x=S('["a", 2]')) == "An acceptable answer is: a."
+    for bad in ('[["a"]]', '[{"wikidata": 1}]', "[true]", '{"a": 1}', "no list"):
+        with pytest.raises(Exception, match="neither a text|not a list"):
+            answers(bad)
+
+
+def test_ascii_json(spark):
+    import json
+
+    x = '{"s": "é 中 🙂 \\n"}'
+    got = one(spark, text.escaped_json("x"), x=S(x))
+    assert got.isascii()
+    assert json.loads(got) == json.loads(x)
+    assert "\\ud83d\\ude42" in got
+
+
+def test_messages_of_contexts(spark):
+    c = F.array(*[F.struct(F.lit(r).alias("rank"), F.lit(s).alias("score"), F.lit(k).alias("type"), F.lit(x).alias("content"), F.lit(n).cast("string").alias("names")) for r, s, k, x, n in ((2, 0.4, "T", "low", None), (3, 0.9, "V", "i.png", "ANN"), (1, 0.5, "S", "text", None))])
+    got = one(spark, text.message_text(text.context_messages(c, F.lit("why"), F.lit("q.png"))))
+    assert got == "text=[CONTEXT]|text=---Context 1---|text=text|text=---Context 3---|text=This is an image of: ANN|image_url=i.png|text=[QUESTION]\nwhy|text=[QUESTION IMAGE]|image_url=q.png|text=[QUESTION]\nwhy"
+
+
 def test_messages(spark):
     m = one(spark, text.embedding_message(F.lit("Do it"), F.lit(""), F.lit(None).cast("string"), F.lit(None).cast("string")))
     assert [p["text"] for p in m] == ["Do it.", "NULL"]
@@ -101,6 +143,15 @@ def test_common_subsequence(a, b):
     assert 0 <= compare.partial_ratio(a, b) <= 100
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text("abc ", max_size=9), st.text("abc ", max_size=20))
+def test_partial_ratio_is_the_best_piece(a, b):
+    short, long = sorted((a, b), key=len)
+    pieces = [long[i:j] for i in range(len(long)) for j in range(i + 1, len(long) + 1) if j - i == len(short) or (j - i < len(short) and (i == 0 or j == len(long)))]
+    want = max((compare.ratio(short, p) for p in pieces), default=0.0) if short else (100.0 if not long else 0.0)
+    assert compare.partial_ratio(a, b) == pytest.approx(want)
+
+
 def test_ratios():
     assert compare.partial_ratio("art", "cartoon") == 100.0
     assert compare.token_set_ratio("a b", "b a c") == 100.0
@@ -124,6 +175,49 @@ def test_short_lines_go_both_ways():
     assert compare.paragraphs("a", 3) == ["a"]
 
 
+@pytest.mark.parametrize(
+    ("lines", "packed"),
+    [
+        ("", []),
+        ("\n \n", []),
+        ("a\n\nb", ["a\n\nb"]),  # a blank line stays where something waits for it
+        ("a\n", ["a\n"]),
+        ("a b c", ["a b c"]),
+        ("a b c\n\nd e f", ["a b c", "d e f"]),
+        ("a b c\nd\ne\nf", ["a b c\nd\nd\ne", "d\ne\nf"]),  # what is too short ends the paragraph before, anew with every line
+        ("a b c\nd\n\n", ["a b c\nd\nd\n\nd\n\n"]),
+        ("a\nb c d e\nf g h", ["a\nb c d e", "f g h"]),
+    ],
+)
+def test_packed_lines(lines, packed):
+    assert compare.paragraphs(lines, 3) == packed
+
+
+@pytest.mark.parametrize(
+    ("faithful", "chunks"),
+    [
+        # Under six words a chunk, two carried over: "f g." doesn't fit and is lost; "h." and "i j." follow what was carried.
+        (True, ["a b. c d. e.", "c d. e. h.", "e. h. k l."]),
+        (False, ["a b. c d. e.", "c d. e. f g.", "f g. h. i j.", "i j. k l."]),
+    ],
+)
+def test_windows_of_sentences(faithful, chunks):
+    p = "a b. c d. e. f g. h. i j. k l."
+    assert compare.sentence_windows(p, 6, 2, faithful) == chunks
+    assert compare.sentence_windows("a b c d e f g h. i.", 6, 2, True) == ["", "i."]  # a sentence that is too long leaves an empty chunk
+    assert compare.sentence_windows("a b", 6, 2, True) == ["a b"]
+
+
+def test_judges_parse_their_prompts():
+    import json
+
+    ask = lambda f, task, **parts: json.loads(f(models.PROMPTS[task].format(**parts))[0])
+    assert ask(models.stand_in_statements, "statements", text="One is. Two?\nThree") == ["One is.", "Two?", "Three"]
+    assert ask(models.stand_in_correctness, "correctness", text='["a", "b"]', gold='["b", "c"]') == {"TP": ["b"], "FP": ["a"], "FN": ["c"]}
+    assert [v["verdict"] for v in ask(models.stand_in_verdicts, "attribution", question="q", context="the A b", statements='["a B", "c"]')] == [1, 0]
+    assert models.stand_in_rating(models.PROMPTS["relevance"].format(question="b a", context="a b c"))[0] == "2 of 2"
+
+
 def test_retry():
     calls = []
 

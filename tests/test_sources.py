@@ -70,3 +70,46 @@ def test_cached_stage(spark, tmp_path):
         n = files.cached_stage(spark, str(tmp_path / "s"), lambda: made.append(1) or spark.range(4)).count()
     assert n == 4
     assert len(made) == 1
+
+
+def test_pairs_go_as_far_as_the_shorter_list(spark):
+    ids = spark.range(5).selectExpr("id AS pos", "id + 10 AS id")
+    vectors = spark.range(3).selectExpr("id AS pos", "array(id) AS embedding")
+    assert sorted(r["id"] for r in files.paired_prefix(ids, vectors).collect()) == [10, 11, 12]
+
+
+def test_copies_replace_the_folder(spark, tmp_path, monkeypatch):
+    for n in ("a.jpg", "b.png", "c.txt"):
+        (tmp_path / n).write_bytes(n.encode())
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "old.jpg").write_bytes(b"old")
+    images = files.read_images(spark, str(tmp_path))
+    got = {r["id"]: bytes(r["content"]) for r in files.copy_images(images, str(tmp_path / "out")).collect()}
+    assert got == {"a": b"a.jpg", "b": b"b.png"}
+    monkeypatch.setattr(files, "MOST_COPIES", 1)
+    with pytest.raises(ValueError, match="more than 1"):
+        files.copy_images(images, str(tmp_path / "out"))
+
+
+def test_what_is_missing_fails(spark):
+    a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "x")], "k int, v string")
+    assert [tuple(r) for r in files.required(a.limit(1), b, "k").collect()] == [(1, "x")]
+    with pytest.raises(Exception, match="no k 2"):
+        files.required(a, b, "k").collect()
+    with pytest.raises(Exception, match="not of kind N"):
+        files.checked_done(spark.createDataFrame([("x", "T")], "id string, kind string"), "id", "kind", "N").collect()
+    named = lambda x: files.question_images(spark.createDataFrame([(x,)], "f string"), "f").first()["image_id"]
+    assert named("/d/q1.JPG") == "q1"
+    for bad in ("q1.txt", "a.b.jpg", "jpg", None):
+        with pytest.raises(Exception, match="not an image"):
+            named(bad)
+
+
+def test_samples(spark):
+    from graphloom.operators.sampling import sample_a_group, sample_rows
+
+    rows = spark.range(20).selectExpr("id", "id % 3 AS g")
+    assert {r["id"] for r in sample_rows(rows, "id", 5).collect()} == {r["id"] for r in sample_rows(rows.repartition(4), "id", 5).collect()}
+    assert sample_a_group(rows, "g", "id", 2).count() == 6
+    with pytest.raises(ValueError, match="fewer than 21"):
+        sample_rows(rows, "id", 21)
