@@ -25,8 +25,17 @@ def test_ten_queries():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
 
 
-def test_rest_imports_without_llm(tmp_path):
+@pytest.mark.parametrize("left", [(), ("corpus_pipeline.py",)])
+def test_rest_works_without_llm(tmp_path, left):
+    """Also where the pipeline is left behind, whose operators are gone: the entry doesn't offer it."""
     shutil.copytree(ROOT / "graphloom", tmp_path / "graphloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; assert not [n for n in e.queries() if n.startswith('op') or n == 'pipeline']; assert e.oracle_sql()"
+    for name in ("__spark_entry__.py", *left):
+        shutil.copy(ROOT / name, tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100; assert not [n for n in q if n.startswith('op') or n == 'pipeline']; assert e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"}, check=True)
+
+
+def test_entry_offers_all():
+    import __spark_entry__
+
+    assert {"pipeline", *QUERIES} <= set(__spark_entry__.queries())
