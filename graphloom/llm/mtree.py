@@ -9,7 +9,7 @@ that are nearest to each. A cell's rows are dealt over trees of about `tree_rows
 repeated, makes a large tree. A tree is bulk loaded: a page keeps its entries' vectors (routing or ground objects),
 covering radii and distances to the page's own routing object. A query descends best first: a queue of pages by their
 least possible distance; an entry is looked at only if the difference of two stored or known distances, less its radius,
-is not beyond the k-th best found; the search ends when the nearest page left is beyond it. Bounds carry a small
+is not beyond the k-th best found; the search ends when the nearest page left is beyond it. The queries of a block go down together, a matrix product a page. Bounds carry a small
 margin for rounding, scores are exact integers (of 64 bits).
 
 A query first searches one tree of its nearest cell. The k-th best found there bounds all else: the query goes on only to the trees of cells whose least possible
@@ -36,12 +36,14 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import materialize, shuffle_width
 
-PAGE = 128
+PAGE = 256
 """Most entries of a leaf page; an inner page has as many children."""
-CELL_ROWS = 2048
+CELL_ROWS = 8192
 """Rows of a cell, about, while there are fewer than the most cells."""
 EXACT = 1 << 24
 """Whole numbers below this are exact in 32 bits."""
+NONE = -(1 << 62)
+"""Below all scores."""
 WHOLE = 1 << 53
 """Squared norms below this, and so all scores, are exact in doubles; beyond, vectors are kept as 64-bit integers."""
 
@@ -102,47 +104,55 @@ class MTree:
         radius = np.array([self._far(own, self.x[r], self.aux[r]).max() for r, own in parts])
         return Page(self.x[routers], self.aux[routers], away(routers), radius=radius, children=children)
 
-    def nearest(self, q: np.ndarray, own_id: int, k: int, least: float = -np.inf) -> list[tuple[int, int]]:
-        """(score, id) of the k best objects but the query's own that score `least` at least, best first."""
+    def nearest(self, q: np.ndarray, own: np.ndarray, k: int, least: np.ndarray) -> list[list[tuple[int, int]]]:
+        """For each query (own id, least score asked for) the (score, id) of the k best objects but its own that score `least` at least, best first.
+
+        The queries of a block go down together: a page is taken by the least distance that it may have from any of them, and looked at for those that it may still serve.
+        """
         q = q.astype(self.x.dtype)
-        qq = float(q @ q)
-        margin = margin_of(qq, self.top)
-        best: list[tuple[int, int]] = []  # heap of (score, -id), the worst first
-        reach = reach_of(qq, self.top, least)
-        queue: list[tuple[float, int, Page, float]] = [(0.0, 0, self.root, -1.0)]
+        qq = (q * q).sum(1).astype(np.float64)
+        margin = 1e-9 * (1.0 + np.sqrt(qq) + np.sqrt(self.top))
+        reach = np.where(np.isfinite(least), np.sqrt(np.maximum(qq + self.top - 2 * np.where(np.isfinite(least), least, 0.0), 0.0)), np.inf) + margin
+        best_score, best_id = np.full((len(q), k), NONE, np.int64), np.full((len(q), k), -NONE, np.int64)
+        queue: list[tuple[float, int, Page, np.ndarray | None, np.ndarray]] = [(0.0, 0, self.root, None, np.zeros(len(q)))]
         made = 1
         while queue:
-            bound, _, page, d_parent = heapq.heappop(queue)
-            if bound > reach + margin:
+            bound, _, page, d_parent, low = heapq.heappop(queue)
+            if bound > reach.max():
                 break
-            size = page.radius if page.radius is not None else 0.0
-            if d_parent >= 0:
-                near = np.flatnonzero(np.abs(d_parent - page.to_parent) - size <= reach + margin)
-            else:
-                near = np.arange(len(page.to_parent))
-            if not len(near):
+            on = np.flatnonzero(low <= reach)
+            if not len(on):
+                continue
+            far = reach[on][:, None]
+            need = np.ones((len(on), len(page.to_parent)), bool)
+            if d_parent is not None:
+                # Entries that the triangle inequality rules out for all are not looked at.
+                need = np.abs(d_parent[on][:, None] - page.to_parent) - (0.0 if page.radius is None else page.radius) <= far
+            some = np.flatnonzero(need.any(0))
+            if not len(some):
                 continue
-            score = page.vec[near] @ q
-            d = np.sqrt(np.maximum(qq + self.top - 2 * score, 0.0))
+            need = need[:, some]
+            score = q[on] @ page.vec[some].T
             if page.rows is None:
-                low = np.maximum(d - page.radius[near], 0.0)
-                for j in np.flatnonzero(low <= reach + margin):
-                    heapq.heappush(queue, (float(low[j]), made, page.children[near[j]], float(d[j])))
+                d = np.sqrt(np.maximum(qq[on][:, None] + self.top - 2.0 * score, 0.0))
+                lows = np.where(need, np.maximum(d - page.radius[some], 0.0), np.inf)
+                lows[lows > far] = np.inf
+                for j in np.flatnonzero(np.isfinite(lows).any(0)).tolist():
+                    child_low, child_d = np.full(len(q), np.inf), np.zeros(len(q))
+                    child_low[on], child_d[on] = lows[:, j], d[:, j]
+                    heapq.heappush(queue, (float(lows[:, j].min()), made, page.children[some[j]], child_d, child_low))
                     made += 1
                 continue
-            ids = self.ids[page.rows[near]]
-            go = (ids != own_id) & (score >= least)
-            if len(best) == k:
-                go &= score >= best[0][0]
-            order = np.lexsort((ids[go], -score[go]))[:k]
-            for s, i in zip(score[go][order].tolist(), ids[go][order].tolist(), strict=True):
-                if len(best) < k:
-                    heapq.heappush(best, (int(s), -i))
-                elif (int(s), -i) > best[0]:
-                    heapq.heapreplace(best, (int(s), -i))
-            if len(best) == k:
-                reach = reach_of(qq, self.top, best[0][0])
-        return [(s, -i) for s, i in sorted(best, reverse=True)]
+            ids = self.ids[page.rows[some]]
+            good = need & (ids != own[on][:, None]) & (score >= least[on][:, None]) & (score >= best_score[on, -1][:, None])
+            for r in np.flatnonzero(good.any(1)).tolist():
+                i = on[r]
+                s, n = np.append(best_score[i], score[r, good[r]].astype(np.int64)), np.append(best_id[i], ids[good[r]])
+                order = np.lexsort((n, -s))[:k]
+                best_score[i], best_id[i] = s[order], n[order]
+                if best_score[i, -1] > NONE:
+                    reach[i] = np.sqrt(max(qq[i] + self.top - 2.0 * best_score[i, -1], 0.0)) + margin[i]
+        return [[(s, n) for s, n in zip(x, y, strict=True) if s > NONE] for x, y in zip(best_score.tolist(), best_id.tolist(), strict=True)]
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -261,7 +271,9 @@ def _searched(asks: DataFrame, trees: DataFrame, k: int, blocks: int) -> DataFra
             for own, blob, asked, n in zip(*b.columns, strict=True):
                 if own.as_py() != name:
                     name, tree = own.as_py(), pickle.loads(blob.as_py())
-                found = [(a["key"], a["id"], i, s) for a in asked.as_py() for s, i in tree.nearest(unpacked(a["x"], n.as_py()), a["id"], k, a["least"])]
+                asked = asked.as_py()
+                got = tree.nearest(np.stack([unpacked(a["x"], n.as_py()) for a in asked]), np.array([a["id"] for a in asked], np.int64), k, np.array([a["least"] for a in asked], float))
+                found = [(a["key"], a["id"], i, s) for a, own in zip(asked, got, strict=True) for s, i in own]
                 yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(4)], ["key", "query_id", "id", "score"])
 
     return met.mapInArrow(run, "key long, query_id long, id long, score long")
@@ -291,7 +303,7 @@ def _onward(asks: DataFrame, cells) -> DataFrame:
     return asks.mapInArrow(run, "length int, cell int, tree int, key long, id long, x binary, least double")
 
 
-def top_inner_products(vectors: DataFrame, id_col: str, vector_col: str, is_query, k: int = 5, scale: float = 256.0, tree_rows: int = 8192, block_queries: int = 4096, most_cells: int = 256) -> DataFrame:
+def top_inner_products(vectors: DataFrame, id_col: str, vector_col: str, is_query, k: int = 5, scale: float = 256.0, tree_rows: int = 8192, block_queries: int = 1024, most_cells: int = 256) -> DataFrame:
     """(query_id, rank, id, score): the k rows of largest inner product for every row that satisfies is_query (a column)."""
     sc = vectors.sparkSession.sparkContext
     rows = vectors.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("q"))

@@ -372,8 +372,11 @@ def test_tree_is_exact():
     for q in (0, 5, 1000):
         s = (x @ x[q]).astype(np.int64)
         want = sorted((-int(v), int(i)) for v, i in zip(s, ids, strict=True) if i != ids[q])[:5]
-        assert [(-v, i) for v, i in tree.nearest(x[q], int(ids[q]), 5)] == want
-        assert [(-v, i) for v, i in tree.nearest(x[q], int(ids[q]), 5, least=float(-want[2][0]))] == [w for w in want if w[0] <= want[2][0]]
+        near = lambda k, *least, q=q: [(-v, i) for v, i in tree.nearest(x[[q]], ids[[q]], k, np.array([*least, -np.inf][:1]))[0]]
+        assert near(5) == want
+        assert near(5, float(-want[2][0])) == [w for w in want if w[0] <= want[2][0]]
+    both = tree.nearest(x[[0, 1000]], ids[[0, 1000]], 3, np.full(2, -np.inf))
+    assert both == [tree.nearest(x[[q]], ids[[q]], 3, np.full(1, -np.inf))[0] for q in (0, 1000)]
 
 
 @pytest.mark.parametrize("kind", ["groups", "even", "large"])
