@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import entity_key, has_word, numbered, part_id, strip
 from graphloom.operators.components import connected_components
-from graphloom.plans.tables import materialize
+from graphloom.plans.tables import discard, materialize
 
 
 def both_ways(pairs: DataFrame, a: str = "a", b: str = "b", w: Column | float = 1.0) -> DataFrame:
@@ -194,24 +194,37 @@ def mass_cut(scores: DataFrame, share: float = 0.25) -> DataFrame:
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """(source, node_id, dist, path): paths of least sum of 1 / weight from each source; ties to the smaller path.
+    """(source, node_id, dist, path): paths of least sum of 1 / weight from each source; of equal ones that by the smaller last node before.
 
     All sources relax together until the frontier, what got nearer in the last round, is empty; a round is a step of the longest path, and beyond most_rounds it fails.
+    Rounds carry distances and predecessors alone; the paths are put together at the end, twice as long in every step.
     """
     steps = materialize(edges.select("src", "dst", (1 / F.col("w")).alias("cost")), "steps")
-    best = sources.select("source", F.col("source").alias("node_id"), F.lit(0.0).alias("dist"), F.array(F.col("source").cast("string")).alias("path"))
+    node = edges.schema["src"].dataType
+    best = materialize(sources.select("source", F.col("source").cast(node).alias("node_id"), F.lit(0.0).alias("dist"), F.lit(None).cast(node).alias("up")).distinct(), "paths")
     front = best
     for _ in range(most_rounds):
-        grown = front.join(steps, F.col("node_id") == F.col("src")).filter(~F.array_contains("path", F.col("dst").cast("string")))
-        grown = grown.select("source", F.col("dst").alias("node_id"), F.round(F.col("dist") + F.col("cost"), 9).alias("dist"), F.concat("path", F.array(F.col("dst").cast("string"))).alias("path"))
-        merged = grown.unionByName(best).groupBy("source", "node_id").agg(F.min(F.struct("dist", "path")).alias("b")).select("source", "node_id", "b.dist", "b.path")
+        grown = front.join(steps, F.col("node_id") == F.col("src")).filter(F.col("dst") != F.col("source").cast(node))
+        grown = grown.select("source", F.col("dst").alias("node_id"), F.round(F.col("dist") + F.col("cost"), 9).alias("dist"), F.col("node_id").alias("up"))
+        merged = grown.unionByName(best).groupBy("source", "node_id").agg(F.min(F.struct("dist", "up")).alias("b")).select("source", "node_id", "b.dist", "b.up")
         merged = materialize(merged, "paths")
-        front = merged.join(best.select("source", "node_id", F.col("dist").alias("_d"), F.col("path").alias("_p")), ["source", "node_id"], "left").filter(F.col("_d").isNull() | (F.col("dist") < F.col("_d")) | (F.col("path") != F.col("_p"))).drop("_d", "_p")
-        front = materialize(front, "front")
+        nearer = merged.join(best.select("source", "node_id", F.col("dist").alias("_d")), ["source", "node_id"], "left").filter(F.col("_d").isNull() | (F.col("dist") < F.col("_d"))).drop("_d")
+        spent, front = (best, front), materialize(nearer, "front")
         best = merged
+        discard(*spent)
         if not front.limit(1).count():
-            return best
-    raise RuntimeError(f"paths not settled in {most_rounds} rounds")
+            break
+    else:
+        raise RuntimeError(f"paths not settled in {most_rounds} rounds")
+    # Each row has the end of its path, and which node it goes on from.
+    rows = best.withColumn("path", F.array(F.col("node_id").cast("string")))
+    while rows.filter("up IS NOT NULL").limit(1).count():
+        ends = rows.select("source", F.col("node_id").alias("up"), F.col("path").alias("_path"), F.col("up").alias("_up"))
+        whole = F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path"))
+        longer = rows.join(ends, ["source", "up"], "left").select("source", "node_id", "dist", F.col("_up").alias("up"), whole.alias("path"))
+        spent, rows = rows, materialize(longer, "paths")
+        discard(spent)
+    return rows.select("source", "node_id", "dist", "path")
 
 
 def paths_from(edges: DataFrame, entries: DataFrame | None = None) -> DataFrame:
