@@ -196,6 +196,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     chunk = lambda c: spark.sparkContext.broadcast(build_sets([(r.item, bytes(r.window)) for r in (windows.filter(F.pmod(F.xxhash64("window"), F.lit(chunks)) == c) if chunks > 1 else windows).collect()]))
     if chunks == 1:
         out = _search(docs, chunk(0), docs.columns.index(text_col), docs.columns, T.StructType([*docs.schema.fields, *found]), False)
+        discard(windows)
         return out.withColumn("n_hit", F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]))
     (c_key,) = spare(docs.columns, "text_key")
     key = F.unhex(F.md5(F.col(text_col).cast("string").cast("binary"))).alias(c_key)
@@ -209,7 +210,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         sent.destroy()
     merged = reduce(DataFrame.unionByName, passes).groupBy(c_key).agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     merged = materialize(merged, "window-hits")
-    discard(*passes)
+    discard(windows, *passes)
     if merged.count() <= MOST_SENT:
         merged = F.broadcast(merged)
     counted = _search(docs, spark.sparkContext.broadcast([]), docs.columns.index(text_col), docs.columns, T.StructType([*docs.schema.fields, *found]), False).drop("hits", "items")
