@@ -86,7 +86,7 @@ query("jn14_image_seed_expansion", f"WITH {TREE} SELECT DISTINCT 'q' || src AS q
 query("jn16_image_captions", "SELECT page_id, string_agg(p_name, chr(10) ORDER BY p_partkey) AS caption FROM pages LEFT JOIN part ON p_size = page_id GROUP BY 1")(lambda t: t("pages").select("page_id").join(t("part").select(F.col("p_size").cast("long").alias("page_id"), "p_partkey", "p_name"), "page_id", "left").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("l")).select("page_id", F.when(F.exists("l", lambda x: x["p_name"].isNotNull()), F.array_join(F.transform("l", lambda x: x["p_name"]), "\n")).alias("caption")))
 query("jn17_earlier_success", "SELECT d.doc_id AS qid, CASE WHEN d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) OR d.doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 1 END AS score FROM documents d")(lambda t: evaluate.earlier_success(t("documents").select(F.col("doc_id").alias("qid")), t("labels").select(F.col("doc_id").alias("qid"), F.col("quality").alias("score")), t("labels").select(F.col("doc_id").alias("qid"), F.col("toxic").alias("score"))))
 query("jn19_grf17_agg12_neighbour_lists", "SELECT n_nationkey, array_to_string(list('[' || i || '] ' || s_name ORDER BY i), chr(10)) AS listed FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i FROM supplier) JOIN nation ON n_nationkey = s_nationkey GROUP BY 1")(lambda t: t("nation").join(t("supplier"), F.col("n_nationkey") == F.col("s_nationkey")).groupBy("n_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("l")).select("n_nationkey", text.numbered(F.transform("l", lambda x: x["s_name"])).alias("listed")))
-query("jn20_completeness", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")(lambda t: t("documents").select("doc_id").join(t("embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti"))
+query("jn20_completeness", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT vec_id FROM embeddings)")(lambda t: t("orders").select("o_orderkey").join(t("embeddings").select(F.col("vec_id").alias("o_orderkey")), "o_orderkey", "left_anti"))
 
 # --- aggregates -------------------------------------------------------------------------------------------------
 
@@ -94,7 +94,7 @@ query("agg1_txt26_word_counts", "SELECT count(*) AS n, CAST(sum(len(list_filter(
 query("agg3_type_counts", "SELECT label, count(*) AS n FROM embeddings GROUP BY 1")(lambda t: t("embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n")))
 query("agg8_context_lengths", f"WITH {UNITS}, w AS (SELECT len(list_filter(string_split_regex(u, '\\s+'), lambda w: w <> '')) AS n FROM units) SELECT min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM w")(lambda t: units(t).select(text.word_count("u").cast("long").alias("n")).agg(F.min("n").alias("least"), F.max("n").alias("most"), r6(F.avg("n")).alias("mean")))
 query("agg9_default_k", f"WITH {TREE}, v AS (SELECT count(DISTINCT src) AS v, sum(w) AS d FROM edges) SELECT CAST(floor(ln(v) * sqrt(d / v)) AS BIGINT) AS k FROM v")(lambda t: (lambda e: graph.default_k(e.select("src").distinct(), e))(key_tree(t)))
-query("agg10_important_nodes", f"WITH {TREE} SELECT src AS node_id, sum(w) AS degree FROM edges WHERE src LIKE 'N%' GROUP BY 1 HAVING sum(w) >= 100")(lambda t: (lambda e: graph.important(e.select(F.col("src").alias("node_id"), F.left("src", F.lit(1)).alias("node_type")).distinct(), e, 100))(key_tree(t)))
+query("agg10_important_nodes", f"WITH {TREE} SELECT src AS node_id, sum(w) AS degree FROM edges WHERE src LIKE 'N%' GROUP BY 1 HAVING sum(w) >= 25")(lambda t: (lambda e: graph.important(e.select(F.col("src").alias("node_id"), F.left("src", F.lit(1)).alias("node_type")).distinct(), e, 25))(key_tree(t)))
 query("agg11_inverted_index", f"WITH {UNITS}, x AS (SELECT DISTINCT upper(e) AS entity, 'T' || doc_id AS n FROM mentions) SELECT entity, array_to_string(list_sort(list(n)), ',') AS nodes FROM x GROUP BY 1")(lambda t: graph.inverted_index(mentions(t).groupBy(F.concat(F.lit("T"), "doc_id").alias("node_id")).agg(F.collect_set(F.upper("e")).alias("names")).withColumn("node_type", F.lit("N"))).withColumn("nodes", F.array_join("nodes", ",")))
 query("agg13_recall_means", "SELECT round(avg(quality), 6) AS recall, round(avg(toxic), 6) AS tokens, count(*) AS n FROM labels WHERE quality IS NOT NULL")(lambda t: evaluate.recall_means(t("labels").select(F.col("quality").alias("context_recall"), F.col("toxic").alias("tokens"))))
 query("agg14_accuracy", "SELECT CAST(sum(quality) AS BIGINT) AS correct, count(*) AS n, round(avg(quality), 6) AS accuracy FROM labels WHERE quality IN (0, 1)")(lambda t: evaluate.accuracy(t("labels").withColumnRenamed("quality", "score")))
