@@ -53,7 +53,6 @@ class Page:
     """rows: numbers of ground objects (leaf), else None. vec: of the entries; to_parent: their distance to this page's routing object."""
 
     vec: np.ndarray
-    aux: np.ndarray
     to_parent: np.ndarray
     rows: np.ndarray | None = None
     radius: np.ndarray | None = None
@@ -80,9 +79,12 @@ class MTree:
             vectors = vectors.astype(np.int64)
         self.x = vectors
         self.aux = np.sqrt(np.maximum(self.top - norm, 0.0))
+        self.kind = vectors.dtype
+        self.stored = np.float32 if len(vectors) and np.abs(vectors).max() < EXACT else self.kind
         self.rng = np.random.default_rng(seed)
         self.root = self._build(np.arange(len(ids)), None)
-        del self.rng
+        # The pages have the vectors now.
+        del self.rng, self.x, self.aux
 
     def _far(self, rows: np.ndarray, v: np.ndarray, a: float) -> np.ndarray:
         """Distances of objects to the object (v, a)."""
@@ -91,7 +93,7 @@ class MTree:
     def _build(self, rows: np.ndarray, parent: tuple[np.ndarray, float] | None) -> Page:
         away = lambda r: np.zeros(len(r)) if parent is None else self._far(r, *parent)
         if len(rows) <= PAGE:
-            return Page(self.x[rows], self.aux[rows], away(rows), rows=rows)
+            return Page(self.x[rows].astype(self.stored), away(rows), rows=rows)
         k = min(PAGE, -(-len(rows) // (PAGE // 2)))
         routers = self.rng.choice(rows, k, replace=False)
         close = self.x[rows] @ self.x[routers].T + np.outer(self.aux[rows], self.aux[routers])
@@ -102,14 +104,14 @@ class MTree:
         routers = np.array([r for r, _ in parts])
         children = [self._build(own, (self.x[r], self.aux[r])) for r, own in parts]
         radius = np.array([self._far(own, self.x[r], self.aux[r]).max() for r, own in parts])
-        return Page(self.x[routers], self.aux[routers], away(routers), radius=radius, children=children)
+        return Page(self.x[routers].astype(self.stored), away(routers), radius=radius, children=children)
 
     def nearest(self, q: np.ndarray, own: np.ndarray, k: int, least: np.ndarray) -> list[list[tuple[int, int]]]:
         """For each query (own id, least score asked for) the (score, id) of the k best objects but its own that score `least` at least, best first.
 
         The queries of a block go down together: a page is taken by the least distance that it may have from any of them, and looked at for those that it may still serve.
         """
-        q = q.astype(self.x.dtype)
+        q = q.astype(self.kind)
         qq = (q * q).sum(1).astype(np.float64)
         margin = 1e-9 * (1.0 + np.sqrt(qq) + np.sqrt(self.top))
         reach = np.where(np.isfinite(least), np.sqrt(np.maximum(qq + self.top - 2 * np.where(np.isfinite(least), least, 0.0), 0.0)), np.inf) + margin
@@ -132,7 +134,7 @@ class MTree:
             if not len(some):
                 continue
             need = need[:, some]
-            score = q[on] @ page.vec[some].T
+            score = q[on] @ page.vec[some].astype(self.kind).T
             if page.rows is None:
                 d = np.sqrt(np.maximum(qq[on][:, None] + self.top - 2.0 * score, 0.0))
                 lows = np.where(need, np.maximum(d - page.radius[some], 0.0), np.inf)
