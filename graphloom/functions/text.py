@@ -66,6 +66,11 @@ def is_video(path: Column | str, frames: Column | str) -> Column:
     return _c(path).isNotNull() | F.coalesce((F.size(_c(frames)) > 0) & is_image_url(F.get(_c(frames), 0)), F.lit(False))
 
 
+def base64(content: Column | str) -> Column:
+    """In one line; Spark's own breaks it after 76 signs."""
+    return F.replace(F.base64(_c(content)), F.lit("\r\n"), F.lit(""))
+
+
 def media_type(path: Column | str) -> Column:
     known = F.create_map(*[F.lit(v) for kv in IMAGE_TYPES.items() for v in kv])
     return F.coalesce(F.try_element_at(known, extension(path)), F.lit("image/jpeg"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.functions.text import escaped_json, extension, file_name, is_image, media_type, stem, strip
+from graphloom.functions.text import base64, escaped_json, extension, file_name, is_image, media_type, stem, strip
 from graphloom.plans.tables import materialize, shared_dir
 
 CORRUPT = "_corrupt_record"
@@ -55,7 +55,7 @@ def read_images(spark: SparkSession, *paths: str, recursive: bool = False) -> Da
 
 def encoded_images(images: DataFrame) -> DataFrame:
     """Adds b64 and mime."""
-    return images.withColumns({"b64": F.base64("content"), "mime": media_type("path")})
+    return images.withColumns({"b64": base64("content"), "mime": media_type("path")})
 
 
 def write_jsonl(rows: DataFrame, path: str, mode: str = "overwrite", ascii_only: bool = False) -> None:
