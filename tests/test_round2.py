@@ -16,3 +16,9 @@ def against_sql(spark, tmp_path, name, **tables):
 def test_long_names_in_one_line(spark, tmp_path):
     rows = [(1, "http://a.example/" + "x" * 100 + ".png"), (2, "http://a.example/" + "ü" * 200), (3, "")]
     assert against_sql(spark, tmp_path, "src7_base64_media_type", pages=(rows, "page_id long, url string")) == 3
+
+
+def test_references_begin_with_a_word(spark, tmp_path):
+    said = ["Er and th erhe", "Ly or-the ends", "one", "Ça  va\nof é", "The the of"]
+    rows = [r for i, a in enumerate(said) for r in ((i, 0, "user", "q"), (i, 1, "assistant", a))]
+    assert against_sql(spark, tmp_path, "txt12_met7_contained_answers", conversations=(rows, "conv_id long, turn int, role string, text string")) == len(said)
