@@ -110,12 +110,24 @@ def word_count(x: Column | str) -> Column:
 # --- matching ---------------------------------------------------------------------------------------------------
 
 
+def upper(x: Column | str) -> Column:
+    """Upper case letter by letter: ß has a capital of its own instead of two letters, which "SS" in another text would equal."""
+    return F.upper(F.replace(_c(x), F.lit("ß"), F.lit("ẞ")))
+
+
 def has_word(text: Column | str, name: Column | str) -> Column:
     """name stands in text as whole words, whatever the case. Cheap containment is tried before the pattern."""
     t, n = F.upper(_c(text)), F.upper(_c(name))
     return F.contains(t, n) & F.regexp_like(t, F.concat(F.lit("\\b\\Q"), F.replace(n, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E\\b")))
 
 
+def stands_alone(text: Column | str, name: Column | str) -> Column:
+    """name stands in text with no letter, number or underscore next to it, whatever the case and whatever sign it ends with itself; has_word asks for a word's border there."""
+    t, n = upper(text), upper(name)
+    alone = F.concat(F.lit("(?<![\\p{L}\\p{N}_])\\Q"), F.replace(n, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E(?![\\p{L}\\p{N}_])"))
+    return F.contains(t, n) & F.regexp_like(t, alone)
+
+
 # Fixed values: [A-Z0-9] of plain forms and [A-Z]+ of initials.
 
 

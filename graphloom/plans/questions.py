@@ -91,15 +91,18 @@ query("top11_rerank_one_question", f"WITH {MUTUAL} SELECT src AS qid, dst AS nod
 
 def answers_in_contexts(wanted: DataFrame, contexts: DataFrame) -> DataFrame:
     """(a_id, c_id) where an answer (a_id, answer) stands in a context (c_id, context) as whole words, whatever the case. An equi-join on the answer's longest word comes first."""
-    parts = lambda x: F.filter(F.split(F.upper(x), "[^\\p{L}\\p{N}_]+"), lambda w: w != "")
+    parts = lambda x: F.filter(F.split(text.upper(x), "[^\\p{L}\\p{N}_]+"), lambda w: w != "")
     asked = wanted.withColumn("w", F.get(F.array_sort(parts("answer"), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).otherwise(F.when(a < b, -1).when(a > b, 1).otherwise(0))), 0))
     words = contexts.select("c_id", F.explode(F.array_distinct(parts("context"))).alias("w"))
     met = words.join(asked.filter("w IS NOT NULL"), "w").select("a_id", "answer", "c_id").distinct()
-    return met.join(contexts, "c_id").filter(text.has_word("context", "answer")).select("a_id", "c_id")
+    found = met.join(contexts, "c_id").filter(text.stands_alone("context", "answer")).select("a_id", "c_id")
+    # An answer of signs alone has no word to join on: it meets all contexts.
+    bare = asked.filter("w IS NULL AND answer IS NOT NULL").select("a_id", "answer")
+    return found.unionByName(contexts.crossJoin(bare).filter(text.stands_alone("context", "answer")).select("a_id", "c_id"))
 
 
 query("jn18_answer_in_context", "WITH u AS MATERIALIZED (SELECT doc_id, upper(text) AS u FROM documents), b AS MATERIALIZED (SELECT item_id, upper(regexp_replace(text, '[.!? ]+$', '')) AS a FROM benchmark), c AS MATERIALIZED (SELECT item_id, doc_id, a, u FROM b JOIN u ON contains(u, a)) SELECT item_id AS a_id, doc_id AS c_id FROM c WHERE regexp_matches(u, '(^|[^\\pL\\pN_])' || regexp_escape(a) || '($|[^\\pL\\pN_])')")(
-    lambda t: answers_in_contexts(t("benchmark").select(F.col("item_id").alias("a_id"), F.regexp_replace("text", "[.!? ]+$", "").alias("answer")), t("documents").select(F.col("doc_id").alias("c_id"), F.col("text").alias("context")))
+    lambda t: answers_in_contexts(t("benchmark").select(F.col("item_id").alias("a_id"), F.regexp_replace("text", "[.!? ]+\\z", "").alias("answer")), t("documents").select(F.col("doc_id").alias("c_id"), F.col("text").alias("context")))
 )
 query("txt11_plain_answers", "SELECT doc_id, array_to_string(list_filter(string_split_regex(regexp_replace(replace(replace(strip_accents(lower(text)), 'ß', 'ss'), '-', ' '), '[^a-z0-9\\s]', '', 'g'), '\\s+'), lambda w: w <> '' AND w NOT IN ('and', 'or', 'the', 'of')), ' ') AS plain FROM documents")(lambda t: t("documents").select("doc_id", text.plain_answer("text").alias("plain")))
 query("txt5_acronyms", "SELECT c_custkey, c_custkey % 5 <> 3 AS ok FROM customer")(

@@ -22,3 +22,10 @@ def test_references_begin_with_a_word(spark, tmp_path):
     said = ["Er and th erhe", "Ly or-the ends", "one", "Ça  va\nof é", "The the of"]
     rows = [r for i, a in enumerate(said) for r in ((i, 0, "user", "q"), (i, 1, "assistant", a))]
     assert against_sql(spark, tmp_path, "txt12_met7_contained_answers", conversations=(rows, "conv_id long, turn int, role string, text string")) == len(said)
+
+
+def test_answers_of_any_signs_in_contexts(spark, tmp_path):
+    asked = [(1, "(see note)"), (2, "Große Straße."), (3, "a²"), (4, "???"), (5, "plain one"), (6, "--"), (7, "q\\Ex"), (8, "end.\n")]
+    texts = ["x (see note) y", "GROSSE STRASSE", "die große straße!", "a² b", "a²3", "plain one² more", "a plain one.", "no -- yes", "", None, "q\\Ex", "the end.\n", "café plain oné x"]
+    tables = {"benchmark": (asked, "item_id long, text string"), "documents": (list(enumerate(texts)), "doc_id long, text string")}
+    assert against_sql(spark, tmp_path, "jn18_answer_in_context", **tables) > 4
