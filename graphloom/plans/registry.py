@@ -77,8 +77,9 @@ def neighbours(t) -> DataFrame:
     return materialize(vectors.self_neighbours(t("embeddings"), 16, "vec_id"), "neighbours")
 
 
-def mutual_graph(t) -> DataFrame:
-    pairs = vectors.mutual_edges(neighbours(t), 0.3).withColumn("w", F.col("sim"))
+def mutual_graph(t, near: DataFrame | None = None) -> DataFrame:
+    """Of neighbours that are there already, if given."""
+    pairs = vectors.mutual_edges(neighbours(t) if near is None else near, 0.3).withColumn("w", F.col("sim"))
     return materialize(graph.both_ways(pairs, "src", "dst", F.col("w")), "mutual")
 
 
