@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import random
+import time
+
 import numpy as np
 import pytest
 from oracle import same
 
+from graphloom.functions import compare
 from graphloom.operators import vectors
 from graphloom.plans.queries import ORACLE_SQL, QUERIES
 
@@ -79,3 +83,17 @@ def test_hot_cells_are_dealt(spark, monkeypatch):
     for r in found.collect():
         got.setdefault(r["src"], []).append((r["rank"], r["dst"]))
     assert [[j for _, j in sorted(got[i])] for i in range(120)] == [[j for _, j in w] for w in _best_by_brute_force(x, x, 4, True)]
+
+
+def test_pieces_of_long_texts_in_one_table():
+    """A table of both texts, not one a piece: 2,000 characters took seconds."""
+    rng = random.Random(1)
+    a, b = ("".join(rng.choice("abcde ßé😀") for _ in range(n)) for n in (300, 1500))
+    ends = compare.subsequence_ends(a, b)
+    for left, right in [(0, 1500), (0, 10), (7, 307), (1400, 1500), (500, 800)]:
+        assert right - left - int((ends[:right] >= left).sum()) == compare.common_subsequence(a, b[left:right])
+    pieces = [b[max(0, i) : i + 300] for i in range(-299, 1500)]
+    assert compare.partial_ratio(a, b) == compare.partial_ratio(b, a) == max(compare.ratio(a, p) for p in pieces)
+    start = time.process_time()
+    compare.partial_ratio(a * 2, b)
+    assert time.process_time() - start < 0.5
