@@ -368,21 +368,39 @@ def cliques_of(near: dict, among: set, without: set) -> Iterator[list]:
 
 
 def merged_lists(lists: list[list[str]], most: int = 30) -> list[list[str]]:
-    """Overlapping lists joined while their union has at most `most` items, until nothing changes; sorted."""
-    sets = [set(x) for x in lists]
+    """Overlapping lists joined while their union has at most `most` items, until nothing changes; sorted.
+
+    A list joins the first one before it that it may, in as many rounds as bring changes. Only lists with an item in common are looked at, and of those that
+    rested in the round before only such as have changed.
+    """
+    sets = [(set(x), True) for x in lists]
     changed = True
     while changed:
-        changed, out = False, []
-        for s in sets:
-            for t in out:
-                if s & t and len(s | t) <= most:
-                    t |= s
-                    changed = True
+        changed = False
+        out: list[set] = []
+        was: list[bool] = []
+        now: list[bool] = []
+        holders: dict = {}
+        changes: dict = {}
+        for s, new in sets:
+            where = holders if new else changes
+            for i in sorted(set().union(*[where[x] for x in s if x in where])):
+                if len(s | out[i]) <= most:
+                    added = s - out[i] if was[i] or now[i] else s | out[i]
+                    out[i] |= s
+                    changed = now[i] = True
                     break
             else:
+                i, added = len(out), s
                 out.append(set(s))
-        sets = out
-    return sorted(sorted(s) for s in sets)
+                was.append(new)
+                now.append(False)
+            for x in added:
+                holders.setdefault(x, set()).add(i)
+                if was[i] or now[i]:
+                    changes.setdefault(x, set()).add(i)
+        sets = list(zip(out, now, strict=True))
+    return sorted(sorted(s) for s, _ in sets)
 
 
 def without_big_components(edges: DataFrame, most: int = 5, a: str = "a", b: str = "b") -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from oracle import same
 
 from graphloom.functions import compare
-from graphloom.operators import vectors
+from graphloom.operators import graph, vectors
 from graphloom.plans.queries import ORACLE_SQL, QUERIES
 
 
@@ -97,3 +97,32 @@ def test_pieces_of_long_texts_in_one_table():
     start = time.process_time()
     compare.partial_ratio(a * 2, b)
     assert time.process_time() - start < 0.5
+
+
+def _merged_plainly(lists, most):
+    sets, changed = [set(x) for x in lists], True
+    while changed:
+        changed, out = False, []
+        for s in sets:
+            for t in out:
+                if s & t and len(s | t) <= most:
+                    t |= s
+                    changed = True
+                    break
+            else:
+                out.append(set(s))
+        sets = out
+    return sorted(sorted(s) for s in sets)
+
+
+def test_lists_merge_as_when_all_meet_all():
+    for seed in range(300):
+        rng = random.Random(seed)
+        lists = [[str(x) for x in rng.sample(range(18), rng.randint(1, 5))] for _ in range(rng.randint(0, 25))]
+        assert graph.merged_lists(lists, seed % 11 + 2) == _merged_plainly(lists, seed % 11 + 2)
+    rng = random.Random(1)
+    start = time.process_time()
+    # All met all before: a hundred times as long.
+    lists = sorted(sorted({str(c + rng.randint(-40, 40)) for _ in range(4)}) for c in (rng.randint(0, 10_000) for _ in range(30_000)))
+    assert max(map(len, graph.merged_lists(lists, 30))) <= 30
+    assert time.process_time() - start < 10
