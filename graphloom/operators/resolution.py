@@ -27,12 +27,13 @@ def similar_names(names: DataFrame, k: int = 50, least: float = 0.95) -> DataFra
 def merged_groups(groups: DataFrame, key: str, most: int = 30) -> DataFrame:
     """(key, names): overlapping lists (key, clique) of one key joined while they have at most `most` names; lists of different keys don't overlap."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lists = merged_lists(sorted(sorted(x) for x in pdf["clique"]), most)
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(lists), "names": lists})
+    @F.pandas_udf("array<array<string>>")
+    def merged(groups: pd.Series) -> pd.Series:
+        return pd.Series([merged_lists(sorted(sorted(x) for x in lists), most) for lists in groups])
 
-    kind = groups.schema[key].dataType.simpleString()
-    return groups.select(key, "clique").groupBy(key).applyInPandas(run, f"{key} {kind}, names array<string>")
+    # A row a key, many to a batch: a call a key would cost more than the work of a small one.
+    lists = groups.groupBy(key).agg(F.collect_list("clique").alias("lists"))
+    return lists.select(key, F.explode(merged("lists")).alias("names"))
 
 
 def resolve(edges: DataFrame, make: Callable[[], Call], most_names: int = 5, most_clique: int = 20, most_merged: int = 30, retry: Retry = Retry(attempts=30)) -> DataFrame:  # noqa: B008
