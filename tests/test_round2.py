@@ -10,7 +10,7 @@ import pytest
 from oracle import same
 
 from graphloom.functions import compare
-from graphloom.operators import graph, vectors
+from graphloom.operators import graph, retrieval, vectors
 from graphloom.plans.queries import ORACLE_SQL, QUERIES
 
 
@@ -140,3 +140,18 @@ def test_walks_by_question_are_those_of_tables(spark, monkeypatch):
     monkeypatch.setattr(graph, "shallow_ppr", lambda *a, **k: sent.append(a))
     got = graph.walked(edges, seeds).collect()
     assert sorted(got) == sorted(want) and got and not sent
+
+
+def test_hits_are_not_shuffled(spark, monkeypatch):
+    """A pair of question and node was a row of a shuffle for every entity that they share."""
+    monkeypatch.setattr(retrieval, "MOST_HITS", 500)
+    rng = random.Random(5)
+    asked = [(f"q{i}", [rng.choice([" aa", "BB", "c", "none", None]) for _ in range(3)]) for i in range(60)]
+    held = sorted({(rng.choice(["AA", "BB", "C", "D"]), n) for n in range(80) for _ in range(2)})
+    questions = spark.createDataFrame(asked, "qid string, entities array<string>")
+    found = retrieval.entity_seeds(questions, spark.createDataFrame(held, "entity string, node_id long"))
+    want = sorted({(q, n) for q, names in asked for x in names if x for e, n in held if e == x.strip().upper()})
+    assert sorted(map(tuple, found.collect())) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("FlatMapCoGroupsInArrow") < plan.index("Exchange")
+    assert not retrieval.entity_seeds(questions.limit(0), spark.createDataFrame(held, "entity string, node_id long")).count()
