@@ -155,3 +155,37 @@ def test_hits_are_not_shuffled(spark, monkeypatch):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.index("FlatMapCoGroupsInArrow") < plan.index("Exchange")
     assert not retrieval.entity_seeds(questions.limit(0), spark.createDataFrame(held, "entity string, node_id long")).count()
+
+
+def test_closest_is_that_of_64_bits(monkeypatch):
+    monkeypatch.setattr(vectors, "STEP_ROWS", 50)
+    rng = np.random.default_rng(6)
+    c = vectors._units(rng.normal(size=(30, 8)))
+    c[20] = vectors._units(c[3:4] + 1e-9)[0]  # 32 bits don't tell these apart
+    c[25] = c[7]
+    x = vectors._units(np.vstack([rng.normal(size=(300, 8)), c, c + 1e-9]))
+    assert vectors.closest(x, c).tolist() == np.round(x @ c.T, 12).argmax(axis=1).tolist()
+    assert set(vectors.closest(x, c[:1])) == {0}
+
+
+def test_rounds_of_kmeans_send_the_driver_little(spark, monkeypatch):
+    """The rows of Spark's k-means, whose rounds sent the driver all pairs of centres; by several tasks, blocks and mergers."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    for name, few in (("LEAST_ROWS", 100), ("DEALT_ROWS", 40), ("MOST_MERGED", 4000)):
+        monkeypatch.setattr(vectors, name, few)
+    rng = np.random.default_rng(7)
+    x = np.vstack([rng.normal(size=(12, 6))[rng.integers(0, 12, 560)] + rng.normal(0, 0.6, (560, 6)), np.ones((40, 6))]) * rng.uniform(0.5, 2, (600, 1))
+    for kind in ("float", "double"):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"id long, embedding array<{kind}>")
+        rows = df.select("id", array_to_vector(df.embedding.cast("array<double>")).alias("features"))
+        model = KMeans(k=24, maxIter=1000, seed=1, distanceMeasure="cosine").fit(rows)
+        assert model.summary.numIter > 3
+        fit = KMeans.fit
+        monkeypatch.setattr(KMeans, "fit", lambda self, rows: fit(self, rows) if self.getMaxIter() == 0 else pytest.fail("rounds by Spark"))
+        own, centres = vectors.spherical_kmeans(df, k=24)
+        assert dict(own.collect()) == {r["id"]: r["prediction"] for r in model.transform(rows).collect()}
+        got = np.array([r["centre"] for r in centres.orderBy("cluster").collect()])
+        assert np.abs(got - np.array(model.clusterCenters())).max() < 1e-9
+        monkeypatch.setattr(KMeans, "fit", fit)
