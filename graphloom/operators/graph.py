@@ -9,7 +9,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +20,8 @@ from graphloom.plans.tables import discard, materialize
 
 MOST_EDGES = 1 << 25
 """Edges of a graph that a task holds at most, 16 bytes each."""
+MOST_FOUND = 10_000
+"""Cliques that a task holds at most before it gives them away."""
 
 
 def both_ways(pairs: DataFrame, a: str = "a", b: str = "b", w: Column | float = 1.0) -> DataFrame:
@@ -387,23 +388,33 @@ def maximal_cliques(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     ahead = materialize(ranked.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("lo"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("hi")), "clique-order")
     wedges = ahead.join(ahead.select("lo", F.col("hi").alias("hi2")), "lo").filter(F.col("hi") < F.col("hi2"))
     triangles = materialize(wedges.join(pairs, (F.col("hi") == F.col("x")) & (F.col("hi2") == F.col("y"))).select("lo", "hi", "hi2"), "triangles")
-    # No value is ever null, which pandas would make a float of: a neighbour stands in both places.
-    row = lambda df, v, x, y, kind: df.select(F.col(v).alias("v"), F.col(x).alias("x"), F.col(y).alias("y"), F.lit(kind).alias("kind"))
+    row = lambda df, v, x, y, kind: df.select(F.col(v).alias("v"), F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.lit(kind).alias("kind")).alias("r"))
     near = [row(ahead, "lo", "hi", "hi", "after"), row(ahead, "hi", "lo", "lo", "before")]
     around = [row(triangles, *t, "link") for t in (("lo", "hi", "hi2"), ("hi", "lo", "hi2"), ("hi2", "lo", "hi"))]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(zip(pdf["x"].tolist(), pdf["y"].tolist(), pdf["kind"].tolist(), strict=True))
-        near: dict = {x: set() for x, _, kind in rows if kind != "link"}
-        for x, y, kind in rows:
-            if kind == "link":
-                near[x].add(y)
-                near[y].add(x)
-        after = {x for x, _, kind in rows if kind == "after"}
-        v = pdf["v"].tolist()[0]
-        return pd.DataFrame({"clique": pd.Series([[str(x) for x in sorted([v, *c])] for c in cliques_of(near, after, set(near) - after) if c], dtype=object)})
-
-    return reduce(DataFrame.unionByName, near + around).groupBy("v").applyInPandas(run, "clique array<string>")
+    # A row a vertex, not a group: a group's own table took longer than its cliques.
+    met = reduce(DataFrame.unionByName, near + around).groupBy("v").agg(F.collect_list("r").alias("rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, ends = b.column(1).flatten(), np.cumsum([0, *b.column(1).value_lengths().to_pylist()])
+            xs, ys, kinds = (flat.field(n).to_pylist() for n in ("x", "y", "kind"))
+            found: list[list[str]] = []
+            for v, i, j in zip(b.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                near: dict = {x: set() for x, kind in zip(xs[i:j], kinds[i:j], strict=True) if kind != "link"}
+                for x, y, kind in zip(xs[i:j], ys[i:j], kinds[i:j], strict=True):
+                    if kind == "link":
+                        near[x].add(y)
+                        near[y].add(x)
+                after = {x for x, kind in zip(xs[i:j], kinds[i:j], strict=True) if kind == "after"}
+                for c in cliques_of(near, after, set(near) - after):
+                    if c:
+                        found.append([str(x) for x in sorted([v, *c])])
+                        if len(found) == MOST_FOUND:
+                            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["clique"])
+                            found = []
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["clique"])
+
+    return met.mapInArrow(run, "clique array<string>")
 
 
 def cliques_of(near: dict, among: set, without: set) -> Iterator[list]:

@@ -48,12 +48,23 @@ def cosine_share(a: Column, b: Column) -> Column:
     return (dot(a, b) / (norm(a) * norm(b)) + 1) / 2
 
 
+def _true(found: np.ndarray) -> np.ndarray:
+    """flatnonzero where few are true: by eight at a time."""
+    flat = found.ravel()
+    whole = len(flat) - len(flat) % 8
+    some = np.flatnonzero(flat[:whole].view(np.uint64))
+    word, place = np.nonzero(flat[:whole].reshape(-1, 8)[some])
+    return np.concatenate([some[word] * 8 + place, np.flatnonzero(flat[whole:]) + whole])
+
+
 def best_rows(q: np.ndarray, x: np.ndarray, k: int, q_name: np.ndarray | None = None, x_name: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of q, row of x, product): the k rows of x of largest inner product with each row of q, by nine decimals, ties to the earlier row; none that has the query's own name.
 
     Exact: products in 32 bits and the bound of their error tell which pairs can be among the best; those are computed in 64 bits. Rows of x come in steps: a later row that
-    equals the k-th so far can't replace it, so that copies cost no more than their product.
+    equals the k-th so far can't replace it, so that copies cost no more than their product. The first rows' products in 32 bits say from the start what can't be among the best.
     """
+    ahead = min(len(x), 4 * STEP_ROWS)
+    ahead = ahead if k + 1 < ahead and (x_name is None or len(np.unique(x_name)) == len(x)) else 0
     x32, longest = x.astype(np.float32), float(np.sqrt((x.astype(float) ** 2).sum(axis=1).max(initial=0.0)))
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for top in range(0, len(q), STEP_ROWS):
@@ -61,11 +72,15 @@ def best_rows(q: np.ndarray, x: np.ndarray, k: int, q_name: np.ndarray | None =
         n, own32 = len(own), own.astype(np.float32)
         wide = (q.shape[1] + 4) * 2.0**-24 * 1.01 * longest * np.sqrt((own**2).sum(axis=1)) + 2e-9
         least = np.full(n, -np.inf)
+        if ahead:
+            # One of these may be the query itself.
+            sure = np.partition(np.fmax(own32 @ x32[:ahead].T, -np.inf), -k - 1, axis=1)[:, -k - 1] - wide
+            least = np.where(np.isfinite(sure), sure, -np.inf)
         best = new = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         at, size = 0, max(32, 2 * k)
         while at < len(x):
             end = min(len(x), at + size)
-            hit = np.flatnonzero(own32 @ x32[at:end].T >= (least - wide).astype(np.float32)[:, None])
+            hit = _true(own32 @ x32[at:end].T >= (least - wide).astype(np.float32)[:, None])
             r, c = hit // (end - at), hit % (end - at) + at
             at, size = end, min(end, 2 * STEP_ROWS)
             for part in range(0, len(r), MOST_PAIRS):

@@ -189,3 +189,46 @@ def test_rounds_of_kmeans_send_the_driver_little(spark, monkeypatch):
         got = np.array([r["centre"] for r in centres.orderBy("cluster").collect()])
         assert np.abs(got - np.array(model.clusterCenters())).max() < 1e-9
         monkeypatch.setattr(KMeans, "fit", fit)
+
+
+@pytest.mark.parametrize("drop", [False, True])
+def test_first_rows_bound_the_best(monkeypatch, drop):
+    """Most pairs that were computed in 64 bits were among the best of few rows only."""
+    monkeypatch.setattr(vectors, "STEP_ROWS", 512)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20_000, 8)).astype(np.float32)
+    x[50:400] = x[5]
+    x[6000:6300] = x[5]
+    x[9] = 0
+    pairs, einsum = [], np.einsum
+    monkeypatch.setattr(np, "einsum", lambda how, a, b: (pairs.append(len(a)), einsum(how, a, b))[1])
+    names = np.arange(20_000)
+    q = np.r_[0:40, 300:310, 7000:7500]
+    r, c, s = vectors.best_rows(x[q], x, 5, *((names[q], names) if drop else (None, None)))
+    want = np.round(x[q].astype(float) @ x.astype(float).T, 9)
+    if drop:
+        want[np.arange(len(q)), q] = -np.inf
+    for i in range(len(q)):
+        assert c[r == i].tolist() == np.lexsort((names, -want[i]))[:5].tolist()
+    pairs.clear()
+    vectors.best_rows(x[7000:7500], x, 5, *((names[7000:7500], names) if drop else (None, None)))
+    assert sum(pairs) < 500 * 40
+    # A name that is there several times takes several places at the top.
+    x[:3] = x[8000]
+    names[:3] = 8000
+    r, c, s = vectors.best_rows(x[8000:8001], x, 5, np.array([8000]), names)
+    own = np.round(x.astype(float) @ x[8000].astype(float), 9)
+    own[names == 8000] = -np.inf
+    assert c.tolist() == np.lexsort((np.arange(20_000), -own))[:5].tolist()
+    assert sorted(vectors._true(own > 0).tolist()) == np.flatnonzero(own > 0).tolist()
+
+
+def test_cliques_without_a_table_a_vertex(spark, monkeypatch):
+    """A group's own table took longer than its cliques. More cliques than a task holds are all there."""
+    monkeypatch.setattr(graph, "MOST_FOUND", 3)
+    parts = [(a, b) for a in range(12) for b in range(a + 1, 12) if a // 2 != b // 2]  # 2 to the sixth cliques
+    found = graph.maximal_cliques(spark.createDataFrame(parts, "a int, b int"))
+    assert "InPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {tuple(str(2 * i + (n >> i & 1)) for i in range(6)) for n in range(64)}
+    assert sorted(tuple(r["clique"]) for r in found.collect()) == sorted(want)
+    assert not graph.maximal_cliques(spark.createDataFrame([(1, 1)], "a int, b int")).collect()
