@@ -232,3 +232,20 @@ def test_cliques_without_a_table_a_vertex(spark, monkeypatch):
     want = {tuple(str(2 * i + (n >> i & 1)) for i in range(6)) for n in range(64)}
     assert sorted(tuple(r["clique"]) for r in found.collect()) == sorted(want)
     assert not graph.maximal_cliques(spark.createDataFrame([(1, 1)], "a int, b int")).collect()
+
+
+def test_both_kinds_of_clusters_without_rounds_by_spark(spark, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+
+    fit = KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, rows: fit(self, rows) if self.getMaxIter() == 0 else pytest.fail("rounds by Spark"))
+    x = np.random.default_rng(9).normal(size=(300, 5)).astype(np.float32)
+    df = spark.createDataFrame([(f"{'HT' if i % 9 else 'H'}{i}", v.tolist()) for i, v in enumerate(x)], "id string, embedding array<float>")
+    low, high = vectors.in_clusters(df, "^H[0-9]+$", k=6)
+    own = dict(low.collect())
+    assert sorted(own) == sorted(f"HT{i}" for i in range(300) if i % 9)
+    units = vectors._units(x)
+    centres = vectors._units(np.stack([sum(units[int(r[2:])] for r in own if own[r] == c) for c in range(6)]))
+    want = sorted((f"H{i}", int(c)) for i in range(0, 300, 9) for c in np.argsort(-(x[i] @ centres.T))[:3])
+    off = set(map(tuple, high.collect())) ^ set(want)
+    assert len(off) <= 2  # centres rest when they move by little, not when they don't move
