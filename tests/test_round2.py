@@ -249,3 +249,32 @@ def test_both_kinds_of_clusters_without_rounds_by_spark(spark, monkeypatch):
     want = sorted((f"H{i}", int(c)) for i in range(0, 300, 9) for c in np.argsort(-(x[i] @ centres.T))[:3])
     off = set(map(tuple, high.collect())) ^ set(want)
     assert len(off) <= 2  # centres rest when they move by little, not when they don't move
+
+
+def sent_to_driver(spark, run):
+    """What run() returns, and the bytes of the results of tasks meanwhile, as Spark counts them."""
+    sc = spark.sparkContext
+    bus, store, none = sc._jsc.sc().listenerBus(), sc._jsc.sc().statusStore(), sc._gateway.new_array(sc._jvm.double, 0)
+
+    def stages():
+        bus.waitUntilEmpty()
+        found = store.stageList(None, False, False, none, None)
+        return {found.apply(i).stageId(): found.apply(i).resultSize() for i in range(found.size())}
+
+    old = stages()
+    out = run()
+    return out, sum(size for stage, size in stages().items() if stage not in old)
+
+
+def test_both_kinds_of_clusters_send_the_driver_no_pairs_of_centres(spark):
+    """Pairs of 400 centres are 640,000 bytes a round; the centres themselves are 29,000."""
+    x = np.random.default_rng(10).normal(size=(2250, 8)).astype(np.float32)
+    df = spark.createDataFrame([(f"{'HT' if i % 9 else 'H'}{i}", v.tolist()) for i, v in enumerate(x)], "id string, embedding array<float>").repartition(4).localCheckpoint()
+
+    def run():
+        low, high = vectors.in_clusters(df, "^H[0-9]+$", k=400)
+        return low.unionByName(high).groupBy("id").count().groupBy("count").count().collect()
+
+    found, sent = sent_to_driver(spark, run)
+    assert dict(map(tuple, found)) == {1: 2000, 3: 250}
+    assert 0 < sent < 2_000_000, sent
